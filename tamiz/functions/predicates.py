@@ -13,7 +13,9 @@ def strip(c: Column) -> Column:
 
 
 def is_semantic_null(c: Column) -> Column:
-    return strip(F.lower(c)).isin(fixed.SEMANTIC_NULLS)
+    # Long texts are ruled out by their size before they are lower-cased.
+    bare = strip(c)
+    return (F.octet_length(bare) <= 64) & F.lower(bare).isin(fixed.SEMANTIC_NULLS)
 
 
 def is_numeric_text(c: Column) -> Column:

@@ -267,13 +267,16 @@ def profile_columns(
     # One row per column from here on: every side is as small as the schema.
     rows = (
         column_counts(df, cells)
-        .withColumn("described", F.get(names, F.col("pos")))
-        .select("*", "described.*")
-        .drop("described")
         .join(F.broadcast(distinct_counts(df, cells, approx)), "pos", "left")
         .join(F.broadcast(rates), "pos", "left")
-        .withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
-        .withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+        .withColumns(
+            {
+                "described": F.get(names, F.col("pos")),
+                "unique_count": F.coalesce("unique_count", F.lit(0)),
+                "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
+            }
+        )
+        .select("*", "described.*")
     )
     if nullable_int_as_float:
         had_nulls = (F.col("built_in_type") == "numeric_int") & (F.col("present") < F.col("n_rows"))
@@ -281,21 +284,26 @@ def profile_columns(
             "built_in_type", F.when(had_nulls, "numeric_float").otherwise(F.col("built_in_type"))
         )
     n = F.col("n_rows")
-    rows = (
-        rows.withColumn("table_name", F.lit(table_name))
-        .withColumn("null_count", n - F.col("present"))
-        .withColumn("null_pct", P.percent(F.col("null_count"), n))
-        .withColumn("semantic_null_count", F.col("semantic"))
-        .withColumn("semantic_null_pct", P.percent(F.col("semantic"), n))
-        .withColumn(
-            "effective_null_pct",
-            F.bround(F.least(F.col("null_pct") + F.col("semantic_null_pct"), F.lit(100.0)), 2),
-        )
-        .withColumn("unique_pct", P.percent(F.col("unique_count"), n))
-        .withColumn("dtype_inferred", inferred_type())
-        .withColumn("pii_type", pii_kind())
-        .withColumn("pii_flag", F.col("pii_type").isNotNull())
-        .withColumn("quality_flags", quality_flags())
+    rows = rows.withColumns(
+        {
+            "table_name": F.lit(table_name),
+            "null_count": n - F.col("present"),
+            "null_pct": P.percent(n - F.col("present"), n),
+            "semantic_null_count": F.col("semantic"),
+            "semantic_null_pct": P.percent(F.col("semantic"), n),
+            "unique_pct": P.percent(F.col("unique_count"), n),
+            "dtype_inferred": inferred_type(),
+            "pii_type": pii_kind(),
+        }
+    )
+    rows = rows.withColumns(
+        {
+            "effective_null_pct": F.bround(
+                F.least(F.col("null_pct") + F.col("semantic_null_pct"), F.lit(100.0)), 2
+            ),
+            "pii_flag": F.col("pii_type").isNotNull(),
+            "quality_flags": quality_flags(),
+        }
     )
     return rows.select(
         "table_name",
