@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -411,12 +412,19 @@ def profile_catalog(tables: dict[str, SourceTable], **options) -> Profile:
     if not tables:
         raise ValueError("no table to profile")
     spark = next(iter(tables.values())).df.sparkSession
-    columns, duplicates, sources = [], [], []
-    for name, t in tables.items():
-        columns.append(profile_columns(t.df, name, order_by=t.order_by, **options))
-        duplicates.append(duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows"))
-        sources.append((name, t.source, t.path_or_table))
-    all_columns = reduce(DataFrame.unionByName, columns)
+
+    def columns_of(item: tuple[str, SourceTable]) -> DataFrame:
+        name, t = item
+        return profile_columns(t.df, name, order_by=t.order_by, **options)
+
+    # The small jobs that find the heads of the tables run side by side.
+    with ThreadPoolExecutor(min(8, len(tables))) as pool:
+        all_columns = reduce(DataFrame.unionByName, pool.map(columns_of, tables.items()))
+    duplicates = [
+        duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows")
+        for name, t in tables.items()
+    ]
+    sources = [(name, t.source, t.path_or_table) for name, t in tables.items()]
     origin = spark.createDataFrame(
         sources, "table_name string, source string, path_or_table string"
     )

@@ -25,9 +25,10 @@ DAY = 86_400 * SECOND
 
 def as_events(df: DataFrame, client: str, ts: str, event_id: str) -> DataFrame:
     """Bring a log into the shape above; a timestamp without zone is UTC."""
-    micros = F.unix_micros(F.to_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
-    if dict(df.dtypes)[ts] == "timestamp":
-        micros = F.unix_micros(ts)
+    instant = F.col(ts).cast("timestamp")
+    if dict(df.dtypes)[ts] != "timestamp":
+        instant = F.from_utc_timestamp(instant, F.current_timezone())
+    micros = F.unix_micros(instant)
     return df.select(F.col(client).alias("client"), micros.alias("t"), F.col(event_id).alias("event_id"))
 
 

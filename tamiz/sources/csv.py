@@ -234,7 +234,7 @@ def load_csv(
             **(options or {}),
         }
         names = spark.read.options(**fixed_options).csv(sorted(paths)[0]).columns
-        schema = T.StructType([T.StructField(n.lstrip("﻿"), T.StringType()) for n in names])
+        schema = T.StructType([T.StructField(n.lstrip("\ufeff"), T.StringType()) for n in names])
         parts.append(
             spark.read.options(**fixed_options).schema(schema.add(_CORRUPT, T.StringType())).csv(sorted(paths))
         )

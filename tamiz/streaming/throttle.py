@@ -15,8 +15,8 @@ from ..operators.throttle import SECOND, admit
 def admitted_stream(
     events: DataFrame, *, limit: int, window: int, delay: str = "10 minutes"
 ) -> DataFrame:
-    """``(client, ts, event_id, admitted)`` for a stream of ``client``, ``ts``
-    (timestamp) and ``event_id``.
+    """``(client, t, event_id, admitted)`` for a stream in the shape of the
+    batch form: ``client``, ``t`` (microseconds) and ``event_id``.
 
     State per client is its last ``limit`` hits, dropped once the client has
     been idle for the window. Events of one micro-batch are put in time order;
@@ -30,21 +30,21 @@ def admitted_stream(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        times = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        flags, hits = admit(times, list(state.get[0]) if state.exists else [], limit, window)
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        known = list(state.get[0]) if state.exists else []
+        flags, hits = admit(rows["t"].to_numpy(), known, limit, window)
         state.update((hits,))
         idle_at = (hits[-1] + window) // 1000 + 1
         state.setTimeoutTimestamp(max(idle_at, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "ts", "event_id"]].assign(admitted=flags)
+        yield rows[["client", "t", "event_id"]].assign(admitted=flags)
 
     return (
-        events.select("client", "ts", "event_id")
+        events.select("client", "t", "event_id", F.timestamp_micros("t").alias("ts"))
         .withWatermark("ts", delay)
         .groupBy("client")
         .applyInPandasWithState(
             step,
-            f"client {client_type}, ts timestamp, event_id {id_type}, admitted boolean",
+            f"client {client_type}, t bigint, event_id {id_type}, admitted boolean",
             "hits array<bigint>",
             "append",
             GroupStateTimeout.EventTimeTimeout,
@@ -67,23 +67,23 @@ def daily_cap_stream(admissions: DataFrame, *, cap: int, delay: str = "10 minute
             state.remove()
             return
         count = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         kept = np.arange(count, count + len(rows)) < cap
         state.update((min(cap, count + len(rows)),))
         day_end = (key[0] + 1) * day_seconds * 1000
         state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "ts", "event_id"]].assign(admitted=kept)
+        yield rows[["client", "t", "event_id"]].assign(admitted=kept)
 
-    day = F.floor(F.unix_micros("ts") / F.lit(day_seconds * SECOND)).cast("bigint")
+    day = F.floor(F.col("t") / F.lit(day_seconds * SECOND)).cast("bigint")
     return (
         admissions.where("admitted")
-        .select("client", "ts", "event_id")
+        .select("client", "t", "event_id", F.timestamp_micros("t").alias("ts"))
         .withWatermark("ts", delay)
         .withColumn("day", day)
         .groupBy("day")
         .applyInPandasWithState(
             step,
-            f"client {client_type}, ts timestamp, event_id {id_type}, admitted boolean",
+            f"client {client_type}, t bigint, event_id {id_type}, admitted boolean",
             "n bigint",
             "append",
             GroupStateTimeout.EventTimeTimeout,
