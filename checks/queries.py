@@ -119,7 +119,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = facts.load_metadata(D.dirty_events(spark, sf_dir))
-    return made.drop("null_pct_exact").withColumn("columns_all_null", F.array_join("columns_all_null", ";"))
+    return made.withColumn("columns_all_null", F.array_join("columns_all_null", ";"))
 
 
 def separator_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,9 @@ def knn_label_means(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = D.label_queries(spark, sf_dir)
-    return retrieve.retrieve(D.corpus(spark, sf_dir), queries, k=3, min_score=0.5), queries
+    hits = retrieve.top_k(D.vectors(spark, sf_dir), queries, k=3, min_score=0.4)
+    # One query per label; their number is not known here, so Spark picks the join.
+    return retrieve.with_text(hits, D.corpus(spark, sf_dir)), queries
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,8 +355,8 @@ QUERIES = {
     "upserted_index": upserted_index,
     "vector_pairing": vector_pairing,
     "knn_label_means": knn_label_means,
-    "knn_min_score": partial(knn_label_means, k=20, min_score=0.6),
-    "knn_min_score_rounded": partial(knn_label_means, k=20, min_score=0.6, threshold="rounded"),
+    "knn_min_score": partial(knn_label_means, k=20, min_score=0.25),
+    "knn_min_score_rounded": partial(knn_label_means, k=20, min_score=0.25, threshold="rounded"),
     "context_blocks": context_blocks,
     "search_results": search_results,
     "retrieval_check": retrieval_check,

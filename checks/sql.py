@@ -267,7 +267,7 @@ _NA = (
 
 def _csv_kind(i: int, c: str) -> str:
     return f"""SELECT CAST({i} AS INT) AS col_pos, '{c}' AS name, CASE WHEN count(v) = 0 THEN 'float64'
-  WHEN bool_and(regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') AND TRY_CAST(trim(v) AS BIGINT) IS NOT NULL)
+  WHEN bool_and(regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$') AND TRY_CAST(trim(v) AS BIGINT) IS NOT NULL) FILTER (WHERE v IS NOT NULL)
     THEN CASE WHEN count(v) = count(*) THEN 'int64' ELSE 'Int64' END
   WHEN bool_and(regexp_matches(v, '(?i)^\\s*[+-]?(?:(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?|inf(?:inity)?)\\s*$'))
     THEN 'float64'
@@ -294,13 +294,13 @@ LOAD_METADATA = f"""SELECT max(n) AS n_rows, CAST(count(*) AS INT) AS n_cols, CA
 
 SEPARATOR_VOTES = """WITH lines AS (
   SELECT doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 20)) AS line FROM documents),
-seps AS (SELECT * FROM (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) t(at, sep)),
-c AS (SELECT doc_id, at, sep, length(line) - length(replace(line, sep, '')) AS n FROM lines, seps
+seps AS (SELECT * FROM (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) t(pos, sep)),
+c AS (SELECT doc_id, pos, sep, length(line) - length(replace(line, sep, '')) AS n FROM lines, seps
   WHERE """ + strip("line") + """ <> ''),
-g AS (SELECT doc_id, at, sep, n, count(*) AS k FROM c GROUP BY ALL),
-m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, at ORDER BY k DESC, n) = 1),
+g AS (SELECT doc_id, pos, sep, n, count(*) AS k FROM c GROUP BY ALL),
+m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY k DESC, n) = 1),
 b AS (SELECT doc_id, sep FROM m WHERE n > 0
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (n + 1) * k DESC, at) = 1)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (n + 1) * k DESC, pos) = 1)
 SELECT d.doc_id, coalesce(b.sep, ',') AS separator FROM documents d LEFT JOIN b USING (doc_id)"""
 
 NULL_TABLE = f"""SELECT name, nulls, {pct('nulls', 'n', 1)} AS pct,
@@ -353,9 +353,8 @@ def knn(k: int, condition: str) -> str:
     return f"WITH {_KNN} SELECT query_id, rank, doc_name, chunk_id, score FROM r WHERE rank <= {k} AND {condition}"
 
 
-# The corpus of the texts has one document per vector.
 _HITS = f"""{_KNN},
-h AS (SELECT r.*, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 3 AND sim >= 0.5)"""
+h AS (SELECT r.*, coalesce(d.text, '') AS text FROM r LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 3 AND sim >= 0.4)"""
 
 # --- evaluation -----------------------------------------------------------------------
 
@@ -513,17 +512,17 @@ ORACLE = {
       count(*) FILTER (WHERE vec_id IS NULL) AS only_left, count(*) FILTER (WHERE doc_id IS NULL) AS only_right
       FROM documents FULL JOIN embeddings ON doc_id = vec_id""",
     "knn_label_means": knn(5, "sim >= 0.3"),
-    "knn_min_score": knn(20, "sim >= 0.6"),
-    "knn_min_score_rounded": knn(20, "score >= 0.6"),
+    "knn_min_score": knn(20, "sim >= 0.25"),
+    "knn_min_score_rounded": knn(20, "score >= 0.25"),
     "context_blocks": f"""WITH {_HITS}
       SELECT q.query_id, coalesce(string_agg('[FUENTE ' || rank || '] Documento: ' || doc_name || ' | Fragmento #' || chunk_id
         || ' | Relevancia: ' || {_fmt('score', 2)} || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10)
         ORDER BY rank), 'No se encontraron fragmentos relevantes en el corpus de gobernanza.') AS context
       FROM q LEFT JOIN h USING (query_id) GROUP BY q.query_id""",
     "search_results": f"""WITH {_HITS}
-      SELECT q.query_id, CAST(count(rank) AS INT) AS n_resultados, CAST(to_json(list({{'documento': doc_name,
+      SELECT q.query_id, CAST(count(rank) AS INT) AS n_resultados, coalesce(CAST(to_json(list({{'documento': doc_name,
         'fragmento_id': chunk_id, 'relevancia': score, 'texto': text}} ORDER BY rank) FILTER (WHERE rank IS NOT NULL))
-        AS VARCHAR) AS fragmentos
+        AS VARCHAR), '[]') AS fragmentos
       FROM q LEFT JOIN h USING (query_id) GROUP BY q.query_id""",
     "retrieval_check": f"""WITH {_KNN}
       SELECT q.query_id, 'label_' || q.query_id AS expected_doc, min(rank) AS position, min(rank) IS NOT NULL AS passed

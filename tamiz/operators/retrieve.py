@@ -141,9 +141,10 @@ def top_k(
 
     def search(block: DataFrame) -> DataFrame:
         rows = block.collect()
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
         ids = [r["query_id"] for r in rows]
-        return _search(present, ids, vectors.reshape(len(ids), -1), id_type, k, floor, keys)
+        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
+        vectors = vectors.reshape(len(ids), measured["dim"] or 1)
+        return _search(present, ids, vectors, id_type, k, floor, keys)
 
     if n_blocks == 1:
         found = search(usable)
@@ -164,19 +165,32 @@ def top_k(
     return hits.where(passed).select("query_id", "rank", *keys, "score")
 
 
-def with_text(hits: DataFrame, corpus: DataFrame, n_hits: int, *, keys=("doc_name", "chunk_id")) -> DataFrame:
-    """Add ``text`` to hits; ``n_hits`` is the most hits there can be."""
-    small = F.broadcast(hits) if n_hits <= _MAX_BROADCAST_HITS else hits
-    return corpus.select(*keys, "text").join(small, list(keys)).select(
+def with_text(
+    hits: DataFrame, corpus: DataFrame, *, keys=("doc_name", "chunk_id"), at_most: int | None = None
+) -> DataFrame:
+    """Add ``text`` to hits. They are sent to every task only when ``at_most``
+    says how few they are; otherwise the join is chosen by their size."""
+    if at_most is not None and at_most <= _MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
+    return corpus.select(*keys, "text").join(hits, list(keys)).select(
         "query_id", "rank", *keys, "text", "score"
     )
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, *, k: int = 5, min_score: float = 0.3,
-             threshold: str = "unrounded") -> DataFrame:
-    """``(query_id, rank, doc_name, chunk_id, text, score)`` for every query."""
+def retrieve(
+    corpus: DataFrame,
+    queries: DataFrame,
+    *,
+    k: int = 5,
+    min_score: float = 0.3,
+    threshold: str = "unrounded",
+) -> DataFrame:
+    """``(query_id, rank, doc_name, chunk_id, text, score)`` for every query.
+
+    The search reads keys and vectors only; texts are fetched for the hits.
+    """
     hits = top_k(corpus, queries, k=k, min_score=min_score, threshold=threshold)
-    return with_text(hits, corpus, k * queries.count())
+    return with_text(hits, corpus, at_most=k * queries.count())
 
 
 def context_blocks(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -215,11 +229,11 @@ def search_results(hits: DataFrame, queries: DataFrame) -> DataFrame:
             )
         ).alias("found")
     )
+    found = F.transform("found", lambda f: f["fragmento"])
     return queries.select("query_id").join(listed, "query_id", "left").select(
         "query_id",
-        F.coalesce(F.size("found"), F.lit(0)).alias("n_resultados"),
-        F.when(F.col("found").isNotNull(), F.transform("found", lambda f: f["fragmento"]))
-        .alias("fragmentos"),
+        F.coalesce(F.size(found), F.lit(0)).alias("n_resultados"),
+        F.coalesce(found, F.array()).alias("fragmentos"),
     )
 
 

@@ -150,6 +150,15 @@ def _summarize(starts, carried, limit, window):
     return run
 
 
+def _rerun(carried: dict[int, list[int]], limit: int, window: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = int(pdf["block"].iloc[0])
+        hits = admit(np.sort(pdf["t"].to_numpy()), carried[block], limit, window)[1]
+        return pd.DataFrame({"block": [block], "hits": [hits]})
+
+    return run
+
+
 def _hits_at_block_starts(blocks: DataFrame, starts: dict, limit: int, window: int) -> dict[int, list[int]]:
     """Hits that the first key of each block brings from the previous block.
 
@@ -186,16 +195,11 @@ def _hits_at_block_starts(blocks: DataFrame, starts: dict, limit: int, window: i
                 busy.write.partitionBy("block").parquet(store)
             carried = {b: brought[b] for b in again}
 
-            def rerun(pdf: pd.DataFrame, carried=carried) -> pd.DataFrame:
-                block = int(pdf["block"].iloc[0])
-                hits = admit(np.sort(pdf["t"].to_numpy()), carried[block], limit, window)[1]
-                return pd.DataFrame({"block": [block], "hits": [hits]})
-
             redone = (
                 spark.read.parquet(store)
                 .where(F.col("block").isin(again))
                 .groupBy("block")
-                .applyInPandas(rerun, "block int, hits array<bigint>")
+                .applyInPandas(_rerun(carried, limit, window), "block int, hits array<bigint>")
                 .collect()
             )
             for r in redone:

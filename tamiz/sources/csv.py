@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions import fixed
 from ..functions.predicates import strip
 from ..operators.cells import cells_of
-from .facts import load_facts
+from .facts import facts_of
 from .table import SourceTable
 
 _CORRUPT = "_corrupt_record"
@@ -140,22 +141,28 @@ def without_na(c: Column) -> Column:
 def column_kinds(df: DataFrame) -> DataFrame:
     """``(col_pos, name, kind)`` of text columns by all their values: one scan.
     A column of nothing but missing cells is float64."""
-    cells = [c for c in cells_of(df)]
+    return _measure(df).select("col_pos", "name", "kind")
+
+
+def _measure(df: DataFrame) -> DataFrame:
+    """The same with the number of values, of rows and of misshaped rows."""
+    cells = [c for c in cells_of(df) if c.name != _CORRUPT]
     sums = []
     for c in cells:
         v = without_na(c.raw)
-        is_int = v.rlike(_INT) & F.trim(v).try_cast("bigint").isNotNull()
+        is_int = v.rlike(_INT) & (v.isNull() | F.trim(v).try_cast("bigint").isNotNull())
         sums += [
             F.count(v).alias(f"n{c.pos}"),
             F.bool_and(is_int).alias(f"i{c.pos}"),
             F.bool_and(v.rlike(_FLOAT)).alias(f"f{c.pos}"),
             F.bool_and(v.isin(_BOOL)).alias(f"b{c.pos}"),
         ]
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *sums)
+    corrupt = F.count(_CORRUPT) if _CORRUPT in df.columns else F.lit(0).cast("bigint")
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), corrupt.alias("n_corrupt"), *sums)
 
     def kind(c) -> Column:
         n = F.col(f"n{c.pos}")
-        whole = n == F.col("rows")
+        whole = n == F.col("n_rows")
         return (
             F.when(n == 0, "float64")
             .when(F.col(f"i{c.pos}"), F.when(whole, "int64").otherwise("Int64"))
@@ -165,10 +172,15 @@ def column_kinds(df: DataFrame) -> DataFrame:
         )
 
     rows = [
-        F.struct(F.lit(c.pos).alias("col_pos"), F.lit(c.name).alias("name"), kind(c).alias("kind"))
+        F.struct(
+            F.lit(c.pos).alias("col_pos"),
+            F.lit(c.name).alias("name"),
+            kind(c).alias("kind"),
+            F.col(f"n{c.pos}").alias("present"),
+        )
         for c in cells
     ]
-    return wide.select(F.inline(F.array(*rows)))
+    return wide.select("n_rows", "n_corrupt", F.inline(F.array(*rows)))
 
 
 def apply_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -186,11 +198,22 @@ def apply_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 # --- reading ----------------------------------------------------------------
 
 
-def _has_open_quotes(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether any physical line has an odd number of quotes, that is, whether
-    a quoted cell may run over a line end."""
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def _needs_whole_files(spark: SparkSession, files: list) -> bool:
+    """Whether cells may run over line ends, so that files cannot be split.
+
+    Files no larger than a split are read by one task anyway. Larger ones are
+    scanned for a physical line with an odd number of quotes.
+    """
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if all(f["length"] <= split for f in files):
+        return True
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(paths).where(quotes % 2 == 1).take(1))
+    return bool(spark.read.text([f["path"] for f in files]).where(quotes % 2 == 1).take(1))
 
 
 def load_csv(
@@ -216,42 +239,42 @@ def load_csv(
     if sep is not None:
         files = files.withColumn("separator", F.lit(sep))
     found = files.collect()  # one row per file, as in Spark's own file listing
-    groups: dict[tuple[str, str], list[str]] = {}
+    groups: dict[tuple[str, str], list] = {}
     for f in found:
-        groups.setdefault((f["encoding"], f["separator"]), []).append(f["path"])
+        groups.setdefault((f["encoding"], f["separator"]), []).append(f)
 
     parts = []
-    for (enc, separator), paths in sorted(groups.items()):
+    for (enc, separator), members in sorted(groups.items()):
+        paths = sorted(f["path"] for f in members)
         fixed_options = {
             "header": "true",
             "sep": separator,
             "encoding": {"latin-1": "iso-8859-1"}.get(enc, enc),
             "quote": '"',
             "escape": '"',
-            "multiLine": str(_has_open_quotes(spark, paths)).lower(),
+            "multiLine": str(_needs_whole_files(spark, members)).lower(),
             "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": _CORRUPT,
             **(options or {}),
         }
-        names = spark.read.options(**fixed_options).csv(sorted(paths)[0]).columns
+        names = spark.read.options(**fixed_options).csv(paths[0]).columns
         schema = T.StructType([T.StructField(n.lstrip("\ufeff"), T.StringType()) for n in names])
         parts.append(
-            spark.read.options(**fixed_options).schema(schema.add(_CORRUPT, T.StringType())).csv(sorted(paths))
+            spark.read.options(**fixed_options).schema(schema.add(_CORRUPT, T.StringType())).csv(paths)
         )
     raw = parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if nrows is not None:
         raw = raw.limit(nrows)
-    text = raw.drop(_CORRUPT)
-    kinds = {r["name"]: r["kind"] for r in column_kinds(text).collect()}
-    df = apply_kinds(text, kinds)
-
-    corrupt = raw.select(*raw.columns).where(F.col(_CORRUPT).isNotNull())
-    facts = load_facts(df)
-    n_corrupt = corrupt.select(F.count(F.lit(1))).first()[0] if len(raw.columns) > 1 else 0
-    if n_corrupt:
-        facts["warnings"].append(f"{n_corrupt} filas con un numero de celdas distinto del encabezado")
+    measured = _measure(raw).collect()  # one row per column
+    kinds = {r["name"]: r["kind"] for r in measured}
+    df = apply_kinds(raw.drop(_CORRUPT), kinds)
+    info = facts_of(measured[0]["n_rows"], {r["name"]: r["present"] for r in measured})
+    if measured[0]["n_corrupt"]:
+        info["warnings"].append(
+            f"{measured[0]['n_corrupt']} filas con un numero de celdas distinto del encabezado"
+        )
     first = min(found, key=lambda f: f["path"])
-    facts.update(
+    info.update(
         encoding=first["encoding"],
         encoding_auto_detected=encoding is None,
         separator=first["separator"],
@@ -260,4 +283,4 @@ def load_csv(
         file_size_kb=round(sum(f["length"] for f in found) / 1024, 1),
     )
     shown = path if isinstance(path, str) else path[0]
-    return SourceTable(df, "csv", shown, facts)
+    return SourceTable(df, "csv", shown, info)

@@ -24,32 +24,43 @@ def load_metadata(df: DataFrame) -> DataFrame:
         F.lit(len(cells)).alias("n_cols"),
         n_cells.alias("total_cells"),
         percent(n_cells - filled, n_cells).alias("null_pct_global"),
-        F.when(n_cells > 0, (n_cells - filled) / n_cells * 100).otherwise(F.lit(0.0)).alias("null_pct_exact"),
         F.when(F.col("n_rows") > 0, F.filter(empty, lambda n: n.isNotNull()))
         .otherwise(F.array().cast("array<string>"))
         .alias("columns_all_null"),
     )
 
 
-def load_facts(df: DataFrame, empty_warning: bool = False) -> dict:
-    """The same as a dict with warnings; its one row is all that is fetched."""
-    r = load_metadata(df).first()
+def facts_of(n_rows: int, present: dict[str, int], empty_warning: bool = False) -> dict:
+    """The same as a dict with warnings, from the number of values per column."""
+    cells = n_rows * len(present)
+    exact = (cells - sum(present.values())) / cells * 100 if cells else 0.0
+    empty = [name for name, n in present.items() if n == 0] if n_rows else []
     warnings = []
-    if empty_warning and r["n_rows"] == 0:
+    if empty_warning and n_rows == 0:
         warnings.append("La tabla/consulta no devolvio filas.")
-    if r["null_pct_exact"] > 30:
-        warnings.append(f"Alta tasa de nulos global: {r['null_pct_exact']:.1f}% de las celdas son nulas")
-    if r["columns_all_null"]:
-        warnings.append(f"Columnas 100% vacias: {r['columns_all_null']}")
+    if exact > 30:
+        warnings.append(f"Alta tasa de nulos global: {exact:.1f}% de las celdas son nulas")
+    if empty:
+        warnings.append(f"Columnas 100% vacias: {empty}")
     return {
-        "shape": {"rows": r["n_rows"], "columns": r["n_cols"]},
-        "total_cells": r["total_cells"],
-        "null_pct_global": r["null_pct_global"],
-        "columns_all_null": r["columns_all_null"],
+        "shape": {"rows": n_rows, "columns": len(present)},
+        "total_cells": cells,
+        "null_pct_global": round(exact, 2),
+        "columns_all_null": empty,
         "warnings": warnings,
     }
 
 
+def load_facts(df: DataFrame, empty_warning: bool = False) -> dict:
+    """Facts of a loaded table: one scan, one row fetched."""
+    cells = cells_of(df)
+    row = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(c.present).alias(f"p{c.pos}") for c in cells],
+    ).first()
+    return facts_of(row["n_rows"], {c.name: row[f"p{c.pos}"] for c in cells}, empty_warning)
+
+
 def load_digest(table) -> dict:
     """Short answer after a load: name, source, shape, columns, warnings."""
     return {

@@ -31,7 +31,7 @@ def admitted_stream(
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        known = list(state.get[0]) if state.exists else []
+        known = [int(h) for h in state.get[0]] if state.exists else []
         flags, hits = admit(rows["t"].to_numpy(), known, limit, window)
         state.update((hits,))
         idle_at = (hits[-1] + window) // 1000 + 1
@@ -66,11 +66,11 @@ def daily_cap_stream(admissions: DataFrame, *, cap: int, delay: str = "10 minute
         if state.hasTimedOut:
             state.remove()
             return
-        count = state.get[0] if state.exists else 0
+        count = int(state.get[0]) if state.exists else 0
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         kept = np.arange(count, count + len(rows)) < cap
         state.update((min(cap, count + len(rows)),))
-        day_end = (key[0] + 1) * day_seconds * 1000
+        day_end = (int(key[0]) + 1) * day_seconds * 1000
         state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
         yield rows[["client", "t", "event_id"]].assign(admitted=kept)
 
