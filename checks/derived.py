@@ -51,12 +51,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with a text: that of the document of the same number, if any."""
-    text = table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS INT) AS chunk_id", "text")
-    return vectors(spark, sf_dir).join(text, "chunk_id", "left").withColumn(
-        "text", F.coalesce("text", F.lit(""))
-    )
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a vector: the document of the same number, if any."""
+    return table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS INT) AS chunk_id", "text")
 
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

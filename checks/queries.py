@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.functions import predicates as P
 from tamiz.operators import chunk, evaluate, explore, index, profile, retrieve, throttle
+from tamiz.operators.cells import long_form
 from tamiz.session import new_folder
 from tamiz.sources import csv as csv_source, facts
 from tamiz.sources.table import SourceTable
@@ -91,7 +92,7 @@ def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dates": P.is_date_text, "booleans": P.is_boolean_text, "ruts": P.is_rut, "emails": P.is_email,
         "phones": P.is_phone, "date_like": P.is_date_like, "not_digits": P.is_not_digits,
     }
-    return df.select(text).unpivot([], text, "name", "value").groupBy("name").agg(
+    return long_form(df, "name", {c: F.col(c) for c in text}).groupBy("name").agg(
         F.count(v).alias("present"), *[F.count_if(t(v)).alias(n) for n, t in tests.items()]
     )
 
@@ -226,8 +227,8 @@ def knn_label_means(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = D.label_queries(spark, sf_dir)
     hits = retrieve.top_k(D.vectors(spark, sf_dir), queries, k=3, min_score=0.4)
-    # One query per label; their number is not known here, so Spark picks the join.
-    return retrieve.with_text(hits, D.corpus(spark, sf_dir)), queries
+    texts = D.texts(spark, sf_dir)
+    return retrieve.with_text(hits, texts, keys=("chunk_id",), at_most=3 * queries.count()), queries
 
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,7 +255,8 @@ _PREDICATES = {
 }
 VALUE_PREDICATES = f"""SELECT name, count(v) AS present,
   {', '.join(f"count(*) FILTER (WHERE {p('v')}) AS {n}" for n, p in _PREDICATES.items())}
-FROM ({' UNION ALL '.join(f"SELECT '{c}' AS name, {c} AS v FROM ({DIRTY})" for c in _TEXT_COLUMNS)}) GROUP BY name"""
+FROM ({' UNION ALL '.join(f"SELECT '{c}' AS name, {c} AS v FROM ({DIRTY})" for c in _TEXT_COLUMNS)})
+WHERE v IS NOT NULL GROUP BY name"""
 
 # --- CSV, load facts, exploration -------------------------------------------------
 
@@ -354,7 +355,7 @@ def knn(k: int, condition: str) -> str:
 
 
 _HITS = f"""{_KNN},
-h AS (SELECT r.*, coalesce(d.text, '') AS text FROM r LEFT JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 3 AND sim >= 0.4)"""
+h AS (SELECT r.*, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 3 AND sim >= 0.4)"""
 
 # --- evaluation -----------------------------------------------------------------------
 

@@ -87,3 +87,5 @@ WHITESPACE = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# At most 16 characters between leading and trailing whitespace.
+SHORT_CORE = r"(?Us)^[\s\x1c-\x1f]*+.{0,16}?[\s\x1c-\x1f]*+$"

@@ -9,13 +9,18 @@ from . import fixed
 
 def strip(c: Column) -> Column:
     """Drop leading and trailing Unicode whitespace."""
-    return F.btrim(c, F.lit(fixed.WHITESPACE))
+    # Most texts start and end with a visible ASCII character, which two
+    # comparisons find out; only the others are walked through.
+    def edge(end: Column) -> Column:
+        return (end < "!") | (end >= "\x7f")
+
+    return F.when(edge(c) | edge(F.right(c, F.lit(1))), F.btrim(c, F.lit(fixed.WHITESPACE))).otherwise(c)
 
 
 def is_semantic_null(c: Column) -> Column:
-    # Long texts are ruled out by their size before they are lower-cased.
-    bare = strip(c)
-    return (F.octet_length(bare) <= 64) & F.lower(bare).isin(fixed.SEMANTIC_NULLS)
+    # A long text can only be one when it is hardly more than blanks.
+    short = (F.octet_length(c) <= 64) | c.rlike(fixed.SHORT_CORE)
+    return short & strip(F.lower(c)).isin(fixed.SEMANTIC_NULLS)
 
 
 def is_numeric_text(c: Column) -> Column:

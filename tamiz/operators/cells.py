@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.predicates import is_semantic_null
+
 # Longer texts are grouped by their SHA-256 so that shuffled keys stay short.
 _MAX_KEY_CHARS = 64
 
@@ -89,12 +91,28 @@ class Cell:
 
 
 def short_key(text: Column) -> Column:
-    """The text itself, or a marker and its SHA-256 when it is long. The
-    marked form is longer than any text kept as it is, so the two cannot meet."""
+    """The text itself, or its SHA-256 when it is long, marked by whether the
+    text is a semantic null. The marked form is longer than any text kept as it
+    is, so the two cannot meet."""
+    mark = F.when(is_semantic_null(text), "null:").otherwise("text:")
     return F.when(F.length(text) <= _MAX_KEY_CHARS, text).otherwise(
-        F.concat(F.lit("sha256:"), F.sha2(text, 256))
+        F.concat(mark, F.sha2(text, 256))
+    )
+
+
+def is_semantic_null_key(key: Column) -> Column:
+    return F.when(F.length(key) <= _MAX_KEY_CHARS, is_semantic_null(key)).otherwise(
+        key.startswith("null:")
     )
 
 
 def cells_of(df: DataFrame) -> list[Cell]:
     return [Cell(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
+
+
+def long_form(df: DataFrame, key: str, values: dict, value: str = "value") -> DataFrame:
+    """``(key, value)``: one row per row and entry of ``values`` (key literal to
+    Column), without the nulls. Meant for costly expressions over ``value``:
+    they are compiled once, whatever the number of columns."""
+    pairs = [F.struct(F.lit(k).alias(key), v.alias(value)) for k, v in values.items()]
+    return df.select(F.inline(F.array(*pairs))).where(F.col(value).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.predicates import is_not_digits, percent
 from .cells import Cell, cells_of
-from .profile import column_counts
+from .profile import present_counts
 from .samples import RowOrder, first_values
 
 # The exact text counted, and the name fragments looked for.
@@ -32,7 +32,7 @@ def null_table(df: DataFrame) -> DataFrame:
     nulls = F.col("n_rows") - F.col("present")
     pct = percent(nulls, F.col("n_rows"), 1)
     return (
-        column_counts(df, cells)
+        present_counts(df, cells)
         .select("pos", _named(cells, "name"), nulls.alias("nulls"), pct.alias("pct"))
         .where("nulls > 0")
         .withColumn("bar", F.repeat(F.lit("#"), F.floor(F.col("pct") / 5).cast("int")))

@@ -9,10 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, predicates as P
+from ..session import materialize
 from ..sources.table import SourceTable
-from .cells import Cell, cells_of
+from .cells import Cell, cells_of, is_semantic_null_key, long_form
 from .samples import first_values
 
+# Hashes of repeated rows up to this many (8 MB) are sent to every task.
+_MAX_BROADCAST_HASHES = 1_000_000
+
 # Name of a rate, and the predicate it is the share of.
 _TEXT_RATES = {
     "date_rate": P.is_date_text,
@@ -33,64 +37,83 @@ class Profile:
 
 
 def column_counts(df: DataFrame, cells: list[Cell]) -> DataFrame:
-    """``(pos, n_rows, present, semantic)`` from one scan and one row per task."""
-    sums = []
-    for c in cells:
-        sums.append(F.count_if(c.present).alias(f"p{c.pos}"))
-        semantic = F.count_if(P.is_semantic_null(c.text)) if c.is_text else F.lit(0)
-        sums.append(semantic.cast("bigint").alias(f"s{c.pos}"))
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
-    per_column = F.array(
-        *[
-            F.struct(
-                F.lit(c.pos).alias("pos"),
-                F.col(f"p{c.pos}").alias("present"),
-                F.col(f"s{c.pos}").alias("semantic"),
-            )
-            for c in cells
-        ]
-    )
-    return wide.select("n_rows", F.inline(per_column))
-
+    """``(pos, present, unique_count, semantic)`` of columns with any value.
 
-def distinct_counts(df: DataFrame, cells: list[Cell], approx: bool = False) -> DataFrame:
-    """``(pos, unique_count)``.
-
-    Columns of one type are unpivoted together and grouped by (column, value):
-    equal values meet in the map-side combine, so a value held by a third of
-    the rows costs one row per task.
+    Columns of one type are unpivoted together and grouped by (column, value).
+    Equal values meet in the map-side combine, so a value held by a third of
+    the rows costs one row per task; and a value is tested for being a semantic
+    null once, not once per row.
     """
-    if approx:
-        wide = df.agg(*[F.approx_count_distinct(c.key).alias(f"u{c.pos}") for c in cells])
-        rows = F.array(
-            *[
-                F.struct(F.lit(c.pos).alias("pos"), F.col(f"u{c.pos}").alias("unique_count"))
-                for c in cells
-            ]
-        )
-        return wide.select(F.inline(rows))
     families: dict[str, list[Cell]] = {}
     for c in cells:
-        families.setdefault(c.family, []).append(c)
+        families.setdefault(f"{c.family}{'?' if c.is_text else ''}", []).append(c)
     counted = []
     for members in families.values():
+        semantic = F.lit(0)
+        if members[0].is_text:
+            semantic = F.when(is_semantic_null_key(F.col("key")), F.col("n")).otherwise(0)
         keys = df.select(*[c.key.alias(str(c.pos)) for c in members])
         counted.append(
-            keys.unpivot([], list(keys.columns), "pos", "key")
+            keys.unpivot([], keys.columns, "pos", "key")
             .where("key IS NOT NULL")
-            .distinct()
+            .groupBy("pos", "key")
+            .agg(F.count(F.lit(1)).alias("n"))
             .groupBy(F.col("pos").cast("int").alias("pos"))
-            .agg(F.count(F.lit(1)).alias("unique_count"))
+            .agg(
+                F.sum("n").alias("present"),
+                F.count(F.lit(1)).alias("unique_count"),
+                F.sum(semantic).cast("bigint").alias("semantic"),
+            )
         )
     return reduce(DataFrame.unionByName, counted)
 
 
+def approx_column_counts(df: DataFrame, cells: list[Cell]) -> DataFrame:
+    """The same with a sketch for ``unique_count``: no shuffle of values."""
+    wide = df.agg(
+        *[F.count_if(c.present).alias(f"p{c.pos}") for c in cells],
+        *[F.approx_count_distinct(c.key).alias(f"u{c.pos}") for c in cells],
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c.pos).alias("pos"),
+                F.col(f"p{c.pos}").alias("present"),
+                F.col(f"u{c.pos}").alias("unique_count"),
+            )
+            for c in cells
+        ]
+    )
+    counted = wide.select(F.inline(rows))
+    texts = {c.pos: c.text for c in cells if c.is_text}
+    if not texts:
+        return counted.withColumn("semantic", F.lit(0).cast("bigint"))
+    semantic = (
+        long_form(df, "pos", texts)
+        .groupBy("pos")
+        .agg(F.count_if(P.is_semantic_null(F.col("value"))).alias("semantic"))
+    )
+    return counted.join(F.broadcast(semantic), "pos", "left")
+
+
+def present_counts(df: DataFrame, cells: list[Cell]) -> DataFrame:
+    """``(n_rows, pos, present)`` from one scan and one row per task."""
+    wide = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(c.present).alias(f"p{c.pos}") for c in cells],
+    )
+    rows = [F.struct(F.lit(c.pos).alias("pos"), F.col(f"p{c.pos}").alias("present")) for c in cells]
+    return wide.select("n_rows", F.inline(F.array(*rows)))
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row ``(n_rows, duplicate_rows)``: rows beyond the first equal one.
 
-    Nulls equal nulls and NaN equals NaN. The first pass shuffles a 64-bit
-    hash per distinct row; only rows whose hash occurs more than once are then
-    compared by value, so a table without copies is never shuffled whole.
+    Nulls equal nulls and NaN equals NaN. The first pass groups 64-bit hashes
+    of the rows; only rows whose hash occurs more than once are then compared
+    by value. The hashes of those are sent to every task while they are few, so
+    a table with few copies is never shuffled whole. Beyond that all rows are
+    grouped by value; copies meet in the map-side combine either way.
     """
     cells = cells_of(df)
     values = df.select(*[c.key.alias(f"v{c.pos}") for c in cells])
@@ -99,16 +122,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     nulls = F.concat(*[F.when(F.col(v).isNull(), "1").otherwise("0") for v in names])
     hashed = values.withColumn("h", F.xxhash64(*names, nulls))
     by_hash = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    repeated = by_hash.where("n > 1").select("h")
-    exact = (
-        hashed.join(repeated, "h", "left_semi")
-        .groupBy(*names)
+    repeated = materialize(by_hash.where("n > 1"), "repeated-rows")
+    n_hashes = repeated.count()
+    total = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    if n_hashes == 0:
+        return total.withColumn("duplicate_rows", F.lit(0).cast("bigint"))
+    suspects = hashed
+    if n_hashes <= _MAX_BROADCAST_HASHES:
+        suspects = hashed.join(F.broadcast(repeated.select("h")), "h", "left_semi")
+    extra = (
+        suspects.groupBy(*names)
         .agg((F.count(F.lit(1)) - 1).alias("extra"))
-        .agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
-        .withColumn("one", F.lit(1))
+        .agg(F.sum("extra").alias("duplicate_rows"))
     )
-    total = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("one", F.lit(1))
-    return total.join(F.broadcast(exact), "one").select("n_rows", "duplicate_rows")
+    return total.withColumn("one", F.lit(1)).join(
+        F.broadcast(extra.withColumn("one", F.lit(1))), "one"
+    ).select("n_rows", "duplicate_rows")
 
 
 # --- rates ----------------------------------------------------------------
@@ -141,26 +170,23 @@ def sample_rates(samples: DataFrame) -> DataFrame:
 
 
 def full_rates(df: DataFrame, cells: list[Cell]) -> DataFrame:
-    """The same rates over all values, whatever the row order: one scan."""
-    tests = {
-        **_TEXT_RATES,
-        "rut_rate": P.is_rut,
-        "email_rate": P.is_email,
-    }
-    sums, rows = [], []
-    for c in cells:
-        made = {name: _rate(test(c.text)) for name, test in tests.items()}
-        made["phone_rate"] = _phone_rate(c.text, c.present)
-        made["decimal_mark"] = F.max(P.has_decimal_mark(c.text))
-        made["length_std"] = F.stddev_samp(F.length(c.text))
-        sums += [e.alias(f"{name}{c.pos}") for name, e in made.items()]
-        rows.append(
-            F.struct(
-                F.lit(c.pos).alias("pos"),
-                *[F.col(f"{name}{c.pos}").alias(name) for name in made],
-            )
+    """The same rates over all values, whatever the row order.
+
+    One scan; one row per task and column is shuffled.
+    """
+    v = F.col("value")
+    return (
+        long_form(df, "pos", {c.pos: c.text for c in cells})
+        .groupBy("pos")
+        .agg(
+            *[_rate(test(v)).alias(name) for name, test in _TEXT_RATES.items()],
+            F.max(P.has_decimal_mark(v)).alias("decimal_mark"),
+            F.stddev_samp(F.length(v)).alias("length_std"),
+            _rate(P.is_rut(v)).alias("rut_rate"),
+            _rate(P.is_email(v)).alias("email_rate"),
+            _phone_rate(v, F.lit(True)).alias("phone_rate"),
         )
-    return df.agg(*sums).select(F.inline(F.array(*rows)))
+    )
 
 
 # --- rules ----------------------------------------------------------------
@@ -254,9 +280,10 @@ def profile_columns(
     if sample == "all":
         rates = rates.select("pos", "sample_values").join(F.broadcast(full_rates(df, cells)), "pos")
 
-    names = F.array(
+    described = F.array(
         *[
             F.struct(
+                F.lit(c.pos).alias("pos"),
                 F.lit(c.name).alias("name"),
                 F.lit(c.dtype.simpleString()).alias("dtype_physical"),
                 F.lit(c.built_in_type).cast("string").alias("built_in_type"),
@@ -265,19 +292,19 @@ def profile_columns(
             for c in cells
         ]
     )
+    counts = approx_column_counts(df, cells) if approx else column_counts(df, cells)
     # One row per column from here on: every side is as small as the schema.
     rows = (
-        column_counts(df, cells)
-        .join(F.broadcast(distinct_counts(df, cells, approx)), "pos", "left")
+        df.agg(F.count(F.lit(1)).alias("n_rows"))
+        .select("n_rows", F.inline(described))
+        .join(F.broadcast(counts), "pos", "left")
         .join(F.broadcast(rates), "pos", "left")
         .withColumns(
             {
-                "described": F.get(names, F.col("pos")),
-                "unique_count": F.coalesce("unique_count", F.lit(0)),
+                **{c: F.coalesce(c, F.lit(0)) for c in ("present", "unique_count", "semantic")},
                 "sample_values": F.coalesce("sample_values", F.array().cast("array<string>")),
             }
         )
-        .select("*", "described.*")
     )
     if nullable_int_as_float:
         had_nulls = (F.col("built_in_type") == "numeric_int") & (F.col("present") < F.col("n_rows"))
@@ -417,13 +444,15 @@ def profile_catalog(tables: dict[str, SourceTable], **options) -> Profile:
         name, t = item
         return profile_columns(t.df, name, order_by=t.order_by, **options)
 
-    # The small jobs that find the heads of the tables run side by side.
-    with ThreadPoolExecutor(min(8, len(tables))) as pool:
-        all_columns = reduce(DataFrame.unionByName, pool.map(columns_of, tables.items()))
-    duplicates = [
-        duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows")
-        for name, t in tables.items()
-    ]
+    def duplicates_of(item: tuple[str, SourceTable]) -> DataFrame:
+        name, t = item
+        return duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows")
+
+    # The jobs that each table needs first run side by side.
+    with ThreadPoolExecutor(min(8, 2 * len(tables))) as pool:
+        columns = pool.map(columns_of, tables.items())
+        duplicates = list(pool.map(duplicates_of, tables.items()))
+        all_columns = reduce(DataFrame.unionByName, columns)
     sources = [(name, t.source, t.path_or_table) for name, t in tables.items()]
     origin = spark.createDataFrame(
         sources, "table_name string, source string, path_or_table string"

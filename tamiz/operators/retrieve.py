@@ -172,9 +172,7 @@ def with_text(
     says how few they are; otherwise the join is chosen by their size."""
     if at_most is not None and at_most <= _MAX_BROADCAST_HITS:
         hits = F.broadcast(hits)
-    return corpus.select(*keys, "text").join(hits, list(keys)).select(
-        "query_id", "rank", *keys, "text", "score"
-    )
+    return corpus.select(*keys, "text").join(hits, list(keys)).select(*hits.columns, "text")
 
 
 def retrieve(
