@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.operators.throttle import as_events
+from tamiz.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +42,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_name"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("string").alias("doc_name"), "text"
+    )
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

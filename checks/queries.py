@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tamiz.functions import predicates as P
 from tamiz.operators import chunk, evaluate, explore, index, profile, retrieve, throttle
 from tamiz.operators.cells import long_form
-from tamiz.session import new_folder
+from tamiz.session import new_folder, spread
 from tamiz.sources import csv as csv_source, facts
 from tamiz.sources.table import SourceTable
 from tamiz.streaming.throttle import admitted_stream
@@ -84,7 +84,7 @@ def duplicate_rows_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = D.dirty_events(spark, sf_dir)
+    df = spread(D.dirty_events(spark, sf_dir))
     text = [c for c, t in df.dtypes if t == "string"]
     v = F.col("value")
     tests = {
@@ -108,7 +108,7 @@ def client_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = D.dirty_events(spark, sf_dir)
+    df = spread(D.dirty_events(spark, sf_dir))
     return csv_source.column_kinds(df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]))
 
 
@@ -307,6 +307,7 @@ def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
+        .option("maxBytesPerTrigger", "8g")
         .parquet(sf_dir)
     )
     events = throttle.as_events(events, "user_id", "ts", "event_id")

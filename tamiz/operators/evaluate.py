@@ -45,10 +45,13 @@ def judge_input(question: Column, expected: Column, source: Column, answer: Colu
     )
 
 
-def parse_verdict(text: Column) -> Column:
-    """Struct (correcta, cita_correcta, score, justificacion), or null when a
-    field is missing or no value of its type."""
-    raw = F.from_json(text, VERDICT_SCHEMA)
+def read_verdict(text: Column) -> Column:
+    return F.from_json(text, VERDICT_SCHEMA)
+
+
+def checked_verdict(raw: Column) -> Column:
+    """Struct (correcta, cita_correcta, score, justificacion) from what
+    :func:`read_verdict` gave; null when a field is missing or of no use."""
     number = raw["score"].try_cast("double")
     verdict = F.struct(
         raw["correcta"].try_cast("boolean").alias("correcta"),
@@ -69,12 +72,13 @@ def used_tools(trace: Column) -> Column:
 def case_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """One row per case. ``answers`` is ``(id, answer, trace, verdict, error)``;
     a case that failed, has no answer or no valid verdict becomes an error row."""
-    found = answers.select(
+    # The JSON is read in a step of its own, once per row.
+    found = answers.withColumn("raw", read_verdict(F.col("verdict"))).select(
         "id",
         F.lit(True).alias("answered"),
         "answer",
         used_tools(F.col("trace")).alias("tools"),
-        parse_verdict(F.col("verdict")).alias("v"),
+        checked_verdict(F.col("raw")).alias("v"),
         F.col("error").alias("failure"),
     )
     error = (

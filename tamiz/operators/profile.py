@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, predicates as P
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources.table import SourceTable
 from .cells import Cell, cells_of, is_semantic_null_key, long_form
 from .samples import first_values
@@ -278,7 +278,7 @@ def profile_columns(
     n_shown = fixed.TYPE_SAMPLE if sample == "first" else fixed.SHOWN_SAMPLE
     rates = sample_rates(first_values(df, cells, n_shown, order_by))
     if sample == "all":
-        rates = rates.select("pos", "sample_values").join(F.broadcast(full_rates(df, cells)), "pos")
+        rates = rates.select("pos", "sample_values").join(F.broadcast(full_rates(spread(df), cells)), "pos")
 
     described = F.array(
         *[
@@ -435,20 +435,26 @@ def _name_of(table: SourceTable) -> str:
 
 
 def profile_catalog(tables: dict[str, SourceTable], **options) -> Profile:
-    """Profile many tables; ``columns`` and ``table`` have rows for all."""
+    """Profile many tables; ``columns`` and ``table`` have rows for all.
+
+    Tables are profiled side by side. The column rows, as few as the columns,
+    are written to the shared folder, so that the table rows and digests made
+    from them do not read the tables again.
+    """
     if not tables:
         raise ValueError("no table to profile")
     spark = next(iter(tables.values())).df.sparkSession
 
     def columns_of(item: tuple[str, SourceTable]) -> DataFrame:
         name, t = item
-        return profile_columns(t.df, name, order_by=t.order_by, **options)
+        made = profile_columns(t.df, name, order_by=t.order_by, **options)
+        return materialize(made, "column-profiles")
 
     def duplicates_of(item: tuple[str, SourceTable]) -> DataFrame:
         name, t = item
-        return duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows")
+        made = duplicate_rows(t.df).select(F.lit(name).alias("table_name"), "duplicate_rows")
+        return materialize(made, "duplicate-rows")
 
-    # The jobs that each table needs first run side by side.
     with ThreadPoolExecutor(min(8, 2 * len(tables))) as pool:
         columns = pool.map(columns_of, tables.items())
         duplicates = list(pool.map(duplicates_of, tables.items()))

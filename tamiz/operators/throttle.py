@@ -14,11 +14,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import new_folder, shared_dir
+from ..session import materialize, new_folder, shared_dir
 
 # Events of one block, which one task walks through.
 _BLOCK_ROWS = 8_000_000
 
+# Events of one slice of a client's history that one task counts.
+_DENSE_SLICE = 2_000_000
+
+# Admissions up to this many are sent to every task to flag the events.
+_MAX_BROADCAST_FLAGS = 1_000_000
+
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
@@ -36,26 +42,76 @@ def as_events(df: DataFrame, client: str, ts: str, event_id: str) -> DataFrame:
 
 
 def attempts(events: DataFrame, *, window: int) -> DataFrame:
-    """Add ``attempts``: events of the client in ``(t - window, t]``.
+    """``(client, t, event_id, attempts)``: events of the client in
+    ``(t - window, t]``. Event ids are unique.
 
-    The history of a client is cut into slices of 16 windows; events of the
-    last window of a slice are copied into the next one. So one very busy
-    client is spread over many tasks, at the price of 1/16 more rows.
+    The history of a client is cut into slices of 4 windows; events of the last
+    window of a slice are copied into the next one, which makes slices
+    independent. A slice that still holds very many events is cut further, see
+    :func:`_dense_attempts`.
     """
-    length = 16 * window
-    own = F.floor(F.col("t") / F.lit(length)).cast("bigint")
-    near_end = F.col("t") > (F.col("own") + 1) * length - window
-    rows = events.withColumn("own", own).select(
-        "*",
-        F.explode(
-            F.when(near_end, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
-        ).alias("slice"),
+    length = 4 * window
+    near_end = F.col("t") > (F.col("own") + 1) * F.lit(length) - F.lit(window)
+    rows = (
+        events.select("client", "t", "event_id")
+        .withColumn("own", F.floor(F.col("t") / F.lit(length)).cast("bigint"))
+        .select(
+            "*",
+            F.explode(
+                F.when(near_end, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own"))
+            ).alias("slice"),
+        )
     )
+    sizes = rows.groupBy("client", "slice").agg(F.count(F.lit(1)).alias("n"))
+    dense = materialize(sizes.where(F.col("n") > _DENSE_SLICE).select("client", "slice"), "dense")
+    if dense.isEmpty():
+        return _sparse_attempts(rows, window)
+    # At most one dense slice per _DENSE_SLICE rows, so the list is short.
+    few = F.broadcast(dense)
+    return _sparse_attempts(rows.join(few, ["client", "slice"], "left_anti"), window).unionByName(
+        _dense_attempts(rows.join(few, ["client", "slice"], "left_semi"), window)
+    )
+
+
+def _sparse_attempts(rows: DataFrame, window: int) -> DataFrame:
     trailing = Window.partitionBy("client", "slice").orderBy("t").rangeBetween(-(window - 1), 0)
     return (
         rows.withColumn("attempts", F.count(F.lit(1)).over(trailing))
         .where("slice = own")
-        .drop("own", "slice")
+        .select("client", "t", "event_id", "attempts")
+    )
+
+
+def _dense_attempts(rows: DataFrame, window: int) -> DataFrame:
+    """Attempts as the difference of two running counts, at ``t`` and at
+    ``t - window``. Each count is that of the earlier buckets plus the place
+    within its own bucket, and buckets are a thousandth of a window."""
+    place = ["client", "slice", "bucket"]
+    width = max(1, window // 1000)
+    own = rows.where("slice = own")
+    marks = rows.select(
+        "client", "slice", "event_id", "t", F.col("t").alias("at"), F.lit(1).alias("is_event"),
+        (F.col("slice") == F.col("own")).cast("int").alias("sign"),
+    ).unionByName(
+        own.select(
+            "client", "slice", "event_id", "t", (F.col("t") - F.lit(window)).alias("at"),
+            F.lit(0).alias("is_event"), F.lit(-1).alias("sign"),
+        )
+    ).withColumn("bucket", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
+    earlier = Window.partitionBy("client", "slice").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # At most some thousand buckets per slice.
+    before = marks.groupBy(*place).agg(F.sum("is_event").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))
+    ).drop("n")
+    within = Window.partitionBy(*place).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = marks.withColumn("inside", F.sum("is_event").over(within)).where("sign <> 0")
+    return (
+        counted.join(before, place)
+        .groupBy("client", "event_id", "t")
+        .agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("attempts"))
+        .select("client", "t", "event_id", "attempts")
     )
 
 
@@ -295,6 +351,8 @@ def daily_cap(events: DataFrame, *, limit: int, window: int, cap: int) -> DataFr
         todo = {d for d in all_days if brought.get(d, {}) != ran_with.get(d, {})}
         ran_with = brought
     flags = kept.select("event_id", F.lit(True).alias("kept"))
+    if cap * len(all_days) <= _MAX_BROADCAST_FLAGS:
+        flags = F.broadcast(flags)
     return events.join(flags, "event_id", "left").select(
         "client", "t", "event_id", F.coalesce("kept", F.lit(False)).alias("admitted")
     )

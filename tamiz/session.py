@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int = 8, app: str = "tamiz", **conf: str) -> SparkSession:
@@ -55,3 +56,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     folder = new_folder(df.sparkSession, label)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of few small files as many partitions as there are cores,
+    ahead of costly work per row. A table with splits enough is left as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df if size >= cores * split else df.repartition(cores)
+
+
+def size_in_bytes(size: str) -> int:
+    """A Spark size setting such as '128m' or '134217728b' as a number."""
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]

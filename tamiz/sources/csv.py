@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions import fixed
 from ..functions.predicates import strip
 from ..operators.cells import cells_of
+from ..session import size_in_bytes
 from .facts import facts_of
 from .table import SourceTable
 
@@ -198,18 +198,13 @@ def apply_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 # --- reading ----------------------------------------------------------------
 
 
-def _bytes(size: str) -> int:
-    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
-    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
-
-
 def _needs_whole_files(spark: SparkSession, files: list) -> bool:
     """Whether cells may run over line ends, so that files cannot be split.
 
     Files no larger than a split are read by one task anyway. Larger ones are
     scanned for a physical line with an odd number of quotes.
     """
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     if all(f["length"] <= split for f in files):
         return True
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))

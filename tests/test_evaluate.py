@@ -15,7 +15,7 @@ def verdict(**changes):
 
 def parsed(spark, *texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
-    return [r[0] and tuple(r[0]) for r in df.select(ev.parse_verdict(F.col("t"))).collect()]
+    return [r[0] and tuple(r[0]) for r in df.select(ev.checked_verdict(ev.read_verdict(F.col("t")))).collect()]
 
 
 def test_parse_verdict(spark):

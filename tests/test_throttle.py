@@ -62,15 +62,18 @@ def test_daily_cap(spark, window, cap):
     assert {r["event_id"]: r["admitted"] for r in got} == fold(events, 2, window, cap)
 
 
-def test_attempts(spark):
+@pytest.mark.parametrize("dense", [2_000_000, 30, 0])
+@pytest.mark.parametrize("window", [300, 5000])
+def test_attempts(spark, monkeypatch, dense, window):
+    monkeypatch.setattr(th, "_DENSE_SLICE", dense)
     events = log(6, 2000, 40_000, 0.5)
-    got = th.attempts(frame(spark, events), window=300).collect()
+    got = th.attempts(frame(spark, events), window=window).collect()
     times = {}
     for c, t, _ in events:
         times.setdefault(c, []).append(t)
     assert len(got) == len(events)
     for r in got:
-        assert r["attempts"] == sum(r["t"] - 300 < u <= r["t"] for u in times[r["client"]])
+        assert r["attempts"] == sum(r["t"] - window < u <= r["t"] for u in times[r["client"]])
 
 
 def test_utc_whatever_the_session_zone(spark):
