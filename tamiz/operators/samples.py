@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 from .cells import Cell
@@ -44,16 +44,29 @@ class RowOrder:
         """
         if self.pushed is None:
             return self.df
-        bound = (
+        key_type = self.df.select(self.pushed).schema[0].dataType
+        found = (
             self.first(self.keyed(self.df), n)
-            .agg(F.max("_k0").alias("bound"), F.count(F.lit(1)).alias("n"))
+            .agg(_fetched(F.max("_k0"), key_type).alias("bound"), F.count(F.lit(1)).alias("n"))
             .first()
         )
-        if bound["n"] < n or bound["bound"] is None:
+        if found["n"] < n or found["bound"] is None:
             return self.df
-        return self.df.where(
-            self.pushed.isNull() | (self.pushed <= F.lit(bound["bound"]))
-        )
+        bound = _restored(found["bound"], key_type)
+        return self.df.where(self.pushed.isNull() | (self.pushed <= bound))
+
+
+def _fetched(c: Column, dtype: T.DataType) -> Column:
+    """A form that comes to the driver and back whatever the time zones."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c)
+    return c.cast("string") if isinstance(dtype, T.TimestampNTZType) else c
+
+
+def _restored(value, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(dtype)
 
 
 def first_values(

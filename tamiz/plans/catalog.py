@@ -66,9 +66,12 @@ class Catalog:
         return table
 
     def fingerprint(self, table: SourceTable) -> str:
-        """Changes with the schema, the plan's files, their sizes or times."""
+        """Changes with the schema and with the files of the table, their sizes
+        or times; for a table without files, with its number of rows."""
         schema = json.dumps(json.loads(table.df.schema.json()), sort_keys=True)
         paths = table.df.inputFiles()
+        if not paths:
+            schema += f" {table.df.count()}"
         made = self.spark.createDataFrame([(schema,)], "v string").select(F.xxhash64("v").alias("h"))
         if paths:
             files = self.spark.read.format("binaryFile").load(paths)

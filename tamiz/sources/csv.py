@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions import fixed
 from ..functions.predicates import strip
 from ..operators.cells import cells_of
+from ..operators.samples import RowOrder
 from ..session import size_in_bytes
 from .facts import facts_of
 from .table import SourceTable
@@ -259,7 +260,8 @@ def load_csv(
         )
     raw = parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if nrows is not None:
-        raw = raw.limit(nrows)
+        order = RowOrder(raw, None)
+        raw = order.first(order.keyed(raw, F.struct(*raw.columns).alias("row")), nrows).select("row.*")
     measured = _measure(raw).collect()  # one row per column
     kinds = {r["name"]: r["kind"] for r in measured}
     df = apply_kinds(raw.drop(_CORRUPT), kinds)

@@ -119,6 +119,20 @@ def test_sparse_column_beyond_the_head(spark):
     assert got["pii_type"] == "email"
 
 
+def test_order_by_time_and_tied_keys(spark):
+    df = spark.range(900).selectExpr(
+        "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST((899 - id) / 300 AS INT)) AS ts",
+        "id", "CAST(id AS STRING) AS v",
+    ).repartition(5)
+    for zone in ("UTC", "America/Santiago"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        plain = profile(spark, df, order_by=["ts", "id"])["v"]["sample_values"]
+        zoned = df.withColumn("ts", F.col("ts").cast("timestamp"))
+        in_zone = profile(spark, zoned, order_by=["ts", "id"])["v"]["sample_values"]
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert plain == in_zone == ["600", "601", "602", "603", "604"]
+
+
 def test_file_order_without_order_by(spark, folder):
     spark.range(1000).select(F.col("id").alias("x")).coalesce(1).write.parquet(f"{folder}/t")
     df = spark.read.parquet(f"{folder}/t")
