@@ -307,7 +307,7 @@ def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", "8g")
+        .option("maxBytesPerTrigger", str(8 << 30))
         .parquet(sf_dir)
     )
     events = throttle.as_events(events, "user_id", "ts", "event_id")

@@ -1,2 +1,10 @@
 """Tamiz: table profiling, corpus chunking, vector retrieval, evaluation
 metrics and rate-limit analysis as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
