@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize, new_folder, shared_dir
@@ -138,45 +139,54 @@ def admit(times: np.ndarray, recent: list[int], limit: int, window: int) -> tupl
     return taken, hits
 
 
-def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    bounds = [0, *edges.tolist(), len(keys)]
-    return list(zip(bounds[:-1], bounds[1:]))
-
-
 def _walk(batches, starts: dict, carried: dict, limit: int, window: int):
-    """Admit a sorted stream of (block, key, t) batches of one block.
+    """Admit a sorted stream of Arrow batches of one block.
 
     ``starts`` holds hits known before the first event of a key, ``carried``
     the hits a key brings along from the previous block. Yields each batch with
-    its flags, and a running summary of the block.
+    its flags, and a running summary of the block. Events of a key that never
+    are more than the limit within a window are all admitted, which is seen for
+    a whole batch at once; only the other keys are walked through.
     """
-    state = {"first": None, "key": None, "hits": [], "last": None, "single": True, "reset": False, "n": 0}
-    for pdf in batches:
-        if not len(pdf):
+    state = {"first": None, "key": None, "hits": [], "last": None, "single": True, "reset": False}
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
             continue
-        keys, times = pdf["k"].to_numpy(), pdf["t"].to_numpy()
-        flags = np.zeros(len(pdf), dtype=bool)
-        for lo, hi in _runs(keys):
-            key, part = keys[lo], times[lo:hi]
-            if key != state["key"]:
-                block = int(pdf["block"].iloc[0])
+        coded = batch.column("k").dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        times = batch.column("t").to_numpy()
+        lo = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+        hi = np.append(lo[1:], n)
+        earlier = np.arange(n) - limit
+        crowded = (earlier >= np.repeat(lo, hi - lo)) & (times - times[np.maximum(earlier, 0)] < window)
+        walk = np.add.reduceat(crowded.astype(np.int64), lo) > 0
+        walk[0] = True
+        if starts:
+            walk |= np.array([names[codes[i]] in starts for i in lo])
+        flags = np.ones(n, dtype=bool)
+        for r in np.flatnonzero(walk):
+            key, part = names[codes[lo[r]]], times[lo[r] : hi[r]]
+            if r == 0 and key == state["key"]:
+                gap = part[0] - state["last"] >= window
+            else:
+                gap = False
+                state["hits"] = starts.get(key, [])
                 if state["key"] is None:
                     state["first"] = key
-                    brought = carried.get(block)
-                    hits = brought if brought is not None else starts.get(key, [])
+                    state["hits"] = carried.get(batch.column("block")[0].as_py(), state["hits"])
                 else:
                     state["single"] = False
-                    hits = starts.get(key, [])
-                state.update(key=key, hits=hits)
-            elif part[0] - state["last"] >= window:
-                state["reset"] = True
-            if len(part) > 1 and int(np.diff(part).max()) >= window:
-                state["reset"] = True
-            flags[lo:hi], state["hits"] = admit(part, state["hits"], limit, window)
-            state["last"] = int(part[-1])
-        state["n"] += len(pdf)
-        yield pdf, flags, state
+                state["key"] = key
+            state["reset"] |= bool(gap or (len(part) > 1 and np.diff(part).max() >= window))
+            flags[lo[r] : hi[r]], state["hits"] = admit(part, state["hits"], limit, window)
+        if len(lo) > 1:
+            state["single"] = False
+        if not walk[-1]:
+            state["key"] = names[codes[lo[-1]]]
+            state["hits"] = times[lo[-1] :][-limit:].tolist()
+        state["last"] = int(times[-1])
+        yield batch, flags, state
 
 
 _SUMMARY = (
@@ -185,22 +195,23 @@ _SUMMARY = (
 
 
 def _summarize(starts, carried, limit, window):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, block, first_t = None, None, None
-        for pdf, _, state in _walk(batches, starts, carried, limit, window):
+        for batch, _, state in _walk(batches, starts, carried, limit, window):
             if block is None:
-                block, first_t = int(pdf["block"].iloc[0]), int(pdf["t"].iloc[0])
+                block, first_t = batch.column("block")[0].as_py(), batch.column("t")[0].as_py()
         if state is not None:
-            yield pd.DataFrame(
-                {
-                    "block": [block],
-                    "first": [state["first"]],
-                    "last": [state["key"]],
-                    "first_t": [first_t],
-                    "single": [state["single"]],
-                    "reset": [state["reset"]],
-                    "hits": [state["hits"]],
-                }
+            values = [
+                pa.array([block], pa.int32()),
+                pa.array([state["first"]]),
+                pa.array([state["key"]]),
+                pa.array([first_t], pa.int64()),
+                pa.array([state["single"]]),
+                pa.array([state["reset"]]),
+                pa.array([state["hits"]], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                values, names=["block", "first", "last", "first_t", "single", "reset", "hits"]
             )
 
     return run
@@ -224,7 +235,7 @@ def _hits_at_block_starts(blocks: DataFrame, starts: dict, limit: int, window: i
     than fit a block) are run again in order, one job per step of the chain.
     """
     spark = blocks.sparkSession
-    rows = blocks.mapInPandas(_summarize(starts, {}, limit, window), _SUMMARY).collect()
+    rows = blocks.mapInArrow(_summarize(starts, {}, limit, window), _SUMMARY).collect()
     done = {r["block"]: r for r in sorted(rows, key=lambda r: r["block"])}
     order = list(done)
     ends = {b: list(done[b]["hits"]) for b in order}
@@ -291,7 +302,7 @@ def admitted(
             int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // _BLOCK_ROWS)
         )
     shared_dir(spark)
-    shaped = events.select(F.to_json(F.struct(*keys)).alias("k"), "t", "event_id")
+    shaped = events.select(F.to_json(F.struct(*keys)).alias("k"), *keys, "t", "event_id")
     blocks = (
         shaped.repartitionByRange(n_blocks, "k", "t", "event_id")
         .sortWithinPartitions("k", "t", "event_id")
@@ -299,17 +310,15 @@ def admitted(
         .checkpoint()
     )
     carried = _hits_at_block_starts(blocks, starts, limit, window)
+    kept = [*keys, "t", "event_id"]
 
-    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, flags, _ in _walk(batches, starts, carried, limit, window):
-            yield pdf[["k", "t", "event_id"]].assign(admitted=flags)
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, flags, _ in _walk(batches, starts, carried, limit, window):
+            columns = [batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(flags)], names=[*kept, "admitted"])
 
-    id_type = shaped.schema["event_id"].dataType.simpleString()
-    flagged = blocks.mapInPandas(flag, f"k string, t bigint, event_id {id_type}, admitted boolean")
-    key_schema = events.select(*keys).schema
-    return flagged.select(F.from_json("k", key_schema).alias("key"), "t", "event_id", "admitted").select(
-        *[F.col("key")[c].alias(c) for c in keys], "t", "event_id", "admitted"
-    )
+    schema = shaped.select(*kept).schema.add("admitted", "boolean")
+    return blocks.mapInArrow(flag, schema)
 
 
 # --- daily cap --------------------------------------------------------------
