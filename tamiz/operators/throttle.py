@@ -298,9 +298,7 @@ def admitted(
     starts = starts or {}
     spark = events.sparkSession
     if n_blocks is None:
-        n_blocks = max(
-            int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // _BLOCK_ROWS)
-        )
+        n_blocks = max(spark.sparkContext.defaultParallelism, -(-events.count() // _BLOCK_ROWS))
     shared_dir(spark)
     shaped = events.select(F.to_json(F.struct(*keys)).alias("k"), *keys, "t", "event_id")
     blocks = (
