@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.operators.throttle import as_events
-from tamiz.session import spread
+from tamiz.session import materialize, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +67,12 @@ def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("label", "i")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
     )
-    # As many values per label as a vector has.
-    return means.groupBy("label").agg(
+    # As many values per label as a vector has. Written once: searching and
+    # what is made of the hits both read the queries.
+    queries = means.groupBy("label").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("embedding")
     ).select(F.col("label").alias("query_id"), "embedding")
+    return materialize(queries, "label-queries")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,9 @@ from ..operators.profile import digest, profile_catalog
 from ..sources.table import SourceTable
 
 
+_64_BITS = 0xFFFFFFFFFFFFFFFF
+
+
 class Catalog:
     """Tables by name, and profiles kept under ``store`` per fingerprint.
 
@@ -66,20 +69,20 @@ class Catalog:
         return table
 
     def fingerprint(self, table: SourceTable) -> str:
-        """Changes with the schema and with the files of the table, their sizes
-        or times; for a table without files, with its number of rows."""
-        schema = json.dumps(json.loads(table.df.schema.json()), sort_keys=True)
-        paths = table.df.inputFiles()
-        if not paths:
-            schema += f" {table.df.count()}"
-        made = self.spark.createDataFrame([(schema,)], "v string").select(F.xxhash64("v").alias("h"))
-        if paths:
-            files = self.spark.read.format("binaryFile").load(paths)
-            made = made.unionByName(
-                files.select(F.xxhash64("path", "length", "modificationTime").alias("h"))
-            )
-        r = made.agg(F.bit_xor("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
-        return f"{r['h'] & 0xFFFFFFFFFFFFFFFF:016x}-{r['n']}"
+        """Changes with the schema, the facts of the load, and the files read,
+        their sizes or times; for a table without files, its number of rows."""
+        facts = json.dumps([table.df.schema.jsonValue(), table.metadata], sort_keys=True, default=str)
+        known = F.xxhash64(F.lit(facts)).alias("known")
+        file = ("file_path", "file_size", "file_modification_time")
+        try:
+            files = table.df.select(*[F.col(f"_metadata.{c}") for c in file]).distinct()
+        except AnalysisException:
+            files = table.df.select(F.lit(table.path_or_table).alias("t"))
+        r = files.agg(
+            F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0)).alias("h"),
+            F.count(F.lit(1)).alias("n"),
+        ).select("*", known).first()
+        return f"{r['h'] & _64_BITS:016x}-{r['known'] & _64_BITS:016x}-{r['n']}"
 
     def profile(self, name: str) -> DataFrame:
         """``(table_name, digest)``; computed once per state of the table."""

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "tamiz", **conf: str) -> SparkSession:
@@ -59,16 +59,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table of few small files as many partitions as there are cores,
-    ahead of costly work per row. A table with splits enough is left as it is."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
-        return df
-    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
-    return df if size >= cores * split else df.repartition(cores)
+    """Give a plain file scan of fewer splits than there are cores as many
+    partitions, ahead of costly work per row. Others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def size_in_bytes(size: str) -> int:

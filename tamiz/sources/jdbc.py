@@ -47,9 +47,8 @@ def read_options(
     if (table is None) == (query is None):
         raise ValueError("give exactly one of 'table' and 'query'")
     if query is not None:
-        if query.lstrip().split(None, 1)[:1] not in (["SELECT"], ["select"], ["WITH"], ["with"]):
-            if not query.lstrip().lower().startswith(("select", "with", "(")):
-                raise ValueError("the query is no SELECT; this source only reads")
+        if not query.lstrip(" \t\r\n(").lower().startswith(("select", "with")):
+            raise ValueError("the query is no SELECT; this source only reads")
         return {"query": query}
     full = f"{quoted(schema)}.{quoted(table)}"
     if limit is not None:

@@ -114,6 +114,10 @@ def test_catalog(spark, folder):
     assert '"columnas_pii":["email"]' in first
     assert catalog.profile("clientes").collect()[0]["digest"] == first
     assert catalog.profiled() == ["clientes"] and catalog.loaded() == ["clientes"]
+    mark = catalog.fingerprint(catalog.get("clientes"))
+    assert mark == catalog.fingerprint(load_csv(spark, path)) and mark.endswith("-1")
+    write(folder, "clientes.csv", "id,email\n" + "".join(f"{i},v{i}@x.cl\n" for i in range(5)))
+    assert mark != catalog.fingerprint(load_csv(spark, path))
     # The same name for other content is profiled anew.
     other = spark.range(3)
     catalog.register("clientes", SourceTable(other, "memory", "clientes"))
