@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, difference
+from checks.queries import QUERIES
+from checks.sql import ORACLE
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -22,9 +24,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
+    assert difference(spark, con, QUERIES[name], ORACLE[name], SF_DIR) is None
