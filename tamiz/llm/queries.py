@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import chat, decontaminate, packing, tokenfile, webpages
+from tamiz.llm import chat, decontaminate, langid, packing, quality, tokenfile, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,11 +83,35 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def fold(document, folds: int):
+    """crc32 of the document id as text, modulo the number of folds."""
+    return F.crc32(document.cast("string")) % folds
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    # A null id has no remainder: its row is not held out, and not learned from.
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    languages = langid.fit_languages(documents, where=fold(F.col("doc_id"), 4) != 2)
+    found = langid.identify(documents.select("doc_id", "text"), languages)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    machine = quality.fit_quality(documents, table(spark, sf_dir, "labels"), learn=lambda d: fold(d, 5) != 0)
+    scored = quality.score_quality(documents.select("doc_id", "text"), machine)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_packing": op3_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_language_id": op7_language_id,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_binary_output": op10_token_binary_output,
 }
 
