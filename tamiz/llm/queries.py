@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import chat, decontaminate, langid, packing, quality, tokenfile, webpages
+from tamiz.llm import chat, decontaminate, langid, neardup, packing, quality, tokenfile, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,26 @@ def fold(document, folds: int):
     return F.crc32(document.cast("string")) % folds
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_documents(table(spark, sf_dir, "documents"), percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i + 1, i + 5) AS sh FROM (
+    SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached(doc_id, r) AS (SELECT doc_id, doc_id FROM documents
+    UNION SELECT reached.doc_id, y FROM reached JOIN edges ON r = x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, min(r) = doc_id AS kept
+FROM reached LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     # A null id has no remainder: its row is not held out, and not learned from.
@@ -110,6 +130,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_binary_output": op10_token_binary_output,
@@ -118,4 +139,5 @@ QUERIES = {
 ORACLE = {
     "op1_chat_formatting": OP1_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
+    "op6_minhash_near_dedup": OP6_SQL,
 }
