@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import chat, decontaminate, langid, neardup, packing, quality, tokenfile, webpages
+from tamiz.llm import ann, chat, decontaminate, langid, neardup, packing, quality, tokenfile, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     machine = quality.fit_quality(documents, table(spark, sf_dir, "labels"), learn=lambda d: fold(d, 5) != 0)
@@ -132,6 +136,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_approximate_nearest_neighbours": op8_approximate_nearest_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_binary_output": op10_token_binary_output,
 }
