@@ -2,7 +2,8 @@
 
 A file is a Parquet container (written by Spark's committer, so a lost task
 leaves nothing half done) of one row per block. The column ``block`` holds a
-block in a format of its own, which needs nothing else to be read:
+block in a format of its own, which needs nothing else to be read (the others
+let readers choose blocks; ``whole`` tells that all its documents are in it):
 
 ======  ======================================================================
 bytes   content
@@ -38,7 +39,7 @@ MAGIC = b"TZK1"
 BLOCK_IDS = 1 << 20
 _HEAD = "<QIIIII"
 
-BLOCK_SCHEMA = "part int, block_no int, n_ids long, block binary"
+BLOCK_SCHEMA = "part int, block_no int, n_ids long, whole boolean, block binary"
 
 
 def write_block(first: int, keys: list, before: int, goes_on: bool, counts: list[int], ids: np.ndarray) -> bytes:
@@ -90,7 +91,7 @@ class _Blocks:
     def _row(self, before: int = 0, goes_on: bool = False):
         ids = np.concatenate(self.ids)
         block = write_block(self.first, self.keys, before, goes_on, self.counts, ids)
-        row = (self.number, len(ids), block)
+        row = (self.number, len(ids), not before and not goes_on, block)
         self.first += len(ids)
         self.number += 1
         self.keys, self.counts, self.ids, self.n = [], [], [], 0
@@ -144,15 +145,16 @@ def write_token_files(
         cut, encode = _Blocks(block_ids), encoder(path)
 
         def batch(rows):
-            numbers, sizes, raw = zip(*rows)
+            numbers, sizes, whole, raw = zip(*rows)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * len(rows), pa.int32()),
                     pa.array(numbers, pa.int32()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(whole, pa.bool_()),
                     pa.array(raw, pa.binary()),
                 ],
-                ["part", "block_no", "n_ids", "block"],
+                ["part", "block_no", "n_ids", "whole", "block"],
             )
 
         for b in batches:
@@ -187,10 +189,6 @@ def read_token_files(spark: SparkSession, folder: str, document: str = "doc_id")
                 raw = ids.astype("<u4").tobytes()
                 end = np.cumsum(counts.astype(np.int64))
                 start = end - counts
-                n = len(keys)
-                parts = np.zeros(n, bool)
-                parts[0] = earlier > 0
-                parts[-1] |= goes_on
                 starts = base + first + start
                 begins = starts.copy()
                 begins[0] -= earlier
@@ -199,16 +197,16 @@ def read_token_files(spark: SparkSession, folder: str, document: str = "doc_id")
                         pa.array(keys, pa.int64()),
                         pa.array(begins, pa.int64()),
                         pa.array(starts, pa.int64()),
-                        pa.array(parts),
                         pa.array([raw[4 * s : 4 * e] for s, e in zip(start.tolist(), end.tolist())], pa.binary()),
                     ],
-                    ["doc", "start", "at", "part_of", "ids"],
+                    ["doc", "start", "at", "ids"],
                 )
 
-    read = files.join(F.broadcast(bases), "part").select("base", "block").mapInArrow(
-        documents, "doc long, start long, at long, part_of boolean, ids binary"
-    )
-    whole = read.where(~F.col("part_of")).select("doc", "start", "ids")
+    def read(blocks: DataFrame) -> DataFrame:
+        based = blocks.join(F.broadcast(bases), "part").select("base", "block")
+        return based.mapInArrow(documents, "doc long, start long, at long, ids binary")
+
+    whole = read(files.where("whole")).select("doc", "start", "ids")
 
     def joined(pieces: pa.Table) -> pa.Table:
         pieces = pieces.sort_by("at")
@@ -218,7 +216,7 @@ def read_token_files(spark: SparkSession, folder: str, document: str = "doc_id")
             ["doc", "start", "ids"],
         )
 
-    long = read.where("part_of").groupBy("start").applyInArrow(joined, "doc long, start long, ids binary")
+    long = read(files.where("NOT whole")).groupBy("start").applyInArrow(joined, "doc long, start long, ids binary")
     return whole.unionByName(long).select(
         F.col("doc").alias(document), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"
     )
