@@ -27,6 +27,8 @@ _FLAG_BITS, _ID_BITS = 12, 16
 _U32, _U16 = np.uint64(32), np.uint64(16)
 _FULL, _LOW = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
 _LEAST = np.uint64(1 << 32)
+# Confidence after a miss, and after a hit.
+_NEXT = np.array([c >> 1 for c in range(_CONFIDENT)] + [min(c + 1, _CONFIDENT - 1) for c in range(_CONFIDENT)], np.uint8)
 
 
 # A sigmoid and its inverse of quotients and roots alone: unlike exp and log
@@ -58,6 +60,7 @@ class Model:
         self.weight = np.array([0.6, 0.6])
         self.flags = np.zeros((2 * _CONFIDENT * _CONFIDENT, 3))
         self.count = np.zeros(IDS, np.int64)
+        self.fresh, self.step = [], 0
         c = np.arange(len(self.flags))
         self.c2, self.c1 = (c >> 3) & 7, c & 7
         self.agree = c >= 64
@@ -67,15 +70,17 @@ class Model:
     def look(self, before2: np.ndarray, before1: np.ndarray):
         slot = ((before2.astype(np.uint32) * np.uint32(0x9E3B) + before1) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
         a, b = self.id2[slot], self.id1[before1]
-        context = (self.sure2[slot].astype(np.int64) << 3) + self.sure1[before1] + ((a == b).astype(np.int64) << 6)
-        return slot, a, b, context
-
-    def learn(self, slot, before1, a, b, context, flag, x):
-        hit2 = a == x
-        hit1 = b == x
-        self._tables(self.id2, self.sure2, slot, hit2, x)
-        self._tables(self.id1, self.sure1, before1, hit1, x)
-        seen = np.bincount(context * 3 + flag, minlength=self.flags.size).reshape(-1, 3)
+        sure2, sure1 = self.sure2[slot], self.sure1[before1]
+        context = (sure2 << np.uint8(3)) | sure1 | ((a == b).view(np.uint8) << np.uint8(6))
+        self.last = slot, before1, sure2, sure1
+        return a, b, context.astype(np.intp)
+
+    def learn(self, a, b, x, cell):
+        """Take in the ids of a step; ``cell`` is 3 * context + flag."""
+        slot, before1, sure2, sure1 = self.last
+        self._tables(self.id2, self.sure2, slot, sure2, a, x)
+        self._tables(self.id1, self.sure1, before1, sure1, b, x)
+        seen = np.bincount(cell, minlength=self.flags.size).reshape(-1, 3)
         # Weights follow the error of the mixed forecast, context by context.
         n, held = seen.sum(1), seen[:, 0]
         error = held - n * self.first
@@ -88,16 +93,24 @@ class Model:
         self.tried1 += np.bincount(self.c1, n, _CONFIDENT)
         self.held1 += np.bincount(self.c1, held1, _CONFIDENT)
         self._flag_table()
-        fresh = x[flag == 2]
-        if len(fresh):
-            self.count += np.bincount(fresh, minlength=IDS)
-            self._id_table()
+
+    def learn_ids(self, fresh):
+        """Ids that neither order foresaw. Shares are made anew after the first
+        steps and then after every fourth."""
+        self.fresh.append(fresh)
+        self.step += 1
+        if self.step <= 8 or self.step % 4 == 0:
+            fresh = np.concatenate(self.fresh)
+            self.fresh = []
+            if len(fresh):
+                self.count += np.bincount(fresh, minlength=IDS)
+                self._id_table()
 
     @staticmethod
-    def _tables(ids, sure, slot, hit, x):
-        old = sure[slot]
-        ids[slot] = np.where(hit | (old > 1), ids[slot], x)
-        sure[slot] = np.where(hit, np.minimum(old + 1, _CONFIDENT - 1), old >> 1)
+    def _tables(ids, sure, slot, old, foreseen, x):
+        hit = foreseen == x
+        ids[slot] = np.where(old > 1, foreseen, x)
+        sure[slot] = _NEXT[old + (hit.view(np.uint8) << np.uint8(3))]
 
     def _flag_table(self):
         p2, p1 = self.held2 / (self.tried2 + 1), self.held1 / (self.tried1 + 1)
@@ -133,8 +146,15 @@ class Model:
         size = np.append(share, whole - int(share.sum()))
         self.id_edge = np.concatenate([[0], np.cumsum(size)]).astype(np.uint64)
         self.id_size = size.astype(np.uint64)
-        self.rank = np.full(IDS, len(seen), np.int64)
-        self.rank[seen] = np.arange(len(seen))
+        self.rank = np.full(IDS, len(seen), np.int32)
+        self.rank[seen] = np.arange(len(seen), dtype=np.int32)
+        self.rank_of = None
+
+    def ranks(self, v: np.ndarray) -> np.ndarray:
+        """The ids (by rank) whose shares hold the values."""
+        if self.rank_of is None:
+            self.rank_of = np.repeat(np.arange(len(self.id_of), dtype=np.int32), self.id_size.astype(np.int64))
+        return self.rank_of[v]
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -150,61 +170,66 @@ class _Writer:
         self.room = 3 * steps + 4
         self.out = np.zeros(lanes * self.room, np.uint16)
         self.base = np.arange(lanes, dtype=np.int64) * self.room
-        self.n = np.zeros(lanes, np.int64)
+        self.at = self.base.copy()
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, _LOW)
 
     def put(self, lane, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """Code an interval in some lanes (a slice or their numbers)."""
+        """Code an interval in some lanes (a slice from 0 or their numbers)."""
         r = self.range[lane] >> np.uint64(bits)
-        low, rng = self.low[lane] + r * start, r * size
+        low = r * start
+        low += self.low[lane]
+        r *= size
+        all_lanes = isinstance(lane, slice)
         over = np.flatnonzero(low >= _FULL)
         if len(over):
             low[over] &= _LOW
-            where = np.arange(len(self.n))[lane][over]
-            at = self.base[where] + self.n[where] - 1
+            at = self.at[over if all_lanes else lane[over]] - 1
             while len(at):
                 self.out[at] += np.uint16(1)
                 at = at[self.out[at] == 0] - 1
-        small = np.flatnonzero(rng < _LEAST)
+        small = np.flatnonzero(r < _LEAST)
         if len(small):
-            where = np.arange(len(self.n))[lane][small]
-            self.out[self.base[where] + self.n[where]] = low[small] >> _U32
-            self.n[where] += 1
-            low[small] = (low[small] << _U16) & _LOW
-            rng[small] <<= _U16
-        self.low[lane], self.range[lane] = low, rng
+            where = small if all_lanes else lane[small]
+            at, rest = self.at[where], low[small]
+            self.out[at] = rest >> _U32
+            self.at[where] = at + 1
+            low[small] = (rest << _U16) & _LOW
+            r[small] <<= _U16
+        self.low[lane], self.range[lane] = low, r
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Words of all lanes one after the other, and how many each has. The
         reader takes missing words as zero."""
         low = self.low + (_LEAST - np.uint64(1))
         over = np.flatnonzero(low >= _FULL)
-        at = self.base[over] + self.n[over] - 1
+        at = self.at[over] - 1
         while len(at):
             self.out[at] += np.uint16(1)
             at = at[self.out[at] == 0] - 1
-        self.out[self.base + self.n] = (low & _LOW) >> _U32
-        self.n += 1
-        inside = np.arange(self.room)[None, :] < self.n[:, None]
-        return self.out.reshape(len(self.n), self.room)[inside], self.n
+        self.out[self.at] = (low & _LOW) >> _U32
+        n = self.at + 1 - self.base
+        inside = np.arange(self.room)[None, :] < n[:, None]
+        return self.out.reshape(len(n), self.room)[inside], n
 
 
 class _Reader:
     def __init__(self, words: np.ndarray, n: np.ndarray):
-        end = np.cumsum(n)
-        self.words = np.append(words, np.zeros(4, np.uint16)).astype(np.uint64)
-        self.at, self.end = end - n, end
+        # Each lane's words, with room for the zeros that were not written.
+        spaced = np.zeros(int(n.sum()) + 4 * len(n), np.uint16)
+        self.at = np.cumsum(n + 4) - (n + 4)
+        spaced[np.arange(len(words)) + np.repeat(4 * np.arange(len(n)), n)] = words
+        self.words = spaced
         self.range = np.full(len(n), _LOW)
         self.value = np.zeros(len(n), np.uint64)
         for _ in range(3):
-            self.value = (self.value << _U16) | self._next(np.arange(len(n)))
+            self.value = (self.value << _U16) | self._next(slice(None))
 
-    def _next(self, lane: np.ndarray) -> np.ndarray:
+    def _next(self, lane) -> np.ndarray:
         at = self.at[lane]
-        word = np.where(at < self.end[lane], self.words[np.minimum(at, len(self.words) - 1)], np.uint64(0))
+        word = self.words[at]
         self.at[lane] = at + 1
-        return word
+        return word.astype(np.uint64)
 
     def peek(self, lane, bits: int) -> np.ndarray:
         self.part = self.range[lane] >> np.uint64(bits)
@@ -214,8 +239,7 @@ class _Reader:
         value, rng = self.value[lane] - self.part * start, self.part * size
         small = np.flatnonzero(rng < _LEAST)
         if len(small):
-            where = np.arange(len(self.at))[lane][small]
-            value[small] = (value[small] << _U16) | self._next(where)
+            value[small] = (value[small] << _U16) | self._next(small if isinstance(lane, slice) else lane[small])
             rng[small] <<= _U16
         self.value[lane], self.range[lane] = value, rng
 
@@ -240,19 +264,21 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for t in range(steps):
         k = active(t)
         two, one, x = two[:k], one[:k], grid[t, :k]
-        slot, a, b, context = model.look(two, one)
-        flag = np.where(a == x, 0, np.where(b == x, 1, 2))
+        a, b, context = model.look(two, one)
+        missed2 = a != x
+        flag = missed2.view(np.uint8) + (missed2 & (b != x)).view(np.uint8)
         f = context * 3 + flag
         out.put(slice(0, k), model.flag_start[f], model.flag_size[f], _FLAG_BITS)
         neither = np.flatnonzero(flag == 2)
+        own = x[neither]
         if len(neither):
-            own = x[neither]
             r = model.rank[own]
             out.put(neither, model.id_edge[r], model.id_size[r], _ID_BITS)
             new = np.flatnonzero(r == len(model.id_of) - 1)
             if len(new):
                 out.put(neither[new], own[new].astype(np.uint64), np.uint64(1), _ID_BITS)
-        model.learn(slot, one, a, b, context, flag, x)
+        model.learn(a, b, x, f)
+        model.learn_ids(own)
         two, one = one, x
     return out.finish() if lanes else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
 
@@ -262,21 +288,20 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int) -> np.ndarray:
     grid = np.zeros((steps, lanes), np.uint16)
     model, code = Model(), _Reader(words, per_lane)
     two = one = np.zeros(lanes, np.uint16)
-    lookup = None
     for t in range(steps):
         k = active(t)
         two, one = two[:k], one[:k]
-        slot, a, b, context = model.look(two, one)
+        a, b, context = model.look(two, one)
         v = code.peek(slice(0, k), _FLAG_BITS)
         edge = model.flag_edge[context]
-        flag = (v >= edge[:, 1]).astype(np.int64) + (v >= edge[:, 2])
+        flag = (v >= edge[:, 1]).view(np.uint8) + (v >= edge[:, 2]).view(np.uint8)
         f = context * 3 + flag
         code.take(slice(0, k), model.flag_start[f], model.flag_size[f])
         x = np.where(flag == 0, a, b)
         neither = np.flatnonzero(flag == 2)
+        own = x[neither]
         if len(neither):
-            lookup = np.repeat(np.arange(len(model.id_of)), model.id_size.astype(np.int64))
-            r = lookup[code.peek(neither, _ID_BITS).astype(np.int64)]
+            r = model.ranks(code.peek(neither, _ID_BITS))
             code.take(neither, model.id_edge[r], model.id_size[r])
             own = model.id_of[r]
             new = np.flatnonzero(r == len(model.id_of) - 1)
@@ -286,6 +311,7 @@ def decode(words: np.ndarray, per_lane: np.ndarray, n: int) -> np.ndarray:
                 own[new] = value
             x[neither] = own
         grid[t, :k] = x
-        model.learn(slot, one, a, b, context, flag, x)
+        model.learn(a, b, x, f)
+        model.learn_ids(own)
         two, one = one, x
     return grid.T.reshape(-1)[:n].astype(np.uint32)
