@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import ann, chat, decontaminate, langid, neardup, packing, quality, tokenfile, webpages
+from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, tokenfile, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return licenses.scan_licences(documents, licenses.fit_licences(documents))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
@@ -131,6 +136,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_license_scans": op2_license_scans,
     "op3_packing": op3_packing,
     "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
