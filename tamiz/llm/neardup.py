@@ -8,11 +8,13 @@
    prefix: where few classes share the least prefix (a sparse region), all of
    them; in a crowded region only the nearest, which share longer prefixes.
 3. Candidates that the whole signature does not rule out are confirmed on the
-   full sets.
-4. Crowded regions are where step 2 left pairs out. Their classes, with fresh
-   signatures, go through many more orders; only pairs of classes that are not
-   yet in one component count, and as the signatures are sorted whole, a pair
-   is met where its common prefix is longer than that of others.
+   full sets: first each class's likeliest, then all between classes that are
+   not yet in one component.
+4. Crowded regions are where step 2 left pairs out. Where their classes are not
+   all in one component, they go, with fresh signatures, through many more
+   orders; only pairs of different components count, and as the signatures are
+   sorted whole, a pair is met where its common prefix is longer than that of
+   others.
 """
 
 from __future__ import annotations
@@ -102,18 +104,19 @@ def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width: int, crowded_width: int) -> DataFrame:
     """Scan orders: ``placed`` has (o, key, node, n, component). Gives rows
-    (a, b) of candidate pairs, and (a, null) for classes in crowded regions.
+    (a, b, m) of candidate pairs with their matching values, and (a, null,
+    region) for classes in crowded regions.
 
     Partitions are ranges of (order, key, node), so any run of equal keys can
     be split; what faces each other over the edge of two ranges is compared in
     a second, small step."""
     node = placed.schema["node"].dataType
-    pair = T.StructType([T.StructField("a", node), T.StructField("b", node)])
+    pair = T.StructType([T.StructField("a", node), T.StructField("b", node), T.StructField("m", T.LongType())])
     row = [T.StructField("o", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("node", node), T.StructField("n", T.LongType()), T.StructField("component", node)]
     scanned = T.StructType([*pair.fields, T.StructField("edge", T.LongType()), T.StructField("place", T.IntegerType()), *row])
     columns = ["o", "key", "node", "n", "component"]
 
-    def found(t: pa.Table, fresh: int) -> tuple[list, list]:
+    def found(t: pa.Table, fresh: int) -> list:
         """Pairs whose second row is at ``fresh`` or later, and crowded rows."""
         keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, VALUES)
         o, n = t.column("o").to_numpy(), t.column("n").to_numpy()
@@ -123,7 +126,7 @@ def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width
             head = (head << np.uint64(8)) | keys[:, k]
         component = t.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         node_of = t.column("node").combine_chunks()
-        first, second, crowd = [], [], []
+        first, second, matching, crowd = [], [], [], np.zeros(0, np.int64)
         end = len(o)
         beyond = np.zeros(end, bool)
         if end > width:
@@ -140,28 +143,27 @@ def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             close = small * 100 >= large * percent
             i, j = i[close], j[close]
-            close = (keys[i] == keys[j]).sum(1) >= matches
+            same = (keys[i] == keys[j]).sum(1)
+            close = same >= matches
             first.append(j[close])
             second.append(i[close])
-        a = node_of.take(pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-        b = node_of.take(pa.array(np.concatenate(second) if second else np.zeros(0, np.int64)))
-        return [a, b], node_of.take(pa.array(np.asarray(crowd, np.int64)))
-
-    def rows_of(pairs, crowd, t=None, edge=0, place=()):
-        """Output batch: pairs, crowded rows, rows at the edge of the range."""
-        t = t.slice(0, 0) if t is None else t
-        m, k, e = len(pairs[0]), len(crowd), t.num_rows
+            matching.append(same[close])
+        joined = lambda xs: pa.array(np.concatenate([np.zeros(0, np.int64), *xs]))
+        # Crowded rows follow the pairs; their region stands in for the matches.
+        a = node_of.take(joined([*first, crowd]))
+        b = pa.concat_arrays([node_of.take(joined(second)), pa.nulls(len(crowd), node_of.type)])
+        return [a, b, joined([*matching, H.mix(head[crowd]).view(np.int64)])]
+
+    def rows_of(pairs, t, edge=0, place=()):
+        """Output batch: pairs and crowded rows, rows at the edge of the range."""
+        m, e = len(pairs[0]), t.num_rows
         blank = lambda kind, size: pa.nulls(size, kind)
-        kind = crowd.type
-        arrays = [
-            pa.concat_arrays([pairs[0], crowd, blank(kind, e)]),
-            pa.concat_arrays([pairs[1], blank(kind, k + e)]),
-            pa.concat_arrays([blank(pa.int64(), m + k), pa.array([edge] * e, pa.int64())]),
-            pa.concat_arrays([blank(pa.int32(), m + k), pa.array(list(place), pa.int32())]),
-        ]
+        arrays = [pa.concat_arrays([x, blank(x.type, e)]) for x in pairs]
+        arrays.append(pa.concat_arrays([blank(pa.int64(), m), pa.array([edge] * e, pa.int64())]))
+        arrays.append(pa.concat_arrays([blank(pa.int32(), m), pa.array(list(place), pa.int32())]))
         for c in columns:
             own = t.column(c).combine_chunks()
-            arrays.append(pa.concat_arrays([blank(own.type, m + k), own]))
+            arrays.append(pa.concat_arrays([blank(own.type, m), own]))
         return pa.RecordBatch.from_arrays(arrays, scanned.names)
 
     def scan(batches):
@@ -175,26 +177,24 @@ def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width
                 continue
             before = 0 if held is None else held.num_rows
             whole = t if held is None else pa.concat_tables([held, t])
-            pairs, crowd = found(whole, before)
-            yield rows_of(pairs, crowd, whole.slice(0, 0))
+            yield rows_of(found(whole, before), whole.slice(0, 0))
             head = whole.slice(0, width) if head is None or head.num_rows < width else head
             held = whole.slice(max(0, whole.num_rows - width))
         if held is not None:
             none = held.column("node").combine_chunks().slice(0, 0)
+            none = [none, none, pa.array([], pa.int64())]
             # The first rows meet the last ones of the range before.
-            yield rows_of([none, none], none, head, part, range(head.num_rows))
-            yield rows_of([none, none], none, held, part + 1, range(-held.num_rows, 0))
+            yield rows_of(none, head, part, range(head.num_rows))
+            yield rows_of(none, held, part + 1, range(-held.num_rows, 0))
 
     def over_edge(group: pa.Table) -> pa.Table:
         group = group.sort_by("place")
-        pairs, crowd = found(group.select(columns), int((group.column("place").to_numpy() < 0).sum()))
-        none = pa.nulls(len(crowd), crowd.type)
-        return pa.table([pa.concat_arrays([pairs[0], crowd]), pa.concat_arrays([pairs[1], none])], ["a", "b"])
+        return pa.table(found(group.select(columns), int((group.column("place").to_numpy() < 0).sum())), ["a", "b", "m"])
 
     ordered = placed.select(columns).repartitionByRange("o", "key", "node").sortWithinPartitions("o", "key", "node")
     out = materialize(ordered.mapInArrow(scan, scanned), "neighbours")
     facing = out.where("edge IS NOT NULL").groupBy("edge").applyInArrow(over_edge, pair)
-    return out.where("edge IS NULL").select("a", "b").unionByName(facing)
+    return out.where("edge IS NULL").select("a", "b", "m").unionByName(facing)
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -229,9 +229,45 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
 
-def _distinct_pairs(found: DataFrame) -> DataFrame:
-    pairs = found.where("b IS NOT NULL AND a <> b")
-    return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+def _named(pairs: DataFrame, components: DataFrame | None) -> DataFrame:
+    """Pairs (a, b, ...) between different components, with these (ca, cb). A
+    node without component is one of its own."""
+    if components is None:
+        return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    with_a = pairs.join(components.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    both = with_a.join(components.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+
+def _linked(found: DataFrame, components: DataFrame | None, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Components after confirming candidates: twice the likeliest pair of each
+    node, which joins most of what belongs together, then every pair that is
+    still between two components. None is left out: a pair within a component
+    cannot change it."""
+    pairs = found.where("b IS NOT NULL AND a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = materialize(pairs.agg(F.max("m").alias("m")), "pairs")
+    for step in ("likeliest", "likeliest", "all"):
+        left = materialize(_named(left.select("a", "b", "m"), components), "pairs")
+        if left.isEmpty():
+            break
+        chosen = left
+        if step == "likeliest":
+            ways = left.select(F.col("a").alias("u"), "a", "b", "m").unionByName(left.select(F.col("b").alias("u"), "a", "b", "m"))
+            best = ways.groupBy("u").agg(F.max(F.struct("m", "a", "b")).alias("p"))
+            chosen = materialize(best.select("p.a", "p.b").distinct(), "chosen")
+            left, open_ = left.join(chosen, ["a", "b"], "left_anti"), left
+            chosen = open_.join(chosen, ["a", "b"], "left_semi")
+        links = _confirmed(chosen.select("a", "b"), rows, size, percent)
+        between = chosen.select(F.col("a").alias("u"), F.col("b").alias("v"), "ca", "cb").join(links, ["u", "v"], "left_semi")
+        merged = materialize(connected_components(between.select(F.col("ca").alias("u"), F.col("cb").alias("v"))), "components")
+        if components is None:
+            components = merged
+            continue
+        top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        old = components.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        new = merged.join(components.select("node"), "node", "left_anti")
+        components = materialize(old.unionByName(new.select("node", "component")), "components")
+    return components
 
 
 def link_documents(
@@ -259,7 +295,6 @@ def link_documents(
 
     def in_orders(signed: DataFrame) -> DataFrame:
         """(o, key, ...): the signature begun at every ``step``-th value."""
-        cut = F.col("at") * step
         turned = F.concat(F.expr(f"substring(signature, at * {step} + 1)"), F.expr(f"substring(signature, 1, at * {step})"))
         return signed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).select(
             (F.col("base") * ORDERS + F.col("at")).cast("int").alias("o"), turned.alias("key"), "node", "n", "component"
@@ -272,14 +307,17 @@ def link_documents(
         ),
         "candidates",
     )
-    links = _confirmed(_distinct_pairs(first), rows, words, percent)
-    components = materialize(connected_components(links), "components")
-
-    crowd = materialize(
-        first.where("b IS NULL").select(F.col("a").alias("node")).distinct().join(components, "node", "left")
-        .select("node", F.coalesce("component", "node").alias("component")),
-        "crowd",
-    )
+    components = _linked(first, None, rows, words, percent)
+
+    # Regions that step 2 did not compare in full and that are not yet whole.
+    near = first.where("b IS NULL").select(F.col("a").alias("node"), F.col("m").alias("region")).distinct()
+    if components is not None:
+        near = near.join(components, "node", "left")
+    else:
+        near = near.withColumn("component", F.col("node"))
+    near = materialize(near.withColumn("component", F.coalesce("component", "node")), "crowded")
+    mixed = near.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    crowd = materialize(near.join(mixed.select("region"), "region", "left_semi").select("node", "component").distinct(), "crowd")
     if not crowd.isEmpty():
         kind = rows.schema["d"].dataType
         signed = T.StructType(
@@ -303,19 +341,10 @@ def link_documents(
 
         fresh = materialize(_texts_of(rows, crowd).select("d", "t", "component").mapInArrow(sign, signed), "crowd-signatures")
         second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH)
-        more = _confirmed(_distinct_pairs(second), rows, words, percent)
-        named = components.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        named_v = components.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        between = more.join(named, "u", "left").join(named_v, "v", "left").select(
-            F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")
-        )
-        merged = materialize(connected_components(between), "components").select(F.col("node").alias("component"), F.col("component").alias("top"))
-        all_nodes = components.unionByName(
-            # Nodes that only the second step has linked name themselves first.
-            merged.select(F.col("component").alias("node"), F.col("component")).join(components.select("node"), "node", "left_anti")
-        )
-        components = all_nodes.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        components = _linked(second, components, rows, words, percent)
 
+    if components is None:
+        components = classes.select("node", F.col("node").alias("component")).limit(0)
     of_class = classes.join(components, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
     # A class may have a third of all rows: the join can be split, a group can't.
     joined = described.withColumn("c", F.when(F.col("d").isNotNull() & (F.col("n") > 0), F.col("digest"))).join(
