@@ -57,7 +57,7 @@ def _top(edges: DataFrame, k: int, order: str) -> DataFrame:
     """The k first edges (u, v, d) of each u by ``order``, each once. Done per
     salt first, so that a hub's edges do not meet in one task before they are
     few."""
-    pick = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)
+    pick = lambda c: F.slice(F.sort_array(F.array_distinct(c)), 1, k)
     keyed = edges.select("u", F.struct(F.expr(order).alias("o"), "v", "d").alias("e"))
     part = keyed.groupBy("u", F.pmod(F.xxhash64("e.v"), F.lit(_SALTS)).alias("salt")).agg(pick(F.collect_list("e")).alias("es"))
     whole = part.groupBy("u").agg(pick(F.flatten(F.collect_list("es"))).alias("es"))
@@ -197,7 +197,7 @@ def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list,
         fresh = found.where("q <> v").select("q", F.struct("d", "v", F.lit(False).alias("done")).alias("e"))
         if before is not None:
             fresh = fresh.unionByName(before.select("q", F.explode("b").alias("e")))
-        return fresh.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("e"))), 1, beam).alias("b"))
+        return fresh.groupBy("q").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list("e"))), 1, beam).alias("b"))
 
     # A query that is a vector of the table also starts at its own neighbours.
     own = queries.select("q").join(ways.withColumnRenamed("u", "q"), "q").select("q", F.explode("vs").alias("v"))
@@ -260,7 +260,7 @@ def nearest(
     pairs = close.join(table, "node").join(table.select(F.col("node").alias("q"), F.col("v").alias("w")), "q")
     score = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     best = pairs.select("q", F.struct(score.alias("score"), "node").alias("e")).groupBy("q").agg(
-        F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("es")
+        F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("es")
     )
     return best.select("q", F.posexplode("es").alias("i", "e")).select(
         F.col("q").alias("query_id"), (F.col("i") + 1).cast("int").alias("rank"), F.col("e.node").alias(key), F.col("e.score").alias("score")
