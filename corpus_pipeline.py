@@ -1,8 +1,75 @@
-"""Pipeline (under way)."""
+"""Documents on their way to training sequences: quality, language,
+near-duplicates, benchmark passages, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns
+the columns of documents; the last one returns packed pieces. Rows with null
+ids or texts, repeated rows and empty tables pass through every stage: a null
+or empty text has no letter and goes with the language stage at the latest.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tamiz.llm import decontaminate, langid, neardup, packing, quality
+from tamiz.session import materialize
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels, accepts."""
+    machine = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, machine).where("predicted = 1").select(docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents near enough to a language of the corpus."""
+    return langid.identify(docs, langid.fit_languages(docs)).where("NOT rejected").select(docs.columns)
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with 0.8 or more of their five-word shingles
+    in common, the one with the smallest id; of rows that repeat an id, one.
+    Rows without id are in no group and stay."""
+    linked = neardup.link_documents(docs.select("doc_id", "text"), percent=80)
+    kept = linked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = materialize(kept, "kept-documents")
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    first = repeated.dropDuplicates(["doc_id"])
+    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    found = decontaminate.decontaminate(keyed.select("row_key", "text"), _table(spark, sf_dir, "benchmark"), document="row_key")
+    return keyed.join(found.where("contaminated").select("row_key"), "row_key", "left_anti").select(docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 ids."""
+    pieces = packing.pack(docs)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_languages),
+    ("near_duplicates", keep_one_of_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_documents),
+]
+
+#: Fitted models and token ids are beyond SQL: tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -79,15 +79,14 @@ class TextEncoder:
         """Start, number and list of ids of pieces. Those of ASCII letters go
         to the tokenizer many at a time with stops between: they have no id of
         a stop. Others go one by one."""
-        texts = [p.decode("utf-8") for p in pieces]
-        simple = np.array([p.isalpha() for p in pieces], bool)
+        simple = np.fromiter(map(bytes.isalpha, pieces), bool, len(pieces))
         at, n, ids = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), []
         total = 0
         for lo in range(0, len(pieces), 4096):
             some = lo + np.flatnonzero(simple[lo : lo + 4096])
             if not len(some):
                 continue
-            joined = " . ".join([texts[i] for i in some])
+            joined = b" . ".join(map(pieces.__getitem__, some.tolist())).decode("ascii")
             got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(got == self.stop)
             start = np.concatenate([[0], cut + 1])
@@ -95,8 +94,8 @@ class TextEncoder:
             n[some] = np.concatenate([cut, [len(got)]]) - start
             ids.append(got)
             total += len(got)
-        odd = np.flatnonzero(~simple)
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False)):
+        odd = np.flatnonzero(~simple).tolist()
+        for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8") for i in odd], add_special_tokens=False)):
             at[i], n[i] = total, len(e.ids)
             ids.append(np.array(e.ids, np.uint32))
             total += n[i]
@@ -115,8 +114,10 @@ class TextEncoder:
         _, is_new = self.recent.find(some)
         lacking = np.flatnonzero(~is_old & ~is_new)
         if len(lacking):
-            raw = [data[start[i] : end[i]].tobytes() for i in first[lacking]]
-            self.recent.add(some[lacking], *self._ids(raw))
+            base, buffer = int(offsets[0]), data[offsets[0] : offsets[-1]].tobytes()
+            place = first[lacking]
+            cut = map(slice, (start[place] - base).tolist(), (end[place] - base).tolist())
+            self.recent.add(some[lacking], *self._ids(list(map(buffer.__getitem__, cut))))
         new, is_new = self.recent.find(some)
         at, n = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
         at[is_old], n[is_old] = self.known.at[old[is_old]], self.known.n[old[is_old]]
