@@ -226,7 +226,8 @@ def _with_similarity(rows: DataFrame, notices: dict[str, list[list[int]]], famil
         chosen = F.lit(0.0)
         for name in families:
             chosen = F.when(family == name, best[name]).otherwise(chosen)
-    return rows.withColumn("own", F.array_distinct(_pairs(F.col("w")))).withColumn("similarity", chosen).drop("own")
+    owned = _settled(rows, rows.columns, {"own": F.array_distinct(_pairs(F.col("w")))}, lambda s: s["own"].isNotNull())
+    return owned.withColumn("similarity", chosen).drop("own")
 
 
 def fit_licences(documents: DataFrame, document: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> LicenceModel:
@@ -241,7 +242,7 @@ def fit_licences(documents: DataFrame, document: str = "doc_id", text: str = "te
     share = min(1.0, sample / n) if n else 1.0
     lines = paragraphs(documents, document, text).withColumn("h", F.xxhash64("d", "paragraph", "line"))
     chosen = lines.where(F.pmod("h", F.lit(10_000_019)) < F.lit(10_000_019.0 * share))
-    cut = chosen.select("h", words_of(F.col("line")).alias("w")).where(F.size("w") > 0)
+    cut = _settled(chosen, ["h"], {"w": words_of(F.col("line"))}, lambda s: F.size(s["w"]) > 0)
     strange = _with_similarity(cut, notices, [*NOTICES], None).where("similarity < 0.5")
     corpus = strange.select(F.lit(UNKNOWN).alias("family"), "w", "h")
     rows = _variants(spark).withColumn("h", F.xxhash64("family", "w")).unionByName(corpus)
