@@ -33,8 +33,13 @@ from tamiz.session import materialize
 VALUES = 128
 ORDERS = 16
 WIDTH = 8
-#: In crowded regions: neighbours in the first orders, signatures and width later.
-CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH = 2, 8, 16
+#: In crowded regions: neighbours in the first orders; signatures, width and
+#: length of the keys later.
+CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 8, 16, 12
+#: There a bit each of so many fresh signatures' values tells how similar two are.
+BIT_SIGNATURES = 16
+#: Shingle sets that are broadcast for confirming; larger ones are shuffled.
+BROADCAST_BYTES = 48 << 20
 #: A pair at the threshold is missed by all first orders with this chance at most.
 MISS = 2e-5
 #: Standard errors by which a signature may fall short of the threshold.
@@ -48,8 +53,11 @@ def least_depth(threshold: float, orders: int = ORDERS, miss: float = MISS) -> i
     return depth
 
 
-def least_matches(threshold: float) -> int:
-    return math.floor(VALUES * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / VALUES)))
+def least_matches(threshold: float, values: int = VALUES, kinds: float = math.inf) -> int:
+    """Values that a pair at the threshold has in common, less the slack. Values
+    of few kinds agree by chance as well."""
+    p = threshold + (1 - threshold) / kinds
+    return math.floor(values * (p - SLACK * math.sqrt(p * (1 - p) / values)))
 
 
 def _permutations(seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,23 +110,29 @@ def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.withColumnRenamed("node", "d"), "d")
 
 
-def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width: int, crowded_width: int) -> DataFrame:
-    """Scan orders: ``placed`` has (o, key, node, n, component). Gives rows
-    (a, b, m) of candidate pairs with their matching values, and (a, null,
-    region) for classes in crowded regions.
+def _neighbours(
+    placed: DataFrame, depth: int, matches: int, percent: int, width: int, crowded_width: int, bits: bool = False
+) -> DataFrame:
+    """Scan orders: ``placed`` has (o, key, sketch, node, n, component). Gives
+    rows (a, b, m) of candidate pairs with their matching values (the bytes of
+    the sketch, or its bits), and (a, null, region) for classes in crowded
+    regions. Without a sketch the key is one.
 
     Partitions are ranges of (order, key, node), so any run of equal keys can
     be split; what faces each other over the edge of two ranges is compared in
     a second, small step."""
     node = placed.schema["node"].dataType
     pair = T.StructType([T.StructField("a", node), T.StructField("b", node), T.StructField("m", T.LongType())])
-    row = [T.StructField("o", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("node", node), T.StructField("n", T.LongType()), T.StructField("component", node)]
+    row = [T.StructField("o", T.IntegerType()), T.StructField("key", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("node", node), T.StructField("n", T.LongType()), T.StructField("component", node)]
     scanned = T.StructType([*pair.fields, T.StructField("edge", T.LongType()), T.StructField("place", T.IntegerType()), *row])
-    columns = ["o", "key", "node", "n", "component"]
+    columns = ["o", "key", "sketch", "node", "n", "component"]
 
     def found(t: pa.Table, fresh: int) -> list:
         """Pairs whose second row is at ``fresh`` or later, and crowded rows."""
-        keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, VALUES)
+        keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        sketch = keys
+        if bits:
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         o, n = t.column("o").to_numpy(), t.column("n").to_numpy()
         # Rows with one prefix in one order, as one number.
         head = np.zeros(len(o), np.uint64) + o.astype(np.uint64)
@@ -143,7 +157,10 @@ def _neighbours(placed: DataFrame, depth: int, matches: int, percent: int, width
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             close = small * 100 >= large * percent
             i, j = i[close], j[close]
-            same = (keys[i] == keys[j]).sum(1)
+            if bits:
+                same = 64 * sketch.shape[1] - np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            else:
+                same = (sketch[i] == sketch[j]).sum(1)
             close = same >= matches
             first.append(j[close])
             second.append(i[close])
@@ -221,9 +238,12 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType
+    # The sets of crowded regions are few and their pairs many.
+    few = (known.agg(F.sum(F.octet_length("s") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    x, y = known.select(F.col("d").alias("a"), F.col("s").alias("x")), known.select(F.col("d").alias("b"), F.col("s").alias("y"))
     joined = (
-        pairs.join(known.select(F.col("d").alias("a"), F.col("s").alias("x")), "a")
-        .join(known.select(F.col("d").alias("b"), F.col("s").alias("y")), "b")
+        pairs.join(F.broadcast(x) if few else x, "a")
+        .join(F.broadcast(y) if few else y, "b")
         .select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
     )
     return joined.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
@@ -296,9 +316,11 @@ def link_documents(
     def in_orders(signed: DataFrame) -> DataFrame:
         """(o, key, ...): the signature begun at every ``step``-th value."""
         turned = F.concat(F.expr(f"substring(signature, at * {step} + 1)"), F.expr(f"substring(signature, 1, at * {step})"))
-        return signed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).select(
-            (F.col("base") * ORDERS + F.col("at")).cast("int").alias("o"), turned.alias("key"), "node", "n", "component"
-        )
+        key = turned if "sketch" not in signed.columns else F.expr(f"substring(turned, 1, {CROWDED_KEY})")
+        at = signed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).withColumn("turned", turned)
+        sketch = F.col("sketch") if "sketch" in signed.columns else F.lit(None).cast("binary")
+        order = (F.col("base") * ORDERS + F.col("at")).cast("int")
+        return at.select(order.alias("o"), key.alias("key"), sketch.alias("sketch"), "node", "n", "component")
 
     first = materialize(
         _neighbours(
@@ -321,26 +343,30 @@ def link_documents(
     if not crowd.isEmpty():
         kind = rows.schema["d"].dataType
         signed = T.StructType(
-            [T.StructField("base", T.IntegerType()), T.StructField("signature", T.BinaryType()), T.StructField("node", kind), T.StructField("n", T.LongType()), T.StructField("component", kind)]
+            [T.StructField("base", T.IntegerType()), T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.BinaryType()), T.StructField("node", kind), T.StructField("n", T.LongType()), T.StructField("component", kind)]
         )
 
         def sign(batches):
             for b in batches:
-                base, sketch, at, n = [], [], [], []
+                base, signatures, sketches, at, n = [], [], [], [], []
                 for i, s in enumerate(shingle_sets(b.column("t"), words)):
-                    for seed in range(1, CROWDED_SIGNATURES + 1):
+                    own = [signature(s, seed) for seed in range(1, BIT_SIGNATURES + 1)]
+                    sketch = np.packbits(np.frombuffer(b"".join(own), np.uint8) & 1).tobytes()
+                    for seed in range(CROWDED_SIGNATURES):
                         base.append(seed)
-                        sketch.append(signature(s, seed))
+                        signatures.append(own[seed])
+                        sketches.append(sketch)
                         at.append(i)
                         n.append(len(s))
                 at = pa.array(at, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(base, pa.int32()), pa.array(sketch, pa.binary()), b.column("d").take(at), pa.array(n, pa.int64()), b.column("component").take(at)],
+                    [pa.array(base, pa.int32()), pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary()), b.column("d").take(at), pa.array(n, pa.int64()), b.column("component").take(at)],
                     signed.names,
                 )
 
         fresh = materialize(_texts_of(rows, crowd).select("d", "t", "component").mapInArrow(sign, signed), "crowd-signatures")
-        second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH)
+        matches = least_matches(threshold, VALUES * BIT_SIGNATURES, 2)
+        second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH, bits=True)
         components = _linked(second, components, rows, words, percent)
 
     if components is None:
