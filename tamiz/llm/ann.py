@@ -171,17 +171,6 @@ def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list,
     keys, xs = [r["q"] for r in rows], np.array([np.frombuffer(r["x"], np.float32) for r in rows])
     place = {k: i for i, k in enumerate(keys)}
     measured = T.StructType([T.StructField("q", kind), T.StructField("v", kind), T.StructField("d", T.FloatType())])
-    entry_nodes, entry_x = [e["node"] for e in entries], np.array([np.frombuffer(e["x"], np.float32) for e in entries])
-
-    def enter(batches):
-        for b in batches:
-            q = b.column("q").to_pylist()
-            d = _distances(xs[[place[k] for k in q]], entry_x) if q else np.zeros((0, 0))
-            for i, k in enumerate(q):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(entry_nodes), b.schema.field("q").type), pa.array(entry_nodes, b.schema.field("q").type), pa.array(d[i].astype(np.float32))],
-                    measured.names,
-                )
 
     def measure(batches):
         for b in batches:
@@ -201,8 +190,8 @@ def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list,
 
     # A query that is a vector of the table also starts at its own neighbours.
     own = queries.select("q").join(ways.withColumnRenamed("u", "q"), "q").select("q", F.explode("vs").alias("v"))
-    first = queries.select("q").mapInArrow(enter, measured).unionByName(distances(own))
-    now = materialize(merged(first, None), "beam")
+    common = queries.select("q", F.explode(F.array(*[F.lit(e) for e in entries])).alias("v"))
+    now = materialize(merged(distances(own.unionByName(common).distinct()), None), "beam")
     while True:
         open_ = now.select("q", F.explode(F.filter("b", lambda e: ~e["done"])).alias("e")).select("q", F.col("e.v").alias("u"))
         if open_.isEmpty():
@@ -245,7 +234,7 @@ def nearest(
     )
     graph = build_graph(packed, dim)
     ways = materialize(_both_ways(graph, 2 * DEGREE).groupBy("u").agg(F.collect_list("v").alias("vs")), "ways")
-    entries = packed.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    entries = [r["node"] for r in packed.orderBy(F.xxhash64("node"), "node").select("node").limit(ENTRIES).collect()]
 
     queries = packed.where(is_query(F.col("node"))).select(F.col("node").alias("q"), "x")
     blocks = max(1, -(-queries.count() * dim * 4 // query_bytes))
