@@ -196,6 +196,10 @@ class Page:
             if not article and tag not in ("article", "main", "body", "html"):
                 drop = drop or tag in NOT_TEXT_TAGS or role in NOT_TEXT_ROLES
                 drop = drop or bool(words & (EVERYWHERE if inside else OUTSIDE))
+            # A label around an article is no reason to lose it, unless the
+            # article is one of several inside the content, as comments are.
+            if inside and article and (a, b) not in content:
+                drop = drop or bool(words & EVERYWHERE)
             if drop:
                 gone[a:b] = [True] * (b - a)
         if content:
