@@ -35,11 +35,13 @@ ORDERS = 16
 WIDTH = 8
 #: In crowded regions: neighbours in the first orders; signatures, width and
 #: length of the keys later.
-CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 8, 16, 12
+CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 5, 32, 12
 #: There a bit each of so many fresh signatures' values tells how similar two are.
 BIT_SIGNATURES = 16
-#: Shingle sets that are broadcast for confirming; larger ones are shuffled.
+#: Shingle sets and lists of ids that are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of shingle sets that a task compares.
+COMPARED_BYTES = 16 << 20
 #: A pair at the threshold is missed by all first orders with this chance at most.
 MISS = 2e-5
 #: Standard errors by which a signature may fall short of the threshold.
@@ -106,8 +108,11 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of the given nodes (column ``node``), one per text."""
-    return rows.join(nodes.withColumnRenamed("node", "d"), "d")
+    """Rows of the given nodes (column ``node``), one per text. Their list is
+    small beside the texts, which stay where they are read if it may be sent."""
+    nodes = nodes.withColumnRenamed("node", "d")
+    few = nodes.count() * 64 <= BROADCAST_BYTES
+    return rows.join(F.broadcast(nodes) if few else nodes, "d")
 
 
 def _neighbours(
@@ -216,15 +221,17 @@ def _neighbours(
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full shingle sets are similar enough."""
+    pairs = materialize(pairs, "to-confirm")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = materialize(nodes, "to-confirm")
 
-    def sets(batches):
+    def shingled(batches):
         for b in batches:
             made = [s.tobytes() for s in shingle_sets(b.column("t"), size)]
             yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(made, pa.binary())], ["d", "s"])
 
     schema = T.StructType([rows.schema["d"], T.StructField("s", T.BinaryType())])
-    known = materialize(_texts_of(rows, nodes).mapInArrow(sets, schema), "shingle-sets")
+    known = materialize(_texts_of(rows, nodes).mapInArrow(shingled, schema), "shingle-sets")
 
     def compare(batches):
         for b in batches:
@@ -239,7 +246,12 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
 
     kind = pairs.schema["a"].dataType
     # The sets of crowded regions are few and their pairs many.
-    few = (known.agg(F.sum(F.octet_length("s") + 32)).first()[0] or 0) <= BROADCAST_BYTES
+    sets = known.agg(F.sum(F.octet_length("s") + 32).alias("bytes"), F.count("*").alias("n")).first()
+    few = (sets["bytes"] or 0) <= BROADCAST_BYTES
+    if few:
+        moved = pairs.count() * 2 * (sets["bytes"] or 0) // max(1, sets["n"])
+        parts = max(rows.sparkSession.sparkContext.defaultParallelism, moved // COMPARED_BYTES)
+        pairs = pairs.repartition(int(parts), "a", "b")
     x, y = known.select(F.col("d").alias("a"), F.col("s").alias("x")), known.select(F.col("d").alias("b"), F.col("s").alias("y"))
     joined = (
         pairs.join(F.broadcast(x) if few else x, "a")
