@@ -24,6 +24,8 @@ ORDERS, BLOCK, START = 8, 512, 10
 BEAM, ENTRIES = 384, 64
 #: Bytes of query vectors that are sent to all tasks at a time.
 QUERY_BYTES = 32 << 20
+#: An index (vectors and neighbours) up to so many bytes is sent as well.
+INDEX_BYTES = 64 << 20
 _SALTS = 8
 _PLANES = 6
 
@@ -163,7 +165,7 @@ def build_graph(packed: DataFrame, dim: int) -> DataFrame:
     return graph
 
 
-def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list, beam: int) -> DataFrame:
+def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list, beam: int, small: bool) -> DataFrame:
     """(q, b): per query its beam, an array of (d, v, done), nearest first.
     The vectors of these queries are bounded and travel with the code."""
     kind = packed.schema["node"].dataType
@@ -176,28 +178,36 @@ def _walk(queries: DataFrame, packed: DataFrame, ways: DataFrame, entries: list,
         for b in batches:
             x = _matrix(b.column("x"))
             own = xs[[place[k] for k in b.column("q").to_pylist()]] if len(x) else x
-            d = np.sqrt(((x - own) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(d.astype(np.float32))], measured.names)
+            d = np.sqrt(((x - own) ** 2).sum(1)).astype(np.float32)
+            near = pa.array(d < b.column("worst").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(d)], measured.names).filter(near)
 
     def distances(candidates: DataFrame) -> DataFrame:
-        return candidates.join(packed.select(F.col("node").alias("v"), "x"), "v").select("q", "v", "x").mapInArrow(measure, measured)
+        """Candidates (q, v, worst) that are nearer than the worst kept."""
+        vectors = packed.select(F.col("node").alias("v"), "x")
+        return candidates.join(F.broadcast(vectors) if small else vectors, "v").select("q", "v", "x", "worst").mapInArrow(measure, measured)
 
     def merged(found: DataFrame, before: DataFrame | None) -> DataFrame:
         fresh = found.where("q <> v").select("q", F.struct("d", "v", F.lit(False).alias("done")).alias("e"))
         if before is not None:
             fresh = fresh.unionByName(before.select("q", F.explode("b").alias("e")))
-        return fresh.groupBy("q").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list("e"))), 1, beam).alias("b"))
+        return fresh.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("e")), 1, beam).alias("b"))
 
     # A query that is a vector of the table also starts at its own neighbours.
     own = queries.select("q").join(ways.withColumnRenamed("u", "q"), "q").select("q", F.explode("vs").alias("v"))
     common = queries.select("q", F.explode(F.array(*[F.lit(e) for e in entries])).alias("v"))
-    now = materialize(merged(distances(own.unionByName(common).distinct()), None), "beam")
+    first = own.unionByName(common).distinct().withColumn("worst", F.lit(float("inf")).cast("float"))
+    now = materialize(merged(distances(first), None), "beam")
+    full = F.when(F.size("b") >= beam, F.element_at("b", -1)["d"]).otherwise(F.lit(float("inf"))).cast("float")
     while True:
         open_ = now.select("q", F.explode(F.filter("b", lambda e: ~e["done"])).alias("e")).select("q", F.col("e.v").alias("u"))
         if open_.isEmpty():
             return now
-        held = now.select("q", F.explode("b").alias("e")).select("q", F.col("e.v").alias("v"))
-        candidates = open_.join(ways, "u").select("q", F.explode("vs").alias("v")).distinct().join(held, ["q", "v"], "left_anti")
+        reached = open_.join(F.broadcast(ways) if small else ways, "u").groupBy("q").agg(F.flatten(F.collect_list("vs")).alias("c"))
+        # Each query's row has what it can reach: bounded by the beam and the
+        # neighbours of a vector.
+        fresh = F.array_except("c", F.transform("b", lambda e: e["v"]))
+        candidates = reached.join(now, "q").select("q", F.explode(fresh).alias("v"), full.alias("worst"))
         done = now.select("q", F.transform("b", lambda e: F.struct(e["d"].alias("d"), e["v"].alias("v"), F.lit(True).alias("done"))).alias("b"))
         now = materialize(merged(distances(candidates), done), "beam")
 
@@ -237,11 +247,12 @@ def nearest(
     entries = [r["node"] for r in packed.orderBy(F.xxhash64("node"), "node").select("node").limit(ENTRIES).collect()]
 
     queries = packed.where(is_query(F.col("node"))).select(F.col("node").alias("q"), "x")
+    small = packed.count() * (4 * dim + 8 * (3 * DEGREE + 2)) <= INDEX_BYTES
     blocks = max(1, -(-queries.count() * dim * 4 // query_bytes))
     beams = None
     for block in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block) if blocks > 1 else queries
-        found = _walk(mine, packed, ways, entries, beam)
+        found = _walk(mine, packed, ways, entries, beam, small)
         beams = found if beams is None else beams.unionByName(found)
 
     # 32-bit distances may swap near ties: more than k go to the exact measure.
