@@ -79,11 +79,12 @@ def signature(shingles: np.ndarray, seed: int) -> bytes:
 
 
 def shingle_sets(texts: pa.Array, size: int):
-    """Sorted distinct shingle hashes of each text."""
-    words, at = H.word_hashes(texts, H.SPACE)
-    shingles, at = H.shingle_hashes(words, at, size)
-    for a, b in zip(at.tolist(), at[1:].tolist()):
-        yield np.unique(shingles[a:b])
+    """Sorted distinct shingle hashes of each text, a few MB of text at a time."""
+    for lo, hi in H.row_groups(H.text_bytes(texts)[1], 2 << 20):
+        words, at = H.word_hashes(texts.slice(lo, hi - lo), H.SPACE)
+        shingles, at = H.shingle_hashes(words, at, size)
+        for a, b in zip(at.tolist(), at[1:].tolist()):
+            yield np.unique(shingles[a:b])
 
 
 def _described(rows: DataFrame, size: int) -> DataFrame:
