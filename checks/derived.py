@@ -41,6 +41,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_events(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
 
 
+def parts_by_time(events: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part``, from 0: equal stretches of the time the log spans."""
+    t0, t1 = events.agg(F.min("t"), F.max("t")).first()
+    return events.withColumn("part", F.expr(f"CAST((t - {t0 or 0}) * {parts} DIV ({t1 or 0} - {t0 or 0} + 1) AS INT)"))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("doc_name"), "text"

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tamiz.functions import predicates as P
 from tamiz.operators import chunk, evaluate, explore, index, profile, retrieve, throttle
 from tamiz.operators.cells import long_form
-from tamiz.session import new_folder, spread
+from tamiz.session import materialize, new_folder, spread
 from tamiz.sources import csv as csv_source, facts
 from tamiz.sources.table import SourceTable
-from tamiz.streaming.throttle import admitted_stream
+from tamiz.streaming.throttle import admitted_stream, daily_cap_stream
 
 from . import derived as D
 
@@ -302,25 +302,39 @@ def throttle_daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttle.daily_cap(D.log(spark, sf_dir), limit=1, window=6 * HOUR, cap=100)
 
 
+PARTS = 3
+
+
+def _streamed(spark: SparkSession, sf_dir: str, late: bool = False, cap: int | None = None) -> DataFrame:
+    """The log as a stream that arrives in parts, each a run of the stream on
+    the state of the one before. With ``late`` one event in 50 arrives with the
+    last part; with ``cap`` the second stage follows each part."""
+    log = D.parts_by_time(D.log(spark, sf_dir), PARTS)
+    if late:
+        log = log.withColumn("part", F.when(F.col("event_id") % 50 == 0, PARTS - 1).otherwise(F.col("part")))
+    arrived, out, state, capped = (new_folder(spark, n) for n in ("arrived", "admitted", "stream-state", "capped"))
+    log = materialize(log.select("client", "t", "event_id", "part"), "arrivals")
+    for part in range(PARTS):
+        log.where(F.col("part") == part).drop("part").write.mode("append").parquet(arrived)
+        events = spark.readStream.schema(log.drop("part").schema).parquet(arrived)
+        first = admitted_stream(events, limit=3, window=24 * HOUR).writeStream.format("parquet")
+        first.option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        if cap is not None:
+            admissions = spark.readStream.schema(spark.read.parquet(out).schema).parquet(out)
+            daily_cap_stream(admissions, capped, cap=cap).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out if cap is None else f"{capped}/flags")
+
+
 def throttle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = D.table(spark, sf_dir, "events").schema
-    events = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxBytesPerTrigger", str(8 << 30))
-        .parquet(sf_dir)
-    )
-    events = throttle.as_events(events, "user_id", "ts", "event_id")
-    out, state = new_folder(spark, "admitted"), new_folder(spark, "stream-state")
-    query = (
-        admitted_stream(events, limit=3, window=24 * HOUR)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start(out)
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out)
+    return _streamed(spark, sf_dir).drop("late")
+
+
+def throttle_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, late=True)
+
+
+def throttle_stream_daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, cap=100).drop("batch")
 
 
 QUERIES = {
@@ -373,4 +387,6 @@ QUERIES = {
     "throttle_admitted": throttle_admitted,
     "throttle_daily_cap": throttle_daily_cap,
     "throttle_stream": throttle_stream,
+    "throttle_stream_late": throttle_stream_late,
+    "throttle_stream_daily_cap": throttle_stream_daily_cap,
 }

@@ -454,6 +454,32 @@ fold AS (
   FROM fold f JOIN log l ON l.client = f.client AND l.i = f.i + 1)
 SELECT client, t, event_id, admitted FROM fold"""
 
+# Events with event_id % 50 = 0 arrive in the last of three parts.
+THROTTLE_LATE = f"""WITH RECURSIVE parts AS (
+  SELECT *, CASE WHEN event_id % 50 = 0 THEN 2
+    ELSE (t - min(t) OVER ()) * 3 // (max(t) OVER () - min(t) OVER () + 1) END AS arrival FROM ({_LOG})),
+newest AS (
+  SELECT client, arrival, max(max(t)) OVER (PARTITION BY client ORDER BY arrival
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM parts GROUP BY client, arrival),
+flagged AS (SELECT p.*, coalesce(p.t < n.newest, FALSE) AS late FROM parts p JOIN newest n USING (client, arrival)),
+log AS (
+  SELECT *, row_number() OVER (PARTITION BY client ORDER BY arrival, t, event_id) AS i FROM flagged WHERE NOT late),
+fold AS (
+  SELECT client, t, event_id, i, TRUE AS admitted, [t] AS hits FROM log WHERE i = 1
+  UNION ALL
+  SELECT l.client, l.t, l.event_id, l.i,
+    len(list_filter(f.hits, lambda h: l.t - h < 86400000000)) < 3,
+    CASE WHEN len(list_filter(f.hits, lambda h: l.t - h < 86400000000)) < 3
+      THEN list_append(list_filter(f.hits, lambda h: l.t - h < 86400000000), l.t)
+      ELSE list_filter(f.hits, lambda h: l.t - h < 86400000000) END
+  FROM fold f JOIN log l ON l.client = f.client AND l.i = f.i + 1)
+SELECT client, t, event_id, admitted, FALSE AS late FROM fold
+UNION ALL SELECT client, t, event_id, FALSE, TRUE FROM flagged WHERE late"""
+
+THROTTLE_STREAM_CAP = f"""SELECT client, t, event_id,
+  row_number() OVER (PARTITION BY t // 86400000000 ORDER BY t, event_id) <= 100 AS admitted
+FROM ({THROTTLE_ADMITTED}) WHERE admitted"""
+
 # One step per event of the whole log; hits are (client, time) pairs.
 THROTTLE_DAILY_CAP = f"""WITH RECURSIVE log AS (
   SELECT *, row_number() OVER (ORDER BY t, event_id) AS i, t // 86400000000 AS day FROM ({_LOG})),
@@ -548,4 +574,6 @@ ORACLE = {
     "throttle_admitted": THROTTLE_ADMITTED,
     "throttle_daily_cap": THROTTLE_DAILY_CAP,
     "throttle_stream": THROTTLE_ADMITTED,
+    "throttle_stream_late": THROTTLE_LATE,
+    "throttle_stream_daily_cap": THROTTLE_STREAM_CAP,
 }

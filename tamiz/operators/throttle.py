@@ -23,9 +23,6 @@ _BLOCK_ROWS = 8_000_000
 # Events of one slice of a client's history that one task counts.
 _DENSE_SLICE = 2_000_000
 
-# Admissions up to this many are sent to every task to flag the events.
-_MAX_BROADCAST_FLAGS = 1_000_000
-
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 
@@ -357,12 +354,21 @@ def daily_cap(events: DataFrame, *, limit: int, window: int, cap: int) -> DataFr
         brought = _hits_brought(kept, limit, window)
         todo = {d for d in all_days if brought.get(d, {}) != ran_with.get(d, {})}
         ran_with = brought
-    flags = kept.select("event_id", F.lit(True).alias("kept"))
-    if cap * len(all_days) <= _MAX_BROADCAST_FLAGS:
-        flags = F.broadcast(flags)
-    return events.join(flags, "event_id", "left").select(
-        "client", "t", "event_id", F.coalesce("kept", F.lit(False)).alias("admitted")
+    return flag_kept(events, kept)
+
+
+def flag_kept(events: DataFrame, kept: DataFrame) -> DataFrame:
+    """``(client, t, event_id, admitted)``: of events that are equal in all three
+    as many are admitted as ``kept`` has. Ids need not be unique."""
+    own = ["client", "t", "event_id"]
+    all_rows = events.groupBy(*own).agg(F.count(F.lit(1)).alias("rows"))
+    chosen = kept.groupBy(*own).agg(F.count(F.lit(1)).alias("kept"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own]
+    counted = all_rows.alias("a").join(chosen.alias("b"), same, "left").select(
+        *[f"a.{c}" for c in own], "rows", F.coalesce("kept", F.lit(0)).alias("kept")
     )
+    each = counted.select(*own, "kept", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("i"))
+    return each.select(*own, (F.col("i") <= F.col("kept")).alias("admitted"))
 
 
 def _kept(spark, latest: dict[int, str], schema) -> DataFrame:

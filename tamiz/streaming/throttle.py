@@ -6,86 +6,103 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.throttle import SECOND, admit
+from ..operators.throttle import DAY, admit, flag_kept
 
 
-def admitted_stream(
-    events: DataFrame, *, limit: int, window: int, delay: str = "10 minutes"
-) -> DataFrame:
-    """``(client, t, event_id, admitted)`` for a stream in the shape of the
-    batch form: ``client``, ``t`` (microseconds) and ``event_id``.
+def admitted_stream(events: DataFrame, *, limit: int, window: int, delay: int = 0) -> DataFrame:
+    """``(client, t, event_id, admitted, late)`` for a stream in the shape of
+    the batch form: ``client``, ``t`` (microseconds) and ``event_id``.
 
-    State per client is its last ``limit`` hits, dropped once the client has
-    been idle for the window. Events of one micro-batch are put in time order;
-    events later than ``delay`` are dropped by the watermark and counted in the
-    progress of the query (``numRowsDroppedByWatermark``).
+    Events of one micro-batch are put in time order. An event more than
+    ``delay`` microseconds before the newest one of its client in earlier
+    batches is late: it is in the result, not admitted, and no hit. One that is
+    behind by less is decided by the hits in its own trailing window. No event
+    is dropped, so the result does not depend on how large batches are as long
+    as they follow time.
+
+    State per client is its last hits and its newest time; it goes when nothing
+    of the client has arrived for the window and the delay. That is measured by
+    the time of arrival: a watermark on the events' own time would drop late
+    ones.
     """
     client_type = events.schema["client"].dataType.simpleString()
     id_type = events.schema["event_id"].dataType.simpleString()
+    idle_ms = (window + delay) // 1000 + 1
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        known = [int(h) for h in state.get[0]] if state.exists else []
-        flags, hits = admit(rows["t"].to_numpy(), known, limit, window)
-        state.update((hits,))
-        idle_at = (hits[-1] + window) // 1000 + 1
-        state.setTimeoutTimestamp(max(idle_at, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "t", "event_id"]].assign(admitted=flags)
+        t = rows["t"].to_numpy()
+        hits, newest = ([int(h) for h in state.get[0]], int(state.get[1])) if state.exists else ([], None)
+        late = np.zeros(len(t), bool) if newest is None else t < newest - delay
+        flags = np.zeros(len(t), bool)
+        behind = np.flatnonzero(~late & (t < newest)) if newest is not None else np.zeros(0, np.int64)
+        for i in behind:
+            if sum(t[i] - window < h <= t[i] for h in hits) < limit:
+                flags[i] = True
+                hits = sorted([*hits, int(t[i])])
+        ahead = ~late
+        ahead[behind] = False
+        # Hits that one behind may still have to be compared with are kept.
+        start = [h for h in hits if not ahead.any() or h > t[ahead][0] - window][-limit:]
+        flags[ahead], _ = admit(t[ahead], start, limit, window) if ahead.any() else (flags[ahead], None)
+        newest = int(max(t.max(), newest if newest is not None else t.max()))
+        hits = sorted([*hits, *t[ahead & flags].tolist()])
+        state.update(([int(h) for h in hits if h > newest - delay - window], newest))
+        arrived = int(rows["arrived"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + idle_ms)
+        yield rows[["client", "t", "event_id"]].assign(admitted=flags, late=late)
 
     return (
-        events.select("client", "t", "event_id", F.timestamp_micros("t").alias("ts"))
-        .withWatermark("ts", delay)
+        events.select("client", "t", "event_id", F.current_timestamp().alias("arrived"))
+        .withWatermark("arrived", "0 seconds")
         .groupBy("client")
         .applyInPandasWithState(
             step,
-            f"client {client_type}, t bigint, event_id {id_type}, admitted boolean",
-            "hits array<bigint>",
+            f"client {client_type}, t bigint, event_id {id_type}, admitted boolean, late boolean",
+            "hits array<bigint>, newest bigint",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
-def daily_cap_stream(admissions: DataFrame, *, cap: int, delay: str = "10 minutes") -> DataFrame:
-    """Flag the first ``cap`` rows of each UTC day of an admitted stream.
+def cap_batch(admissions: DataFrame, used: DataFrame, *, cap: int) -> tuple[DataFrame, DataFrame]:
+    """The daily cap on one micro-batch of admitted events: the events with
+    ``admitted``, and the new count per day.
 
-    The second stage: it reads what :func:`admitted_stream` wrote. Unlike the
-    batch form, events beyond the cap still count as hits of their client.
+    ``used`` has ``day`` and ``n``, the admissions of earlier batches. Only the
+    first ``cap`` events of a day can count, so that each task passes on no more
+    of a busy day, and the days of a batch are few. Unlike the batch form,
+    events beyond the cap still count as hits of their client.
     """
-    client_type = admissions.schema["client"].dataType.simpleString()
-    id_type = admissions.schema["event_id"].dataType.simpleString()
-    day_seconds = 86_400
+    rows = admissions.where("admitted").select("client", "t", "event_id", F.floor(F.col("t") / F.lit(DAY)).cast("bigint").alias("day"))
+    order = Window.partitionBy("day").orderBy("t", "event_id")
+    first = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= cap)
+    counted = first.join(used.select("day", F.col("n").alias("before")), "day", "left")
+    kept = counted.where(F.col("i") + F.coalesce("before", F.lit(0)) <= cap)
+    now = kept.groupBy("day").agg(F.count(F.lit(1)).alias("n")).unionByName(used.select("day", "n"))
+    return flag_kept(rows, kept), now.groupBy("day").agg(F.sum("n").alias("n"))
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count = int(state.get[0]) if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        kept = np.arange(count, count + len(rows)) < cap
-        state.update((min(cap, count + len(rows)),))
-        day_end = (int(key[0]) + 1) * day_seconds * 1000
-        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
-        yield rows[["client", "t", "event_id"]].assign(admitted=kept)
 
-    day = F.floor(F.col("t") / F.lit(day_seconds * SECOND)).cast("bigint")
-    return (
-        admissions.where("admitted")
-        .select("client", "t", "event_id", F.timestamp_micros("t").alias("ts"))
-        .withWatermark("ts", delay)
-        .withColumn("day", day)
-        .groupBy("day")
-        .applyInPandasWithState(
-            step,
-            f"client {client_type}, t bigint, event_id {id_type}, admitted boolean",
-            "n bigint",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+def daily_cap_stream(admissions: DataFrame, folder: str, *, cap: int):
+    """Start the second stage: it reads what :func:`admitted_stream` wrote and
+    writes ``(client, t, event_id, admitted)`` to ``folder/flags``, batch by
+    batch; the counts per day after a batch are in ``folder/days``. A batch that
+    is tried again replaces what its first try wrote. Returns the writer to be
+    given a trigger and started."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = "day bigint, n bigint"
+        used = spark.read.schema(schema).parquet(f"{folder}/days/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        flags, days = cap_batch(batch, used, cap=cap)
+        flags.write.mode("overwrite").parquet(f"{folder}/flags/batch={number}")
+        days.write.mode("overwrite").parquet(f"{folder}/days/batch={number}")
+
+    return admissions.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")

@@ -107,15 +107,38 @@ def test_stream_in_several_batches_equals_the_fold(spark, folder):
         .option("maxFilesPerTrigger", 1)
         .parquet(f"{folder}/in")
     )
-    stream = admitted_stream(source, limit=2, window=window, delay="1 second")
+    stream = admitted_stream(source, limit=2, window=window, delay=th.SECOND)
     got = run_stream(spark, stream, f"{folder}/out", f"{folder}/state")
     assert {r["event_id"]: r["admitted"] for r in got.collect()} == fold(events, 2, window)
+    assert not any(r["late"] for r in got.collect())
 
-    second = spark.readStream.schema(got.schema).parquet(f"{folder}/out")
-    capped = run_stream(spark, daily_cap_stream(second, cap=20), f"{folder}/out2", f"{folder}/state2")
+    second = spark.readStream.schema(got.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/out")
+    daily_cap_stream(second, f"{folder}/capped", cap=20).trigger(availableNow=True).start().awaitTermination()
+    capped = spark.read.parquet(f"{folder}/capped/flags")
     admitted = sorted((t, i) for (c, t, i) in events if fold(events, 2, window)[i])
     want, per_day = {}, {}
     for t, i in admitted:
         per_day[t // th.DAY] = per_day.get(t // th.DAY, 0) + 1
         want[i] = per_day[t // th.DAY] <= 20
     assert {r["event_id"]: r["admitted"] for r in capped.collect()} == want
+
+
+def test_late_events_are_flagged_not_dropped(spark, folder):
+    parts = [[("a", 100, 1), ("b", 50, 2)], [("a", 40, 3), ("a", 95, 4), ("a", 130, 5), ("b", 51, 6)], [("a", 131, 7)]]
+    for part in parts:
+        spark.createDataFrame(part, "client string, t bigint, event_id bigint").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema("client string, t bigint, event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    got = run_stream(spark, admitted_stream(source, limit=2, window=50, delay=10), f"{folder}/out", f"{folder}/state")
+    flags = {r["event_id"]: (r["admitted"], r["late"]) for r in got.collect()}
+    # 3 is late; 4 is behind by less than the delay and a hit; 5 finds 95 and 100.
+    assert flags == {1: (True, False), 2: (True, False), 3: (False, True), 4: (True, False), 5: (False, False), 6: (True, False), 7: (False, False)}
+
+
+def test_ids_need_not_be_unique(spark):
+    rows = [("a", 10, 1), ("b", 20, 1), ("a", 30, 2), ("a", 30, 2), (None, 5, None)]
+    events = spark.createDataFrame(rows, "client string, t bigint, event_id bigint")
+    got = th.daily_cap(events, limit=2, window=1000, cap=3).collect()
+    assert len(got) == len(rows) and sum(r["admitted"] for r in got) == 3
+    kept = spark.createDataFrame([("a", 30, 2)], events.schema)
+    flagged = sorted((tuple(r) for r in th.flag_kept(events, kept).collect()), key=repr)
+    assert flagged == sorted([(*r, False) for r in rows[:3]] + [("a", 30, 2, True), (None, 5, None, False)], key=repr)
