@@ -35,7 +35,7 @@ ORDERS = 16
 WIDTH = 8
 #: In crowded regions: neighbours in the first orders; signatures, width and
 #: length of the keys later.
-CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 5, 32, 12
+CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 4, 48, 12
 #: There a bit each of so many fresh signatures' values tells how similar two are.
 BIT_SIGNATURES = 16
 #: Shingle sets and lists of ids that are broadcast; larger ones are shuffled.
