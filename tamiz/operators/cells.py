@@ -16,6 +16,24 @@ _FLOATING = (T.FloatType, T.DoubleType)
 _NESTED = (T.ArrayType, T.StructType, T.MapType, T.VariantType)
 
 
+def plain_number(text: Column) -> Column:
+    """A double's text without an exponent from 1e-4 up to below 1e16, and with
+    one of two digits and a sign outside."""
+    parts = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    part = lambda i: F.regexp_extract(text, parts, i)
+    exponent = part(4).cast("int")
+    digits = F.concat(part(2), F.when(part(3) == "0", "").otherwise(part(3)))
+    size = F.length(digits)
+    whole = F.concat(F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, "0"), F.lit("."))
+    large = F.concat(part(1), whole, F.when(size > exponent + 1, F.substr(digits, exponent + 2)).otherwise("0"))
+    small = F.concat(part(1), F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    sign = F.when(exponent < 0, "e-").otherwise("e+")
+    mantissa = F.concat(part(2), F.when(part(3) == "0", "").otherwise(F.concat(F.lit("."), part(3))))
+    power = F.concat(part(1), mantissa, sign, F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), "0"))
+    scientific = F.when((exponent >= 0) & (exponent < 16), large).when((exponent < 0) & (exponent >= -4), small).otherwise(power)
+    return F.when(text.rlike(parts), scientific).otherwise(text)
+
+
 @dataclass(frozen=True)
 class Cell:
     """One column of the profiled table."""
@@ -47,7 +65,8 @@ class Cell:
 
     @property
     def text(self) -> Column:
-        return self.value.cast("string")
+        text = self.value.cast("string")
+        return plain_number(text) if isinstance(self.dtype, T.DoubleType) else text
 
     @property
     def is_text(self) -> bool:

@@ -20,12 +20,14 @@ CHUNK_SCHEMA = T.StructType(
 
 
 def first_of_key(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per key: the first in ``order``. Copies of one key meet in the
-    map-side combine, so a key with very many copies is no hot spot."""
+    """One row per key: the first in ``order``, else the first as the rows are
+    read. Copies of one key meet in the map-side combine, so a key with very
+    many copies is no hot spot."""
     rest = [c for c in rows.columns if c not in KEY]
-    by = F.col(order) if order else F.struct(*rest)
+    by = F.col(order) if order else F.col("read_at")
     return (
-        rows.groupBy(*KEY)
+        rows.withColumn("read_at", F.monotonically_increasing_id())
+        .groupBy(*KEY)
         .agg(F.min_by(F.struct(*rest), by).alias("row"))
         .select(*KEY, "row.*")
     )
@@ -34,7 +36,12 @@ def first_of_key(rows: DataFrame, order: str | None = None) -> DataFrame:
 def new_rows(rows: DataFrame, existing: DataFrame, order: str | None = None) -> DataFrame:
     """Rows whose key is not in ``existing`` yet, one per key. Of ``existing``
     only the key columns are read."""
-    return first_of_key(rows, order).join(existing.select(*KEY), KEY, "left_anti")
+    rest = [c for c in rows.columns if c not in KEY]
+    # Known keys go before their rows are grouped with all they carry; the place
+    # where a row was read is noted before rows move.
+    placed = rows if order else rows.withColumn("place", F.monotonically_increasing_id())
+    unknown = placed.join(existing.select(*KEY), KEY, "left_anti")
+    return first_of_key(unknown, order or "place").select(*KEY, *rest)
 
 
 def pair(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

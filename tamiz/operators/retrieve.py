@@ -137,7 +137,7 @@ def top_k(
     id_type = queries.schema["query_id"].dataType
     keys = list(keys)
     n_blocks = max(1, -(-measured["n"] * (measured["dim"] or 1) * 8 // _MAX_BROADCAST_BYTES))
-    present = corpus.where(F.col("embedding").isNotNull())
+    present = corpus.where(F.size("embedding") > 0)
 
     def search(block: DataFrame) -> DataFrame:
         rows = block.collect()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -69,15 +71,20 @@ class Catalog:
         return table
 
     def fingerprint(self, table: SourceTable) -> str:
-        """Changes with the schema, the facts of the load, and the files read,
-        their sizes or times; for a table without files, its number of rows."""
-        facts = json.dumps([table.df.schema.jsonValue(), table.metadata], sort_keys=True, default=str)
+        """Changes with the query, the schema, the facts of the load, and the
+        files read, their sizes or times. What a table without files holds can't
+        be seen: its fingerprint is new each time, unless the metadata have a
+        ``version`` that the caller vouches for."""
+        # Numbers of columns differ from one plan to the next.
+        plan = re.sub(r"#\d+L?", "", table.df._jdf.queryExecution().analyzed().toString())
+        facts = json.dumps([plan, table.df.schema.jsonValue(), table.metadata], sort_keys=True, default=str)
         known = F.xxhash64(F.lit(facts)).alias("known")
         file = ("file_path", "file_size", "file_modification_time")
         try:
             files = table.df.select(*[F.col(f"_metadata.{c}") for c in file]).distinct()
         except AnalysisException:
-            files = table.df.select(F.lit(table.path_or_table).alias("t"))
+            version = (table.metadata or {}).get("version") or uuid.uuid4().hex
+            files = table.df.select(F.lit(f"{table.path_or_table} {version}").alias("t"))
         r = files.agg(
             F.coalesce(F.bit_xor(F.xxhash64(*files.columns)), F.lit(0)).alias("h"),
             F.count(F.lit(1)).alias("n"),
