@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 from .facts import load_facts
-from .table import SourceTable
+from .table import SourceTable, reads_query
 
 # Fixed value: seconds to wait for a connection.
 CONNECT_TIMEOUT_S = 5
@@ -15,7 +15,9 @@ CONNECT_TIMEOUT_S = 5
 
 def connection_options(env: dict[str, str] | None = None) -> dict[str, str]:
     """JDBC options from ``DB_HOST``, ``DB_PORT``, ``DB_NAME``, ``DB_USER``,
-    ``DB_PASSWORD`` and, when set, ``DB_SSLMODE``."""
+    ``DB_PASSWORD`` and, when set, ``DB_SSLMODE``.
+
+    Names and defaults are fixed values."""
     env = dict(os.environ) if env is None else env
     host, port = env.get("DB_HOST", "localhost"), env.get("DB_PORT", "5432")
     made = {
@@ -44,9 +46,8 @@ def read_options(
 ) -> dict[str, str]:
     """Options of the read. ``partition`` is (column, lower, upper, tasks) and
     lets that many tasks read a table at once; a limit runs in the database."""
-    if (table is None) == (query is None):
-        raise ValueError("give exactly one of 'table' and 'query'")
-    if query is not None:
+    by_query = reads_query(table, query)
+    if by_query:
         if not query.lstrip(" \t\r\n(").lower().startswith(("select", "with")):
             raise ValueError("the query is no SELECT; this source only reads")
         return {"query": query}

@@ -24,3 +24,10 @@ class SourceTable:
             f"SourceTable(source={self.source!r}, path_or_table={self.path_or_table!r}, "
             f"columns={len(self.df.columns)})"
         )
+
+
+def reads_query(table: str | None, query: str | None) -> bool:
+    """Whether a read is by query; it must name a table or a query, not both."""
+    if (table is None) is (query is None):
+        raise ValueError("name a table or a query")
+    return query is not None

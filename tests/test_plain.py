@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tamiz.operators import chunk, index, retrieve
 from tamiz.operators.cells import plain_number
 from tamiz.plans.catalog import Catalog
+from tamiz.sources.facts import facts_of
 from tamiz.sources.table import SourceTable
 
 
@@ -44,3 +45,9 @@ def test_offsets_of_many_chunks(spark):
     assert sum(r["doc_name"] == "d" for r in got) >= 2999
     assert all(text[r["char_start"] : r["char_end"]] == r["text"] for r in got if r["doc_name"] == "d")
     assert [r["text"] for r in got if r["doc_name"] != "d"] == ["one"]
+
+
+def test_warnings_of_a_load():
+    assert facts_of(10, {"a": 10, "b": 0})["warnings"] == ["null_cells=50.0%", "empty_columns=b"]
+    assert facts_of(10, {"a": 10, "b": 4})["warnings"] == []
+    assert facts_of(0, {"a": 0}, empty_warning=True)["warnings"] == ["no_rows"]
