@@ -1,4 +1,7 @@
-"""The SQL each registered query is checked against."""
+"""The SQL each registered query is checked against.
+
+Fixed values: the word lists, tokens, patterns and texts in it are those of
+``tamiz.functions.fixed`` and of the report, which results depend on."""
 
 from __future__ import annotations
 

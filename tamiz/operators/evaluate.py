@@ -35,7 +35,7 @@ def with_defaults(cases: DataFrame, position: str = "pos") -> DataFrame:
 
 
 def judge_input(question: Column, expected: Column, source: Column, answer: Column) -> Column:
-    """The text a judge model is given."""
+    """The text a judge model is given. Its parts are fixed values."""
     return F.concat(
         F.lit("PREGUNTA:\n"), question,
         F.lit("\n\nRESPUESTA ESPERADA (pauta de correccion):\n"), expected,
@@ -193,6 +193,7 @@ def report_lines(results: DataFrame) -> DataFrame:
     def two(c: str) -> Column:
         return F.format_string("%.2f", F.bround(c, 2))
 
+    # The lines of the report.
     top = global_metrics(results).select(
         F.lit(0).alias("section"),
         F.lit("").alias("item"),
