@@ -12,9 +12,12 @@
    not yet in one component.
 4. Crowded regions are where step 2 left pairs out. Where their classes are not
    all in one component, they go, with fresh signatures, through many more
-   orders; only pairs of different components count, and as the signatures are
-   sorted whole, a pair is met where its common prefix is longer than that of
+   orders; only pairs of different components count, and a pair is met where
+   its common prefix, up to the length of the keys, is longer than that of
    others.
+5. Regions that are crowded in these orders too, and still not whole, are
+   compared in full: regions with common classes are one group, and in a group
+   the shared shingles of all pairs are counted.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.llm import hashing as H
@@ -42,6 +46,9 @@ BIT_SIGNATURES = 16
 BROADCAST_BYTES = 48 << 20
 #: Bytes of shingle sets that a task compares.
 COMPARED_BYTES = 16 << 20
+#: Bytes of shingle sets that are sent to all tasks at a time, and a block's rows
+#: and columns where all pairs are counted.
+SENT_BYTES, BLOCK_ROWS, BLOCK_COLUMNS = 16 << 20, 1024, 2048
 #: A pair at the threshold is missed by all first orders with this chance at most.
 MISS = 2e-5
 #: Standard errors by which a signature may fall short of the threshold.
@@ -220,19 +227,25 @@ def _neighbours(
     return out.where("edge IS NULL").select("a", "b", "m").unionByName(facing)
 
 
+def _shingled(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (d, t, ...) with their shingle set ``s`` in place of the text."""
+    kept = [f for f in rows.schema if f.name != "t"]
+
+    def shingled(batches):
+        for b in batches:
+            made = [s.tobytes() for s in shingle_sets(b.column("t"), size)]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(made, pa.binary())], [*(f.name for f in kept), "s"])
+
+    return rows.mapInArrow(shingled, T.StructType([*kept, T.StructField("s", T.BinaryType())]))
+
+
 def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (u, v) whose full shingle sets are similar enough."""
     pairs = materialize(pairs, "to-confirm")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = materialize(nodes, "to-confirm")
 
-    def shingled(batches):
-        for b in batches:
-            made = [s.tobytes() for s in shingle_sets(b.column("t"), size)]
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(made, pa.binary())], ["d", "s"])
-
-    schema = T.StructType([rows.schema["d"], T.StructField("s", T.BinaryType())])
-    known = materialize(_texts_of(rows, nodes).mapInArrow(shingled, schema), "shingle-sets")
+    known = materialize(_shingled(_texts_of(rows, nodes).select("d", "t"), size), "shingle-sets")
 
     def compare(batches):
         for b in batches:
@@ -293,16 +306,156 @@ def _linked(found: DataFrame, components: DataFrame | None, rows: DataFrame, siz
         links = _confirmed(chosen.select("a", "b"), rows, size, percent)
         between = chosen.select(F.col("a").alias("u"), F.col("b").alias("v"), "ca", "cb").join(links, ["u", "v"], "left_semi")
         merged = materialize(connected_components(between.select(F.col("ca").alias("u"), F.col("cb").alias("v"))), "components")
-        if components is None:
-            components = merged
-            continue
-        top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        old = components.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        new = merged.join(components.select("node"), "node", "left_anti")
-        components = materialize(old.unionByName(new.select("node", "component")), "components")
+        components = _merged(components, merged)
     return components
 
 
+def _mixed(found: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(node, region, component) of the classes of crowded regions that are not
+    all in one component."""
+    near = found.where("b IS NULL").select(F.col("a").alias("node"), F.col("m").alias("region")).distinct()
+    if components is not None:
+        near = near.join(components, "node", "left")
+    else:
+        near = near.withColumn("component", F.col("node"))
+    near = materialize(near.withColumn("component", F.coalesce("component", "node")), "crowded")
+    mixed = near.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    return near.join(mixed.select("region"), "region", "left_semi")
+
+
+class _Sets:
+    """Shingle sets of a group, smallest first: of element k, ``row`` and
+    ``code``, its place among the group's ``shingles``."""
+
+    def __init__(self, sets: pa.Array, names: np.ndarray, shingles: np.ndarray | None = None):
+        size = np.array([len(s) // 8 for s in sets.to_pylist()], np.int64) if len(sets) else np.zeros(0, np.int64)
+        order = np.argsort(size, kind="stable")
+        self.size, self.names = size[order], names[order]
+        values = np.frombuffer(b"".join(sets.take(pa.array(order)).to_pylist()), np.uint64)
+        row = np.repeat(np.arange(len(size)), self.size)
+        if shingles is None:
+            self.shingles, code = np.unique(values, return_inverse=True)
+            self.row, self.code = row, code
+        else:
+            self.shingles = shingles
+            code = np.minimum(np.searchsorted(shingles, values), len(shingles) - 1)
+            known = shingles[code] == values
+            self.row, self.code = row[known], code[known]
+
+    def part(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.searchsorted(self.row, [lo, hi])
+        return self.row[a:b] - lo, self.code[a:b]
+
+
+def _shared(x: tuple, y: tuple, rows: int, columns: int) -> np.ndarray:
+    """How many elements each of ``rows`` sets has in common with each of
+    ``columns`` others."""
+    kinds = np.intersect1d(x[1], y[1])
+    counts = np.zeros((rows, columns), np.float32)
+    for lo in range(0, len(kinds), BLOCK_COLUMNS):
+        own = kinds[lo : lo + BLOCK_COLUMNS]
+        sides = []
+        for (row, code), n in ((x, rows), (y, columns)):
+            at = np.minimum(np.searchsorted(own, code), len(own) - 1)
+            known = own[at] == code
+            side = np.zeros((n, len(own)), np.float32)
+            side[row[known], at[known]] = 1
+            sides.append(side)
+        counts += sides[0] @ sides[1].T
+    return counts
+
+
+def _alike(x: _Sets, y: _Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of x and of y, different ones, between which there is a link."""
+    found = [np.zeros((0, 2), np.int64)]
+    for a in range(0, len(x.size), BLOCK_ROWS):
+        e = min(a + BLOCK_ROWS, len(x.size))
+        own = x.part(a, e)
+        # Sets of other lengths cannot be similar enough.
+        first = int(np.searchsorted(100 * y.size, percent * x.size[a], "left"))
+        last = int(np.searchsorted(percent * y.size, 100 * x.size[e - 1], "right"))
+        for lo in range(first, last, BLOCK_ROWS):
+            hi = min(lo + BLOCK_ROWS, last)
+            apart = x.names[a:e, None] != y.names[None, lo:hi]
+            if not apart.any():
+                continue
+            shared = _shared(own, y.part(lo, hi), e - a, hi - lo).astype(np.int64)
+            union = x.size[a:e, None] + y.size[None, lo:hi] - shared
+            i, j = np.nonzero(apart & (100 * shared >= percent * union))
+            found.append(np.unique(np.stack([x.names[a + i], y.names[lo + j]], 1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _compared(crowded: DataFrame, components: DataFrame | None, rows: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Components after comparing all classes of each group of regions of
+    ``crowded`` (node, region, component). Sets are sent to all tasks a part at
+    a time, so a group of any size is spread; none is left out."""
+    least = crowded.groupBy("region").agg(F.min("node").alias("v"))
+    groups = connected_components(crowded.join(least, "region").select(F.col("node").alias("u"), "v"))
+    groups = groups.select("node", F.col("component").alias("g"))
+    nodes = materialize(crowded.select("node", "component").distinct().join(groups, "node"), "crowd")
+    if nodes.isEmpty():
+        return components
+    kind = rows.schema["d"].dataType
+    texts = _texts_of(rows, nodes).select("g", "d", "component", "t")
+    sets = materialize(_shingled(texts, size).repartitionByRange("g", "d").sortWithinPartitions("g", "d"), "crowd-sets")
+    total = sets.agg(F.sum(F.octet_length("s") + 64).alias("n")).first()["n"] or 0
+    parts = max(1, -(-total // SENT_BYTES))
+    pair = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    links = None
+    for part in range(parts):
+        sent = sets.where(F.pmod(F.xxhash64("d"), F.lit(parts)) == part).toArrow().combine_chunks()
+
+        def compare(batches, sent=sent):
+            group_of = sent.column("g").to_pylist()
+            names = sent.column("component").combine_chunks().dictionary_encode()
+            place = {c: i for i, c in enumerate(names.dictionary.to_pylist())}
+            members: dict = {}
+            for i, g in enumerate(group_of):
+                members.setdefault(g, []).append(i)
+            held, other = None, None
+            for b in batches:
+                at = np.concatenate([[0], np.cumsum(pc.binary_length(b.column("s")).to_numpy(zero_copy_only=False))])
+                for lo, hi in H.row_groups(at, 4 << 20):
+                    t = b.slice(lo, hi - lo)
+                    own = t.column("g").to_pylist()
+                    cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+                    for a, e in zip(cuts, cuts[1:]):
+                        g = own[a]
+                        if g not in members:
+                            continue
+                        if held != g:
+                            those = pa.array(members[g])
+                            code = names.indices.take(those).to_numpy()
+                            held, other = g, _Sets(sent.column("s").combine_chunks().take(those), code.astype(np.int64))
+                        mine = t.column("component").slice(a, e - a).to_pylist()
+                        # Components that no sent set has get numbers beyond.
+                        beyond: dict = {}
+                        code = [place[c] if c in place else beyond.setdefault(c, len(place) + len(beyond)) for c in mine]
+                        every = {**{i: c for c, i in beyond.items()}, **{place[c]: c for c in mine if c in place}}
+                        x = _Sets(t.column("s").slice(a, e - a), np.array(code, np.int64), other.shingles)
+                        u, v = _alike(x, other, percent)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([every[i] for i in u.tolist()], b.schema.field("component").type), names.dictionary.take(pa.array(v))], ["u", "v"]
+                        )
+
+        found = materialize(sets.mapInArrow(compare, pair), "crowd-links")
+        links = found if links is None else links.unionByName(found)
+    merged = materialize(connected_components(links.distinct()), "components")
+    return _merged(components, merged)
+
+
+def _merged(components: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """Components after components (``node`` of ``merged``) became parts of others."""
+    if components is None:
+        return merged
+    top = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = components.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = merged.join(components.select("node"), "node", "left_anti")
+    return materialize(old.unionByName(new.select("node", "component")), "components")
+
+
 def link_documents(
     documents: DataFrame, document: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -345,14 +498,7 @@ def link_documents(
     components = _linked(first, None, rows, words, percent)
 
     # Regions that step 2 did not compare in full and that are not yet whole.
-    near = first.where("b IS NULL").select(F.col("a").alias("node"), F.col("m").alias("region")).distinct()
-    if components is not None:
-        near = near.join(components, "node", "left")
-    else:
-        near = near.withColumn("component", F.col("node"))
-    near = materialize(near.withColumn("component", F.coalesce("component", "node")), "crowded")
-    mixed = near.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    crowd = materialize(near.join(mixed.select("region"), "region", "left_semi").select("node", "component").distinct(), "crowd")
+    crowd = materialize(_mixed(first, components).select("node", "component").distinct(), "crowd")
     if not crowd.isEmpty():
         kind = rows.schema["d"].dataType
         signed = T.StructType(
@@ -381,6 +527,7 @@ def link_documents(
         matches = least_matches(threshold, VALUES * BIT_SIGNATURES, 2)
         second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH, bits=True)
         components = _linked(second, components, rows, words, percent)
+        components = _compared(_mixed(second, components), components, rows, words, percent)
 
     if components is None:
         components = classes.select("node", F.col("node").alias("component")).limit(0)

@@ -64,6 +64,33 @@ def test_against_brute_force(spark, percent):
     assert run(spark, rows, percent=percent) == sorted(brute(rows, percent), key=repr)
 
 
+def test_star_of_edited_copies(spark):
+    """A text in the middle of thousands of copies edited independently: each
+    is linked with it, hardly any with another."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 9001):
+        own = list(base)
+        for slot in rng.sample(range(19), 4):
+            own[5 + 10 * slot + rng.randrange(5)] = f"e{i}-{slot}"
+        rows.append((i, " ".join(own)))
+    assert {c for _, _, c, _ in run(spark, rows, percent=80)} == {0}
+
+
+def test_all_pairs_of_crowded_groups(spark, monkeypatch):
+    """Groups compared in full, in small blocks, sets sent in several parts."""
+    for name, size in (("SENT_BYTES", 20_000), ("BLOCK_ROWS", 16), ("BLOCK_COLUMNS", 64)):
+        monkeypatch.setattr(neardup, name, size)
+    rows = [r for r in corpus() if r[0] < 250]
+    crowded = spark.createDataFrame([(d, (d + 5) // 120, d) for d, _ in rows], "node long, region long, component long")
+    docs = spark.createDataFrame(rows, "d long, t string")
+    got = {r["node"]: r["component"] for r in neardup._compared(crowded, None, docs, 5, 80).collect()}
+    for region in {(d + 5) // 120 for d, _ in rows}:
+        for d, _, component, _ in brute([r for r in rows if (r[0] + 5) // 120 == region], 80):
+            assert got.get(d, d) == component
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     t = "a b c d e f g"
     got = run(spark, [(None, t), (None, t), (4, t), (4, t), (9, t)])
