@@ -44,6 +44,13 @@ EVERYWHERE = set(
     "cookie cookies consent gdpr notice notices newsletter subscribe popup modal overlay sidebar share sharing "
     "social breadcrumb breadcrumbs pagination pager".split()
 )
+# What articles that are not the page's own are called, or stand in, and what
+# else such a name may consist of.
+BESIDE = set("comment comments disqus reply replies related recommended recommendations teaser teasers sidebar".split())
+PARTS = set(
+    "list area section thread box bar button buttons banner slot unit container wrapper wrap widget block links icons "
+    "item items panel inner content articles posts stories media bookmark prompt form signup dialog message policy top bottom".split()
+)
 OUTSIDE = EVERYWHERE | set("nav navbar navigation menu header footer masthead banner toolbar widget related login search".split())
 
 _TOKEN = re.compile(
@@ -65,7 +72,8 @@ class Page:
 
     def __init__(self, html: str):
         self.events: list[str | None] = []
-        # (tag, first event, event after the last, hash or None, no main text)
+        # (tag, first event, event after the last, hash, role, words of class and
+        # id, holds text outside links, holds an article, classes and ids)
         self.nodes: list[tuple] = []
         self._parse(html)
 
@@ -99,7 +107,7 @@ class Page:
             up[5] |= loose
             up[6] |= article or tag in ("article", "main")
             if holds:
-                words = set()
+                words, whole = set(), set()
                 role = ""
                 for name, value in _ATTRIBUTE.findall(attributes):
                     value = value.strip("\"'").lower()
@@ -107,7 +115,8 @@ class Page:
                         role = value
                     else:
                         words.update(re.split(r"[\s_-]+", value))
-                self.nodes.append((tag, first, len(events), int.from_bytes(own, "little", signed=True), role, words, loose, article))
+                        whole.update(value.split())
+                self.nodes.append((tag, first, len(events), int.from_bytes(own, "little", signed=True), role, words, loose, article, whole))
 
         def end(tags: set[str], stop: set[str]) -> None:
             for i in range(len(stack) - 1, 0, -1):
@@ -158,13 +167,32 @@ class Page:
             close()
 
     def content(self) -> list[tuple[int, int]]:
-        """Ranges of the page's own content: its articles, else its main part."""
-        for found in (
-            [n for n in self.nodes if n[0] == "article"],
-            [n for n in self.nodes if n[0] == "main" or n[4] == "main"],
-        ):
-            if found:
-                return [(n[1], n[2]) for n in found]
+        """Ranges of the page's own content: its articles, without those that
+        are comments or teasers by their own or an enclosing element, else its
+        main part. A main part with paragraphs of its own outside the articles
+        is content as a whole. No range: all of the page."""
+        beside = self.beside()
+        articles = [n for n in self.nodes if n[0] == "article" and not _inside_any(beside, n[1], n[2])]
+        main = [n for n in self.nodes if n[0] == "main" or n[4] == "main"]
+        covered = [(n[1], n[2]) for n in articles] + beside
+        own = [n for n in self.nodes if n[0] == "p" and n[6] and not _inside_any(covered, n[1], n[2])]
+        whole = [m for m in main if any(m[1] <= n[1] and n[2] <= m[2] for n in own)]
+        return [(n[1], n[2]) for n in whole + articles or main]
+
+    def beside(self) -> list[tuple[int, int]]:
+        """Ranges that hold articles but are comments, teasers or the like. A
+        label around all articles of a page without other text is none."""
+        found = [
+            (n[1], n[2])
+            for n in self.nodes
+            if (n[7] or n[0] == "article")
+            and n[0] not in ("main", "body", "html")
+            and n[4] != "main"
+            and (n[4] in NOT_TEXT_ROLES or n[0] in ("aside", "nav", "footer") or any(_named(c, BESIDE) for c in n[8]))
+        ]
+        rest = (n for n in self.nodes if n[6] and n[0] in ("article", "p", "div", "section"))
+        if any(not _inside_any(found, n[1], n[2]) and not any(n[1] <= x and y <= n[2] for x, y in found) for n in rest):
+            return found
         return []
 
     def template_hashes(self) -> set[int]:
@@ -175,7 +203,7 @@ class Page:
         prose = [(n[1], n[2]) for n in self.nodes if n[0] in PROSE and n[6]]
         starts = sorted(prose)
         out = set()
-        for tag, a, b, own, role, words, loose, article in self.nodes:
+        for tag, a, b, own, role, words, loose, article, whole in self.nodes:
             if article or tag in ("article", "main", "body", "html") or role == "main":
                 continue
             if any(x <= a and b <= y for x, y in content):
@@ -189,8 +217,9 @@ class Page:
     def main_text(self, template: set[int]) -> str:
         content = self.content()
         gone = [False] * len(self.events)
+        beside = self.beside()
         candidates = self.template_hashes() & template if template else set()
-        for tag, a, b, own, role, words, loose, article in self.nodes:
+        for tag, a, b, own, role, words, loose, article, whole in self.nodes:
             inside = any(x <= a and b <= y for x, y in content)
             drop = own in candidates
             if not article and tag not in ("article", "main", "body", "html"):
@@ -200,6 +229,7 @@ class Page:
             # article is one of several inside the content, as comments are.
             if inside and article and (a, b) not in content:
                 drop = drop or bool(words & EVERYWHERE)
+            drop = drop or (a, b) in beside
             if drop:
                 gone[a:b] = [True] * (b - a)
         if content:
@@ -220,6 +250,17 @@ class Page:
         return "\n".join(b for b in blocks if b)
 
 
+def _named(name: str, words: set[str]) -> bool:
+    """Whether a whole class or id is one of ``words``, alone or with words for
+    parts of pages: share-buttons, but not share-of-votes."""
+    parts = set(re.split(r"[_-]+", name))
+    return bool(parts & words) and parts <= words | EVERYWHERE | PARTS
+
+
+def _inside_any(ranges: list[tuple[int, int]], a: int, b: int) -> bool:
+    return any(x <= a and b <= y for x, y in ranges)
+
+
 def _any_inside(ranges: list[tuple[int, int]], a: int, b: int) -> bool:
     return any(a <= x and y <= b for x, y in ranges)
 

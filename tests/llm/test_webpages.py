@@ -32,6 +32,24 @@ def test_main_text(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<main><p>Body</p><section id=comments><article class=comment>c</article></section></main>", "Body"),
+        ("<div><p>Body</p></div><section class='comment-list'><article>c</article><article>d</article></section>", "Body"),
+        ("<main><p>Body</p><div class='related'><article><p>teaser</p></article></div></main><footer>f</footer>", "Body"),
+        ("<main><p>Body</p><article class=teaser><p>t</p></article></main>", "Body"),
+        ("<article><p>a</p></article><section class=comments><article>c</article></section>", "a"),
+        ("<main><article><p>a</p></article><p>b</p></main><p>out</p>", "a\nb"),
+        ("<main><article><p>a</p></article></main>", "a"),
+        ("<div class='has-sidebar'><article class='post has-comments'><p>a</p></article></div><p>b</p>", "a"),
+        ("<div class=related><article><p>a</p></article></div>", "a"),
+    ],
+)
+def test_articles_that_are_comments_or_teasers(html, want):
+    assert text(html) == want
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
