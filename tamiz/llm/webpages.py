@@ -73,7 +73,8 @@ class Page:
     def __init__(self, html: str):
         self.events: list[str | None] = []
         # (tag, first event, event after the last, hash, role, words of class and
-        # id, holds text outside links, holds an article, classes and ids)
+        # id, holds text outside links, holds an article, classes and ids, those of
+        # them that may tell what it is inside the content)
         self.nodes: list[tuple] = []
         self._parse(html)
 
@@ -107,7 +108,7 @@ class Page:
             up[5] |= loose
             up[6] |= article or tag in ("article", "main")
             if holds:
-                words, whole = set(), set()
+                words, whole, hints = set(), set(), set()
                 role = ""
                 for name, value in _ATTRIBUTE.findall(attributes):
                     value = value.strip("\"'").lower()
@@ -116,7 +117,10 @@ class Page:
                     else:
                         words.update(re.split(r"[\s_-]+", value))
                         whole.update(value.split())
-                self.nodes.append((tag, first, len(events), int.from_bytes(own, "little", signed=True), role, words, loose, article, whole))
+                        # Ids of headings, paragraphs and sections are made from titles.
+                        if name.lower() == "class" or tag not in PROSE and not (tag == "section" and loose):
+                            hints.update(value.split())
+                self.nodes.append((tag, first, len(events), int.from_bytes(own, "little", signed=True), role, words, loose, article, whole, hints))
 
         def end(tags: set[str], stop: set[str]) -> None:
             for i in range(len(stack) - 1, 0, -1):
@@ -203,13 +207,14 @@ class Page:
         prose = [(n[1], n[2]) for n in self.nodes if n[0] in PROSE and n[6]]
         starts = sorted(prose)
         out = set()
-        for tag, a, b, own, role, words, loose, article, whole in self.nodes:
+        for tag, a, b, own, role, words, loose, article, whole, hints in self.nodes:
             if article or tag in ("article", "main", "body", "html") or role == "main":
                 continue
             if any(x <= a and b <= y for x, y in content):
-                if tag in PROSE or tag not in BLOCKS:
+                hinted = any(EVERYWHERE & set(re.split(r"[_-]+", h)) for h in hints)
+                if not hinted and (tag in PROSE or tag not in BLOCKS):
                     continue
-                if loose and _any_inside(starts, a, b):
+                if not hinted and loose and _any_inside(starts, a, b):
                     continue
             out.add(own)
         return out
@@ -219,16 +224,22 @@ class Page:
         gone = [False] * len(self.events)
         beside = self.beside()
         candidates = self.template_hashes() & template if template else set()
-        for tag, a, b, own, role, words, loose, article, whole in self.nodes:
+        for tag, a, b, own, role, words, loose, article, whole, hints in self.nodes:
             inside = any(x <= a and b <= y for x, y in content)
             drop = own in candidates
             if not article and tag not in ("article", "main", "body", "html"):
                 drop = drop or tag in NOT_TEXT_TAGS or role in NOT_TEXT_ROLES
-                drop = drop or bool(words & (EVERYWHERE if inside else OUTSIDE))
+                # In the content a word of a name is no proof: the whole name is,
+                # or that all text is links.
+                if inside:
+                    drop = drop or any(_named(h, EVERYWHERE) for h in hints)
+                    drop = drop or not loose and any(EVERYWHERE & set(re.split(r"[_-]+", h)) for h in hints)
+                else:
+                    drop = drop or bool(words & OUTSIDE)
             # A label around an article is no reason to lose it, unless the
             # article is one of several inside the content, as comments are.
             if inside and article and (a, b) not in content:
-                drop = drop or bool(words & EVERYWHERE)
+                drop = drop or any(_named(h, EVERYWHERE) for h in hints)
             drop = drop or (a, b) in beside
             if drop:
                 gone[a:b] = [True] * (b - a)

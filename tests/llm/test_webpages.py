@@ -50,6 +50,19 @@ def test_articles_that_are_comments_or_teasers(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<article><h2 id='social-effects'>Social effects</h2><p id=share-of-votes>x</p><h3 id=notice>n</h3></article>", "Social effects\nx\nn"),
+        ("<article><section id='notice-period'><p>a</p></section><div class='cookie-recipe'><p>b</p></div></article>", "a\nb"),
+        ("<article><p>a</p><div class='share-buttons'>s</div><div class='x ad-slot'>t</div><div id=comment-list>u</div></article>", "a"),
+        ("<article><p>a</p><ul class='x-share-strip'><li><a>one</a><li><a>two</a></ul></article>", "a"),
+    ],
+)
+def test_names_inside_articles(html, want):
+    assert text(html) == want
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
