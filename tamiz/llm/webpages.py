@@ -3,7 +3,8 @@
 Every element subtree outside a page's prose is hashed. Spark counts on how
 many pages of a host each hash occurs; subtrees that recur are template and
 deleted. Elements whose tag or class says what they are (menus, footers,
-adverts, forms, comments, ...) go as well, for sites with few pages.
+adverts, forms, comments, ...) go as well, for sites with few pages. Copies of
+a page are one page here: what recurs only in copies is text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from tamiz.session import materialize
+
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -62,6 +65,10 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _BREAK = None
+#: Different pages that always make a subtree template, however large the host.
+ENOUGH_PAGES = 50
+#: Subtrees that a task remembers at a time while it counts.
+REMEMBERED = 200_000
 
 
 class Page:
@@ -170,6 +177,11 @@ class Page:
         while len(stack) > 1:
             close()
 
+    def digest(self) -> int:
+        """One number for the text of the whole page."""
+        words = " ".join("".join(" " if e is _BREAK else e for e in self.events).split())
+        return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
     def content(self) -> list[tuple[int, int]]:
         """Ranges of the page's own content: its articles, without those that
         are comments or teasers by their own or an enclosing element, else its
@@ -292,12 +304,13 @@ def extract_main_text(
 ) -> DataFrame:
     """One row per page row: ``page``, ``url``, ``text``.
 
-    A subtree is template where at least ``min_pages`` pages and ``min_share``
-    of all pages of the host have it. Blocks are trimmed, their white space is
+    A subtree is template where at least ``min_pages`` pages of the host have it
+    that differ in their text, and ``min_share`` of all that do, or ``ENOUGH_PAGES``
+    of them. Blocks are trimmed, their white space is
     one space, and they are joined by line ends in page order.
 
     A null or empty html gives an empty text; a null url counts as one host of
-    its own; equal rows give equal rows, and count as one page each. Cut-off
+    its own; equal rows give equal rows, and count as one page together. Cut-off
     and badly nested pages are read as far as they go. No rows give no rows.
     Other columns are ignored, whatever their names.
     """
@@ -318,13 +331,49 @@ def extract_main_text(
             )
 
     found = rows.select("host", "k", "h").mapInArrow(subtrees, "host string, k long, s long")
-    per_host = rows.groupBy("host").agg(F.count("*").alias("pages"))
+
+    # A task has no need to tell of more different pages than decide.
+    enough = max(min_pages, ENOUGH_PAGES)
+
+    def occurrences(batches):
+        seen: dict = {}
+        for b in batches:
+            out = [], [], []
+            for host, text in zip(b.column("host").to_pylist(), b.column("h").to_pylist()):
+                page = Page(text)
+                content = page.digest()
+                # Without a subtree: the page itself.
+                for s in (None, *page.template_hashes()):
+                    if s is not None:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        # One page is one number, several are a set.
+                        before = seen.get((host, s))
+                        if before is None:
+                            seen[host, s] = content
+                        elif isinstance(before, int):
+                            if before == content:
+                                continue
+                            seen[host, s] = {before, content}
+                        elif content in before or len(before) >= enough:
+                            continue
+                        else:
+                            before.add(content)
+                    for column, value in zip(out, (host, s, content)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["host", "s", "c"]
+            )
+
+    pages_of = rows.select("host", "h").mapInArrow(occurrences, "host string, s long, c long").distinct()
+    counted = materialize(
+        pages_of.groupBy("host", "s").agg(F.count("*").alias("n")).where(F.col("s").isNull() | (F.col("n") >= min_pages)), "subtrees"
+    )
+    per_host = counted.where("s IS NULL").select("host", F.col("n").alias("pages"))
     recurring = (
-        found.groupBy("host", "s")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
+        counted.where("s IS NOT NULL")
         .join(per_host, "host")
-        .where(F.col("n") >= min_share * F.col("pages"))
+        .where((F.col("n") >= enough) | (F.col("n") >= min_share * F.col("pages")))
         # A footer of a large host is on a large part of all pages: its key is
         # dealt to several tasks.
         .select("host", "s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

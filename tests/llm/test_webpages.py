@@ -82,6 +82,21 @@ def test_template_without_article(spark):
     assert {r["text"] for r in extract_main_text(pages(spark, rows)).collect()} == {f"Own {i}" for i in range(6)}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """Copies under several urls, on a host with and without other pages."""
+    copy = "<link rel=canonical href='/x?{0}'><div><p>First part</p></div><div><p>Second part</p></div>"
+    rows = [(i, f"http://d.example/x?from={i}", copy.format(i)) for i in range(20)]
+    rows += [(100 + i, f"http://d.example/{i}", f"<div><b>Menu</b></div><div><p>Own {i}</p></div>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages(spark, rows)).collect()}
+    assert got == {**{i: "First part\nSecond part" for i in range(20)}, **{100 + i: f"Own {i}" for i in range(8)}}
+
+
+def test_template_of_a_part_of_a_large_host(spark):
+    """What enough different pages have is template, however many others there are."""
+    rows = [(i, f"http://e.example/{i}", f"<div><p>Own {i}</p></div>" + "<div><b>Section</b></div>" * (i < 60)) for i in range(4000)]
+    assert all(r["text"] == f"Own {r['page_id']}" for r in extract_main_text(pages(spark, rows)).collect())
+
+
 def test_edges(spark):
     rows = [(1, None, None), (None, None, ""), (2, "not a url", "<p>a</p>"), (2, "not a url", "<p>a</p>")]
     got = sorted(((r["page_id"], r["text"]) for r in extract_main_text(pages(spark, rows)).collect()), key=repr)
