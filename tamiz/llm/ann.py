@@ -5,14 +5,15 @@ it in a few random sorted orders. Then, round by round, the neighbours of each
 vector (its own and some that have it as theirs) are compared with each other:
 neighbours of neighbours are likely neighbours. Search: from a few entry points
 each query walks along the graph, keeping the best found (greedy search with a
-beam), until nothing in the beam is left to expand.
+beam), until nothing in the beam is left to expand. Equal vectors are one node
+with the smallest of their ids, so that copies neither fill lists nor beams.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tamiz.session import materialize
 
@@ -44,6 +45,13 @@ def usable_vectors(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return same.groupBy("node").agg(F.min("v").alias("v"))
 
 
+def _ids_of_equals(table: DataFrame, k: int) -> DataFrame:
+    """(h, v, node, i): of each vector its k smallest ids, counted from 1. The
+    rank is limited in each task ahead of the shuffle, however many are equal."""
+    order = Window.partitionBy("h", "v").orderBy("node")
+    return table.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors packed as 32-bit floats, as rows."""
     raw = b"".join(column.to_pylist())
@@ -226,7 +234,9 @@ def nearest(
     found; without usable vectors there are no rows. Other columns are ignored.
     """
     is_query = is_query or (lambda c: c % 100 == 0)
-    table = materialize(usable_vectors(vectors, key, column), "vectors")
+    # A zero has no sign here: equal vectors are to have equal hashes.
+    usable = usable_vectors(vectors, key, column).withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x)))
+    table = materialize(usable.withColumn("h", F.xxhash64("v")), "vectors")
     kind = table.schema["node"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("rank", T.IntegerType()), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
     some = table.select(F.size("v").alias("n")).first()
@@ -239,14 +249,20 @@ def nearest(
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in x], pa.binary())], ["node", "x"])
 
+    equal = materialize(_ids_of_equals(table, k + 1), "equal-vectors")
+    nodes = equal.where("i = 1").select("h", "v", "node")
+    first = nodes.withColumnRenamed("node", "first")
+    ids = materialize(equal.join(first, ["h", "v"]).select("first", "node"), "equal-ids")
+    asked = materialize(table.where(is_query(F.col("node"))).join(first, ["h", "v"]).select(F.col("node").alias("id"), F.col("first").alias("q")), "queries")
+
     packed = materialize(
-        table.mapInArrow(pack, T.StructType([T.StructField("node", kind), T.StructField("x", T.BinaryType())])), "packed-vectors"
+        nodes.select("node", "v").mapInArrow(pack, T.StructType([T.StructField("node", kind), T.StructField("x", T.BinaryType())])), "packed-vectors"
     )
     graph = build_graph(packed, dim)
     ways = materialize(_both_ways(graph, 2 * DEGREE).groupBy("u").agg(F.collect_list("v").alias("vs")), "ways")
     entries = [r["node"] for r in packed.orderBy(F.xxhash64("node"), "node").select("node").limit(ENTRIES).collect()]
 
-    queries = packed.where(is_query(F.col("node"))).select(F.col("node").alias("q"), "x")
+    queries = materialize(packed.withColumnRenamed("node", "q").join(asked.select("q").distinct(), "q"), "query-vectors")
     small = packed.count() * (4 * dim + 8 * (3 * DEGREE + 2)) <= INDEX_BYTES
     blocks = max(1, -(-queries.count() * dim * 4 // query_bytes))
     beams = None
@@ -255,13 +271,21 @@ def nearest(
         found = _walk(mine, packed, ways, entries, beam, small)
         beams = found if beams is None else beams.unionByName(found)
 
-    # 32-bit distances may swap near ties: more than k go to the exact measure.
-    close = beams.select("q", F.explode(F.slice("b", 1, 3 * k)).alias("e")).select("q", F.col("e.v").alias("node"))
-    pairs = close.join(table, "node").join(table.select(F.col("node").alias("q"), F.col("v").alias("w")), "q")
+    # 32-bit distances may swap near ties: more than k go to the exact measure,
+    # and all that the beam has about as far as the k-th.
+    limit = F.when(F.size("b") >= k, F.element_at("b", F.least(F.lit(k), F.size("b")))["d"] * 1.0001).otherwise(F.lit(float("inf")))
+    near = F.filter("b", lambda e, i: (i < 3 * k) | (e["d"] <= F.col("limit")))
+    beams = beams.where(F.size("b") > 0).withColumn("limit", limit)
+    close = beams.select("q", F.explode(near).alias("e")).select("q", F.col("e.v").alias("node"))
+    pairs = close.join(nodes.select("node", "v"), "node").join(nodes.select(F.col("node").alias("q"), F.col("v").alias("w")), "q")
     score = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    best = pairs.select("q", F.struct(score.alias("score"), "node").alias("e")).groupBy("q").agg(
-        F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("es")
+    scored = pairs.select("q", F.col("node").alias("first"), score.alias("score"))
+    own = asked.select("q").distinct().select("q", F.col("q").alias("first"), F.lit(0.0).alias("score"))
+    # Its own id is one of them at most.
+    best = scored.unionByName(own).join(ids, "first").groupBy("q").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("score", "node"))), 1, k + 1).alias("es")
     )
-    return best.select("q", F.posexplode("es").alias("i", "e")).select(
-        F.col("q").alias("query_id"), (F.col("i") + 1).cast("int").alias("rank"), F.col("e.node").alias(key), F.col("e.score").alias("score")
+    others = F.slice(F.filter("es", lambda e: e["node"] != F.col("id")), 1, k)
+    return asked.join(best, "q").select("id", F.posexplode(others).alias("i", "e")).select(
+        F.col("id").alias("query_id"), (F.col("i") + 1).cast("int").alias("rank"), F.col("e.node").alias(key), F.col("e.score").alias("score")
     )

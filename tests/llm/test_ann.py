@@ -49,6 +49,20 @@ def test_small_tables_ties_and_unusable_rows(spark):
     assert got == {0: [(1.0, 1), (1.0, 8), (1.0, 100)], 100: [(1.0, 0), (pytest.approx(2**0.5), 1), (pytest.approx(2**0.5), 8)]}
 
 
+def test_groups_of_equal_vectors(spark):
+    """Ids among thousands of copies: the smallest, for queries in the group
+    and for those nearest to it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 8))
+    x[rng.permutation(4000)[:2500]] = x[0]
+    x[[100, 300]] = x[0]
+    x[[200, 400]] = x[0] + 0.001
+    rows = rows_of(x)
+    got, want = run(spark, rows), brute(rows)
+    for q in (0, 100, 200, 300, 400):
+        assert [o for _, o in got[q]] == [o for _, o in want[q]]
+
+
 def test_blocks_of_queries(spark):
     rng = np.random.default_rng(3)
     rows = [(i * 20, v) for i, v in rows_of(rng.normal(size=(150, 4)))]
