@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, tokenfile, webpages
+from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, resample, tokenfile, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,41 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# crc32 by a table of 256 entries, made by eight shifts of each byte.
+OP12_SQL = r"""
+WITH RECURSIVE shifts(b, k, v) AS (
+  SELECT range, 0, range::UBIGINT FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM shifts WHERE k < 8),
+tbl AS (SELECT list(v ORDER BY b) AS t FROM shifts WHERE k = 8),
+w AS (SELECT 0 AS target, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM documents
+  UNION ALL SELECT 1, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+c AS (SELECT target, id, f, count(*) AS n FROM w GROUP BY ALL),
+vocabulary AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM c)),
+hashed AS (SELECT f, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::UBIGINT),
+    lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM vocabulary, tbl),
+per AS (SELECT bucket, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t FROM c JOIN hashed USING (f) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS ss, coalesce(sum(t), 0)::DOUBLE AS tt FROM per),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (tt + 10000))))::BIGINT AS g
+  FROM per, sums),
+weights AS (SELECT id, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS weight FROM c JOIN hashed USING (f) JOIN gains USING (bucket)
+  WHERE target = 0 GROUP BY id),
+scored AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT::DOUBLE + 0.5) / 4294967296))))::BIGINT AS score
+  FROM documents LEFT JOIN weights ON id = doc_id),
+ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN r <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN r END::BIGINT AS rank
+FROM ranked
+"""
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scans": op2_license_scans,
@@ -145,10 +180,12 @@ QUERIES = {
     "op8_approximate_nearest_neighbours": op8_approximate_nearest_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_binary_output": op10_token_binary_output,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLE = {
     "op1_chat_formatting": OP1_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
