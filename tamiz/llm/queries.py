@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, resample, tokenfile, webpages
+from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, resample, tokenfile, warc, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+t AS (SELECT *, strlen(h) AS n, max(page_id) OVER (PARTITION BY h) AS top,
+  row_number() OVER (PARTITION BY h, page_id) AS copy FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN n < 1000 OR (page_id = top AND copy = 1) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n < 1000 OR (page_id = top AND copy = 1) THEN NULL ELSE top END AS refers_to
+FROM t
+"""
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -180,6 +196,7 @@ QUERIES = {
     "op8_approximate_nearest_neighbours": op8_approximate_nearest_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_binary_output": op10_token_binary_output,
+    "op11_warc": op11_warc,
     "op12_importance_resampling": op12_importance_resampling,
 }
 
@@ -187,5 +204,6 @@ ORACLE = {
     "op1_chat_formatting": OP1_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op11_warc": OP11_SQL,
     "op12_importance_resampling": OP12_SQL,
 }
