@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, resample, tokenfile, warc, webpages
+from tamiz.llm import ann, chat, decontaminate, langid, licenses, neardup, packing, quality, resample, tokenfile, warc, webpages, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -185,6 +185,11 @@ FROM ranked
 """
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_license_scans": op2_license_scans,
@@ -198,6 +203,7 @@ QUERIES = {
     "op10_token_binary_output": op10_token_binary_output,
     "op11_warc": op11_warc,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE = {
