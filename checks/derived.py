@@ -60,6 +60,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th vector as a query."""
+    return vectors(spark, sf_dir).where("chunk_id % 20 = 0").selectExpr("chunk_id AS query_id", "embedding")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of a vector: the document of the same number, if any."""
     return table(spark, sf_dir, "documents").selectExpr("CAST(doc_id AS INT) AS chunk_id", "text")

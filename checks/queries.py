@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamiz.functions import predicates as P
-from tamiz.operators import chunk, evaluate, explore, index, profile, retrieve, throttle
+from tamiz.operators import chunk, evaluate, explore, index, profile, retrieve, throttle, vector_index
 from tamiz.operators.cells import long_form
 from tamiz.session import materialize, new_folder, spread
 from tamiz.sources import csv as csv_source, facts
@@ -224,6 +224,32 @@ def knn_label_means(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return retrieve.top_k(D.vectors(spark, sf_dir), D.label_queries(spark, sf_dir), **options)
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
+    made = vector_index.VectorIndex(spark, new_folder(spark, "vector-index"))
+    made.build(D.vectors(spark, sf_dir))
+    return made
+
+
+def knn_index_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all cells of an index the result is the exact one."""
+    return _vector_index(spark, sf_dir).search(D.label_queries(spark, sf_dir), nprobe=1 << 30)
+
+
+def knn_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every 20th vector, from the cells measured to do."""
+    return _vector_index(spark, sf_dir).search(D.vector_queries(spark, sf_dir), k=10)
+
+
+def knn_approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What share of the exact hits the index finds: nine tenths at least."""
+    queries = D.vector_queries(spark, sf_dir)
+    exact = retrieve.top_k(D.vectors(spark, sf_dir), queries, k=10)
+    found = vector_index.recall(knn_approx(spark, sf_dir), exact)
+    return found.agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("hits").alias("hits"), (F.sum("found") >= 0.9 * F.sum("hits")).alias("found")
+    )
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     queries = D.label_queries(spark, sf_dir)
     hits = retrieve.top_k(D.vectors(spark, sf_dir), queries, k=3, min_score=0.4)
@@ -373,6 +399,9 @@ QUERIES = {
     "knn_label_means": knn_label_means,
     "knn_min_score": partial(knn_label_means, k=20, min_score=0.25),
     "knn_min_score_rounded": partial(knn_label_means, k=20, min_score=0.25, threshold="rounded"),
+    "knn_index_all_cells": knn_index_all_cells,
+    "knn_approx": knn_approx,
+    "knn_approx_recall": knn_approx_recall,
     "context_blocks": context_blocks,
     "search_results": search_results,
     "retrieval_check": retrieval_check,

@@ -357,6 +357,13 @@ def knn(k: int, condition: str) -> str:
     return f"WITH {_KNN} SELECT query_id, rank, doc_name, chunk_id, score FROM r WHERE rank <= {k} AND {condition}"
 
 
+KNN_APPROX_RECALL = """WITH s AS (
+  SELECT a.vec_id AS q, round_even(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS sim
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+r AS (SELECT q, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC) AS rank FROM s)
+SELECT count(DISTINCT q) AS queries, count(*) AS hits, TRUE AS found FROM r WHERE rank <= 10 AND sim >= 0.3"""
+
+
 _HITS = f"""{_KNN},
 h AS (SELECT r.*, d.text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 3 AND sim >= 0.4)"""
 
@@ -542,6 +549,8 @@ ORACLE = {
       count(*) FILTER (WHERE vec_id IS NULL) AS only_left, count(*) FILTER (WHERE doc_id IS NULL) AS only_right
       FROM documents FULL JOIN embeddings ON doc_id = vec_id""",
     "knn_label_means": knn(5, "sim >= 0.3"),
+    "knn_index_all_cells": knn(5, "sim >= 0.3"),
+    "knn_approx_recall": KNN_APPROX_RECALL,
     "knn_min_score": knn(20, "sim >= 0.25"),
     "knn_min_score_rounded": knn(20, "score >= 0.25"),
     "context_blocks": f"""WITH {_HITS}

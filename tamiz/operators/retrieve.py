@@ -2,110 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.predicates import similarity_score
-from ..session import new_folder
+from .nearest import ranked_hits, search
 
-# Queries of one pass over the corpus; their vectors go to every task.
-_MAX_BROADCAST_BYTES = 64 << 20
-# Similarities held at once by a task.
-_MAX_CELLS = 4_000_000
 # Hits up to this many are sent to every task to fetch their texts.
 _MAX_BROADCAST_HITS = 200_000
-# Similarities that agree to this many decimals count as equal.
-_TIE_DECIMALS = 12
-
-
-def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    usable = norms > 0
-    return vectors[usable] / norms[usable, None], usable
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    lengths = np.diff(column.offsets.to_numpy())
-    if (lengths != dim).any():
-        raise ValueError(f"vectors of {dim} values expected, found {sorted(set(lengths.tolist()))}")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-
-
-def _best(table: pa.Table, sims: np.ndarray, rows: np.ndarray, k: int, keys: list[str]):
-    """Rows of the k best similarities; equal ones in the order of the keys."""
-    if len(sims) > k:
-        kth = np.partition(sims, len(sims) - k)[len(sims) - k]
-        keep = sims >= kth
-        sims, rows = sims[keep], rows[keep]
-    if len(sims) > k:
-        tied = table.select(keys).take(pa.array(rows)).append_column("sim", pa.array(sims))
-        tied = tied.append_column("at", pa.array(np.arange(len(rows))))
-        order = tied.sort_by([("sim", "descending"), *[(c, "ascending") for c in keys]])
-        first = order.column("at").to_numpy()[:k]
-        sims, rows = sims[first], rows[first]
-    return sims, rows
-
-
-def _search(corpus: DataFrame, ids: list, vectors: np.ndarray, id_type, k, floor, keys) -> DataFrame:
-    """The k best corpus rows of every task for every query (one scan)."""
-    dim = vectors.shape[1]
-    unit, usable = _unit(vectors)
-    block = corpus.sparkSession.sparkContext.broadcast((np.flatnonzero(usable), unit))
-    fields = [corpus.schema[c] for c in keys]
-    schema = T.StructType(
-        [
-            T.StructField("_q", T.IntegerType()),
-            T.StructField("similarity", T.DoubleType()),
-            *fields,
-        ]
-    )
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, queries = block.value
-        best: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows or not len(queries):
-                continue
-            table = pa.Table.from_batches([batch])
-            units, usable = _unit(_matrix(batch.column("embedding"), dim))
-            at = np.flatnonzero(usable)
-            found = [] if best is None else [best]
-            width = max(1, _MAX_CELLS // max(1, len(at)))
-            for lo in range(0, len(queries), width):
-                sims = np.round(queries[lo : lo + width] @ units.T, _TIE_DECIMALS)
-                for i, row in enumerate(sims):
-                    some = np.flatnonzero(row >= floor)
-                    if not len(some):
-                        continue
-                    s, r = _best(table, row[some], at[some], k, keys)
-                    part = table.select(keys).take(pa.array(r))
-                    part = part.add_column(0, "similarity", pa.array(s))
-                    number = np.full(len(r), numbers[lo + i], dtype=np.int32)
-                    found.append(part.add_column(0, "_q", pa.array(number)))
-            if found:
-                best = _merge(pa.concat_tables(found), k, keys)
-        if best is not None:
-            yield from best.combine_chunks().to_batches()
-
-    parts = corpus.select(*keys, "embedding").mapInArrow(scan, schema)
-    names = corpus.sparkSession.createDataFrame(
-        list(enumerate(ids)),
-        T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("query_id", id_type)]),
-    )
-    return parts.join(F.broadcast(names), "_q").drop("_q")
-
-
-def _merge(table: pa.Table, k: int, keys: list[str]) -> pa.Table:
-    table = table.sort_by(
-        [("_q", "ascending"), ("similarity", "descending"), *[(c, "ascending") for c in keys]]
-    )
-    q = table.column("_q").to_numpy()
-    first = np.searchsorted(q, q, side="left")
-    return table.filter(pa.array(np.arange(len(q)) - first < k))
 
 
 def top_k(
@@ -125,42 +29,23 @@ def top_k(
     compared before ("unrounded") or after ("rounded") rounding to 4 decimals.
     Rows without a vector or with a zero vector have no similarity.
 
-    The corpus is scanned once per block of queries and never shuffled: each
-    task multiplies its Arrow batches with the block and keeps k rows per query.
-    A block holds at most 64 MiB of query vectors, whatever their number.
+    Up to 64 MiB of query vectors go to every task; the corpus is scanned once
+    and never shuffled, and each task keeps k rows per query. More queries meet
+    the corpus in tiles, in one job and without the driver (see ``nearest``).
     """
     if threshold not in ("unrounded", "rounded"):
         raise ValueError("threshold is 'unrounded' or 'rounded'")
     floor = min_score if threshold == "unrounded" else min_score - 1e-4
     usable = queries.where(F.size("embedding") > 0).select("query_id", "embedding")
     measured = usable.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    id_type = queries.schema["query_id"].dataType
     keys = list(keys)
-    n_blocks = max(1, -(-measured["n"] * (measured["dim"] or 1) * 8 // _MAX_BROADCAST_BYTES))
-    present = corpus.where(F.size("embedding") > 0)
-
-    def search(block: DataFrame) -> DataFrame:
-        rows = block.collect()
-        ids = [r["query_id"] for r in rows]
-        vectors = np.array([r["embedding"] for r in rows], dtype=np.float64)
-        vectors = vectors.reshape(len(ids), measured["dim"] or 1)
-        return _search(present, ids, vectors, id_type, k, floor, keys)
-
-    if n_blocks == 1:
-        found = search(usable)
-    else:
-        # One block at a time is on the driver; its hits go to the shared folder.
-        folder = new_folder(corpus.sparkSession, "hits")
-        for b in range(n_blocks):
-            block = usable.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-            search(block).write.mode("append").parquet(folder)
-        found = corpus.sparkSession.read.parquet(folder)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), *keys)
-    hits = (
-        found.withColumn("rank", F.row_number().over(ranked))
-        .where(F.col("rank") <= k)
-        .withColumn("score", similarity_score(F.col("similarity")))
+    one = F.lit(0).alias("cell")
+    found = search(
+        corpus.where(F.size("embedding") > 0).select(one, *keys, "embedding"),
+        usable.select(one, "query_id", "embedding"),
+        asked=measured["n"], k=k, floor=floor, keys=keys, dim=measured["dim"] or 1, spread=True,
     )
+    hits = ranked_hits(found, k, keys).withColumn("score", similarity_score(F.col("similarity")))
     passed = F.col("score" if threshold == "rounded" else "similarity") >= min_score
     return hits.where(passed).select("query_id", "rank", *keys, "score")
 

@@ -23,11 +23,15 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 6
 
 
+#: Of these SQL can't tell the rows; others with SQL, and tests, check them.
+WITHOUT_SQL = {"knn_approx"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLE)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, con, name):
     assert difference(spark, con, QUERIES[name], ORACLE[name], SF_DIR) is None

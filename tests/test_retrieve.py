@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tamiz.operators import retrieve as rt
+from tamiz.operators import nearest, retrieve as rt
 
 SCHEMA = "doc_name string, chunk_id int, text string, embedding array<float>"
 
@@ -46,10 +46,12 @@ def test_against_brute_force_with_ties(spark, k):
     assert {tuple(r) for r in got} == brute(corpus, queries, k, 0.3)
 
 
-def test_many_queries_go_in_blocks(spark, monkeypatch):
+def test_many_queries_meet_the_corpus_in_tiles(spark, monkeypatch):
     corpus, queries = random_case(3)
-    monkeypatch.setattr(rt, "_MAX_BROADCAST_BYTES", 300)
-    monkeypatch.setattr(rt, "_MAX_CELLS", 100)
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 300)
+    monkeypatch.setattr(nearest, "MAX_CELLS", 100)
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 8 * 3)
+    monkeypatch.setattr(nearest, "TILE_ROWS", 100)
     got = rt.top_k(*frames(spark, corpus, queries), k=4, min_score=0.0).collect()
     assert {tuple(r) for r in got} == brute(corpus, queries, 4, 0.0)
 
