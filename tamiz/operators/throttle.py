@@ -20,6 +20,9 @@ from ..session import materialize, new_folder, shared_dir
 # Events of one block, which one task walks through.
 _BLOCK_ROWS = 8_000_000
 
+# Blocks of one key that a task may walk through in a row, times only.
+_RUN_BLOCKS = 16
+
 # Events of one slice of a client's history that one task counts.
 _DENSE_SLICE = 2_000_000
 
@@ -215,60 +218,90 @@ def _summarize(starts, carried, limit, window):
 
 
 def _rerun(carried: dict[int, list[int]], limit: int, window: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["block"].iloc[0])
-        hits = admit(np.sort(pdf["t"].to_numpy()), carried[block], limit, window)[1]
-        return pd.DataFrame({"block": [block], "hits": [hits]})
+    """Admit the sorted times of runs of blocks; ``carried`` holds what the
+    first block of a run starts with, the others go on from the one before."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, hits = None, []
+        for pdf in frames:
+            numbers, times = pdf["block"].to_numpy(), pdf["t"].to_numpy()
+            edges = np.flatnonzero(numbers[1:] != numbers[:-1]) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(numbers)]):
+                if lo == hi:
+                    continue
+                if block is not None and numbers[lo] != block:
+                    yield pd.DataFrame({"block": [block], "hits": [hits]})
+                if numbers[lo] != block:
+                    block = int(numbers[lo])
+                    hits = carried.get(block, hits)
+                hits = admit(times[lo:hi], hits, limit, window)[1]
+        if block is not None:
+            yield pd.DataFrame({"block": [block], "hits": [hits]})
 
     return run
 
 
+def _first_runs(chained: list[int], follows: dict[int, int], todo: set[int]) -> list[list[int]]:
+    """Of each chain the first block to run, and the blocks after it."""
+    runs, known, going = [], set(chained), False
+    for b in chained:
+        if follows[b] not in known:
+            going = False  # another chain
+        if not going and b in todo:
+            runs.append([b])
+            going = True
+        elif going and len(runs[-1]) < _RUN_BLOCKS and runs[-1][-1] == follows[b]:
+            runs[-1].append(b)
+    return runs
+
+
 def _hits_at_block_starts(blocks: DataFrame, starts: dict, limit: int, window: int) -> dict[int, list[int]]:
     """Hits that the first key of each block brings from the previous block.
 
     One parallel pass summarizes all blocks. The hits at the end of a block
     depend on what was brought only when the block lies inside one key and has
-    no idle gap as long as the window; such blocks (a client with more events
-    than fit a block) are run again in order, one job per step of the chain.
+    no idle gap as long as the window (a client with more events than fit a
+    block). Such blocks run again, all in one job, each with what the one before
+    it has brought so far, until none is brought anything else than it ran with.
+
+    Which hits a block starts with is soon forgotten: once the same events are
+    admitted, all that follows is the same. So a second round mostly changes
+    nothing, however many blocks a client has. Where it does (hundreds of events
+    per window and few windows per block), and a round does not at least halve
+    the blocks to run, nothing is gained by guessing: then the first of them runs
+    with the ``_RUN_BLOCKS`` blocks after it as one stream of times.
     """
     spark = blocks.sparkSession
     rows = blocks.mapInArrow(_summarize(starts, {}, limit, window), _SUMMARY).collect()
     done = {r["block"]: r for r in sorted(rows, key=lambda r: r["block"])}
     order = list(done)
     ends = {b: list(done[b]["hits"]) for b in order}
-    follows = {
-        b: a for a, b in zip(order, order[1:]) if done[a]["last"] == done[b]["first"]
-    }
+    follows = {b: a for a, b in zip(order, order[1:]) if done[a]["last"] == done[b]["first"]}
     chained = [b for b in order if b in follows and done[b]["single"] and not done[b]["reset"]]
-    open_blocks = set(chained)
-    brought: dict[int, list[int]] = {}
-    store = None
-    while open_blocks:
-        ready = [b for b in chained if b in open_blocks and follows[b] not in open_blocks]
-        again = []
-        for b in ready:
-            brought[b] = ends[follows[b]]
-            if any(done[b]["first_t"] - h < window for h in brought[b]):
-                again.append(b)
-            else:
-                open_blocks.discard(b)
-        if again:
-            if store is None:
-                store = new_folder(spark, "busy-clients")
-                busy = blocks.where(F.col("block").isin(chained)).select("block", "t")
-                busy.write.partitionBy("block").parquet(store)
-            carried = {b: brought[b] for b in again}
-
-            redone = (
-                spark.read.parquet(store)
-                .where(F.col("block").isin(again))
-                .groupBy("block")
-                .applyInPandas(_rerun(carried, limit, window), "block int, hits array<bigint>")
-                .collect()
-            )
-            for r in redone:
-                ends[r["block"]] = list(r["hits"])
-                open_blocks.discard(r["block"])
+    ran_with: dict[int, list[int]] = {b: [] for b in chained}
+
+    def brought(b: int) -> list[int]:
+        return [h for h in ends[follows[b]] if done[b]["first_t"] - h < window]
+
+    store, guess, before = None, True, 2 * len(chained)
+    while todo := [b for b in chained if brought(b) != ran_with[b]]:
+        guess = guess and 2 * len(todo) <= before
+        before = len(todo)
+        if store is None:
+            store = new_folder(spark, "busy-clients")
+            busy = blocks.where(F.col("block").isin(chained)).select("block", "t")
+            busy.write.partitionBy("block").parquet(store)
+        runs = [[b] for b in todo] if guess else _first_runs(chained, follows, set(todo))
+        carried = {run[0]: brought(run[0]) for run in runs}
+        of = F.broadcast(spark.createDataFrame([(b, run[0]) for run in runs for b in run], "block int, run int"))
+        times = spark.read.parquet(store).where(F.col("block").isin([b for run in runs for b in run])).join(of, "block")
+        redone = (
+            times.repartition(len(runs), "run").sortWithinPartitions("run", "block", "t").select("block", "t")
+            .mapInPandas(_rerun(carried, limit, window), "block int, hits array<bigint>").collect()
+        )
+        ends.update({r["block"]: list(r["hits"]) for r in redone})
+        ran_with.update(carried)
+        ran_with.update({b: brought(b) for run in runs for b in run[1:]})
     return {b: ends[a] for b, a in follows.items()}
 
 

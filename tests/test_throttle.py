@@ -48,6 +48,19 @@ def test_admission(spark, seed, n, span, hot, limit, window):
     assert {(r["client"], r["t"], r["event_id"]) for r in got} == set(events)
 
 
+@pytest.mark.parametrize("span,window,most", [(400_000, 100, 2), (20_000, 1_000, 9)])
+def test_busy_client_in_many_blocks(spark, monkeypatch, span, window, most):
+    """Blocks that forget what they started with take two rounds; others run
+    some at a time, never one job for each."""
+    rounds, rerun = [], th._rerun
+    monkeypatch.setattr(th, "_rerun", lambda *a: rounds.append(a[0]) or rerun(*a))
+    monkeypatch.setattr(th, "_RUN_BLOCKS", 8)
+    events = log(9, 8000, span, 1.0) + [("early", t, 10_000 + t) for t in range(0, span, 37)]
+    got = th.admitted(frame(spark, events), limit=3, window=window, n_blocks=40).collect()
+    assert {r["event_id"]: r["admitted"] for r in got} == fold(events, 3, window)
+    assert 1 <= len(rounds) <= most
+
+
 def test_window_is_half_open(spark):
     events = [("a", 0, 1), ("a", 59, 2), ("a", 60, 3), ("a", 60, 4)]
     got = th.admitted(frame(spark, events), limit=1, window=60, n_blocks=2).collect()
