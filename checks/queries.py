@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,7 @@ from tamiz.operators.cells import long_form
 from tamiz.session import materialize, new_folder, spread
 from tamiz.sources import csv as csv_source, facts
 from tamiz.sources.table import SourceTable
-from tamiz.streaming.throttle import admitted_stream, daily_cap_stream
+from tamiz.streaming.throttle import admitted_stream, capped_stream, clients_in_state, daily_cap_stream, timer_state
 
 from . import derived as D
 
@@ -363,6 +364,38 @@ def throttle_stream_daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, sf_dir, cap=100).drop("batch")
 
 
+def _capped(spark: SparkSession, arrivals: list[DataFrame], idle_ms: list[int | None]) -> tuple[DataFrame, str]:
+    """Both stages as one stream, run once after each arrival; its result and
+    its checkpoint."""
+    arrived, out, state = (new_folder(spark, n) for n in ("arrived", "capped", "capped-state"))
+    for part, idle in zip(arrivals, idle_ms):
+        part.write.mode("append").parquet(arrived)
+        events = spark.readStream.schema(part.schema).parquet(arrived)
+        flags = capped_stream(events, limit=3, window=24 * HOUR, cap=100, idle_ms=idle)
+        with timer_state(spark, until_read=True):
+            writer = flags.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+            writer.trigger(availableNow=True).start(out).awaitTermination()
+        if idle is not None:
+            time.sleep(idle / 1000)
+    return spark.read.parquet(out), state
+
+
+def throttle_stream_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in parts by time through both stages in one query."""
+    log = materialize(D.parts_by_time(D.log(spark, sf_dir), PARTS), "arrivals")
+    arrivals = [log.where(F.col("part") == p).select("client", "t", "event_id") for p in range(PARTS)]
+    return _capped(spark, arrivals, [None] * PARTS)[0].drop("late")
+
+
+def throttle_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients with state after those of even numbers have been idle: the ones
+    that arrived last."""
+    log = D.log(spark, sf_dir)
+    arrivals = [log.where("client % 2 = 0"), log.where("client % 2 = 1")]
+    state = _capped(spark, arrivals, [1000, None])[1]
+    return clients_in_state(spark, state).orderBy("client")
+
+
 QUERIES = {
     "profile_orders": partial(profile_of, "orders"),
     "profile_customer": partial(profile_of, "customer"),
@@ -418,4 +451,6 @@ QUERIES = {
     "throttle_stream": throttle_stream,
     "throttle_stream_late": throttle_stream_late,
     "throttle_stream_daily_cap": throttle_stream_daily_cap,
+    "throttle_stream_capped": throttle_stream_capped,
+    "throttle_stream_state": throttle_stream_state,
 }

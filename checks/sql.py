@@ -490,6 +490,10 @@ THROTTLE_STREAM_CAP = f"""SELECT client, t, event_id,
   row_number() OVER (PARTITION BY t // 86400000000 ORDER BY t, event_id) <= 100 AS admitted
 FROM ({THROTTLE_ADMITTED}) WHERE admitted"""
 
+THROTTLE_STREAM_CAPPED = f"""SELECT client, t, event_id, admitted AS within_limit, admitted AND
+  count(*) FILTER (admitted) OVER (PARTITION BY t // 86400000000 ORDER BY t, event_id) <= 100 AS admitted
+FROM ({THROTTLE_ADMITTED})"""
+
 # One step per event of the whole log; hits are (client, time) pairs.
 THROTTLE_DAILY_CAP = f"""WITH RECURSIVE log AS (
   SELECT *, row_number() OVER (ORDER BY t, event_id) AS i, t // 86400000000 AS day FROM ({_LOG})),
@@ -588,4 +592,6 @@ ORACLE = {
     "throttle_stream": THROTTLE_ADMITTED,
     "throttle_stream_late": THROTTLE_LATE,
     "throttle_stream_daily_cap": THROTTLE_STREAM_CAP,
+    "throttle_stream_capped": THROTTLE_STREAM_CAPPED,
+    "throttle_stream_state": f"SELECT DISTINCT client FROM ({_LOG}) WHERE client % 2 = 1",
 }

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.operators import throttle as th
-from tamiz.streaming.throttle import admitted_stream, daily_cap_stream
+from tamiz.streaming.throttle import admitted_stream, capped_stream, clients_in_state, daily_cap_stream, timer_state
 
 
 def fold(events, limit, window, cap=None):
@@ -155,3 +155,40 @@ def test_ids_need_not_be_unique(spark):
     kept = spark.createDataFrame([("a", 30, 2)], events.schema)
     flagged = sorted((tuple(r) for r in th.flag_kept(events, kept).collect()), key=repr)
     assert flagged == sorted([(*r, False) for r in rows[:3]] + [("a", 30, 2, True), (None, 5, None, False)], key=repr)
+
+
+def run_capped(spark, folder, parts, idle_ms=None, **options):
+    """Each part is a file and a micro-batch of its own."""
+    schema = "client string, t bigint, event_id bigint"
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream = capped_stream(source, idle_ms=idle_ms, **options)
+    with timer_state(spark, until_read=True):
+        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+        q.outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_both_stages_in_one_stream(spark, folder):
+    events = sorted(log(12, 800, 3 * th.DAY, 0.4), key=lambda e: (e[1], e[2]))
+    window = 6 * 3600 * th.SECOND
+    got = run_capped(spark, folder, [events[i : i + 200] for i in range(0, 800, 200)], limit=2, window=window, cap=20, delay=th.SECOND)
+    got = {r["event_id"]: (r["within_limit"], r["admitted"], r["late"]) for r in got.collect()}
+    within, per_day, want = fold(events, 2, window), {}, {}
+    for _, t, i in events:
+        per_day[t // th.DAY] = per_day.get(t // th.DAY, 0) + within[i]
+        want[i] = (within[i], within[i] and per_day[t // th.DAY] <= 20, False)
+    assert got == want
+
+
+def test_state_of_idle_clients_goes(spark, folder):
+    import time
+
+    run_capped(spark, folder, [[("a", 1, 1), ("b", 2, 2)]], idle_ms=500, limit=1, window=10, cap=5)
+    assert sorted(r[0] for r in clients_in_state(spark, f"{folder}/state").collect()) == ["a", "b"]
+    time.sleep(0.6)
+    got = run_capped(spark, folder, [[("c", 3, 3)]], limit=1, window=10, cap=2)
+    assert [r[0] for r in clients_in_state(spark, f"{folder}/state").collect()] == ["c"]
+    # The day's count stays longer than a client's hits.
+    assert {r["event_id"]: r["admitted"] for r in got.collect()} == {1: True, 2: True, 3: False}
