@@ -119,6 +119,33 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_source.load_csv(spark, folder, glob="*.csv").df
 
 
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose columns are in another order, one of them with one less."""
+    folder, customer = new_folder(spark, "csv"), D.table(spark, sf_dir, "customer")
+    orders = [customer.columns, customer.columns[::-1], [c for c in customer.columns if c != "c_acctbal"]]
+    for i, columns in enumerate(orders):
+        part = customer.where(F.col("c_custkey") % 3 == i).select(columns)
+        part.write.mode("append").option("header", True).option("sep", ";|,"[i]).csv(folder)
+    return csv_source.load_csv(spark, folder, glob="*.csv").df
+
+
+def csv_skiprows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that begin with three lines of something else, one of them blank."""
+    folder, orders = new_folder(spark, "csv"), D.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    above = spark.createDataFrame([(-4, "informe, semanal"), (-3, ""), (-2, "total"), (-1, ",".join(orders.columns))], "o long, value string")
+    for i in range(3):
+        rows = orders.where(F.col("o_orderkey") % 3 == i).select(F.col("o_orderkey").alias("o"), F.to_csv(F.struct("*")).alias("value"))
+        above.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.mode("append").text(folder)
+    return csv_source.load_csv(spark, folder, glob="*.txt", skiprows=3).df
+
+
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts over many lines, in quotes."""
+    folder, documents = new_folder(spark, "csv"), D.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents.write.options(header=True, quote="'", escape="'").csv(folder)
+    return csv_source.load_csv(spark, folder, glob="*.csv", sep=",", options={"quote": "'", "escape": "'"}).df
+
+
 def load_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = facts.load_metadata(D.dirty_events(spark, sf_dir))
     return made.withColumn("columns_all_null", F.array_join("columns_all_null", ";"))
@@ -413,6 +440,9 @@ QUERIES = {
     "client_ips": client_ips,
     "csv_kinds": csv_kinds,
     "csv_round_trip": csv_round_trip,
+    "csv_mixed_headers": csv_mixed_headers,
+    "csv_skiprows": csv_skiprows,
+    "csv_multiline": csv_multiline,
     "load_metadata": load_metadata,
     "separator_votes": separator_votes,
     "null_table": null_table,

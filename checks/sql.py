@@ -553,6 +553,9 @@ ORACLE = {
       count(*) FILTER (WHERE vec_id IS NULL) AS only_left, count(*) FILTER (WHERE doc_id IS NULL) AS only_right
       FROM documents FULL JOIN embeddings ON doc_id = vec_id""",
     "knn_label_means": knn(5, "sim >= 0.3"),
+    "csv_mixed_headers": "SELECT * REPLACE (CASE WHEN c_custkey % 3 <> 2 THEN c_acctbal END AS c_acctbal, c_nationkey::BIGINT AS c_nationkey) FROM customer",
+    "csv_skiprows": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
+    "csv_multiline": "SELECT doc_id, nullif(text, '') AS text FROM documents",
     "knn_index_all_cells": knn(5, "sim >= 0.3"),
     "knn_approx_recall": KNN_APPROX_RECALL,
     "knn_min_score": knn(20, "sim >= 0.25"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,7 +16,6 @@ from ..functions import fixed
 from ..functions.predicates import strip
 from ..operators.cells import cells_of
 from ..operators.samples import RowOrder
-from ..session import size_in_bytes
 from .facts import facts_of
 from .table import SourceTable
 
@@ -38,9 +39,9 @@ def list_files(spark: SparkSession, path: str | list[str], glob: str | None = No
         raise
 
 
-def read_heads(files: DataFrame) -> DataFrame:
+def read_heads(files: DataFrame, skiprows: int = 0) -> DataFrame:
     """``(path, length, head)``: the first bytes of each file, enough for the
-    sniffed lines and never less than the sniffed bytes. One task reads the
+    sniffed lines after ``skiprows`` others and never less than the sniffed bytes. One task reads the
     heads of its files; no file is read whole unless its first lines fill it."""
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,7 +52,7 @@ def read_heads(files: DataFrame) -> DataFrame:
                 fs, inner = pafs.FileSystem.from_uri(url)
                 with fs.open_input_stream(inner) as stream:
                     head = stream.read(_READ_STEP)
-                    while head.count(b"\n") < fixed.CSV_SNIFF_LINES:
+                    while head.count(b"\n") < skiprows + fixed.CSV_SNIFF_LINES:
                         more = stream.read(_READ_STEP)
                         if not more:
                             break
@@ -75,12 +76,12 @@ def detect_encoding(heads: DataFrame) -> DataFrame:
     return heads.withColumn("encoding", F.when(valid, F.lit("utf-8")).otherwise(F.lit("latin-1")))
 
 
-def head_lines(heads: DataFrame) -> DataFrame:
+def head_lines(heads: DataFrame, skiprows: int = 0) -> DataFrame:
     """``(path, line)``: the sniffed lines of each file."""
     text = F.when(F.col("encoding") == "utf-8", F.col("head").cast("string")).otherwise(
         F.decode("head", "iso-8859-1")
     )
-    lines = F.slice(F.split(text, "\r\n|\n|\r"), 1, fixed.CSV_SNIFF_LINES)
+    lines = F.slice(F.split(text, "\r\n|\n|\r"), 1 + skiprows, fixed.CSV_SNIFF_LINES)
     return heads.select("path", F.explode(lines).alias("line"))
 
 
@@ -119,13 +120,45 @@ def separator_votes(lines: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
-def sniff(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """``(path, length, encoding, separator)`` for every file."""
-    heads = detect_encoding(read_heads(list_files(spark, path, glob)))
-    return heads.select("path", "length", "encoding").join(separator_votes(head_lines(heads)), "path", "left").select(
-        "path", "length", "encoding",
-        F.coalesce("separator", F.lit(fixed.CSV_SEPARATORS[0])).alias("separator"),
-    )
+def header_of(head: str, separator: str, quote: str, skiprows: int) -> tuple[list[str], int]:
+    """(names, before): the cells of the first line that is not blank after
+    ``skiprows`` lines, and how many lines before it are not blank."""
+    lines = re.split("\r\n|\n|\r", head.removeprefix("\ufeff"))
+    before = sum(bool(line.strip()) for line in lines[:skiprows])
+    rest = [line for line in lines[skiprows:] if line.strip()]
+    quoting = csv.QUOTE_MINIMAL if quote else csv.QUOTE_NONE
+    return next(csv.reader(rest, delimiter=separator, quotechar=quote or None, quoting=quoting), []), before
+
+
+def sniff(
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str | None = None,
+    *,
+    sep: str | None = None,
+    encoding: str | None = None,
+    quote: str = '"',
+    skiprows: int = 0,
+) -> DataFrame:
+    """``(path, length, encoding, separator, header, before)`` for every file;
+    encoding and separator are detected unless given. ``header`` has the column
+    names after ``skiprows`` lines, ``before`` says how many of these are not
+    blank."""
+    heads = detect_encoding(read_heads(list_files(spark, path, glob), skiprows))
+    if encoding is not None:
+        heads = heads.withColumn("encoding", F.lit(encoding))
+    separator = F.coalesce("separator", F.lit(fixed.CSV_SEPARATORS[0])) if sep is None else F.lit(sep)
+    files = heads.join(separator_votes(head_lines(heads, skiprows)), "path", "left").withColumn("separator", separator)
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [h.decode(e, "replace") for h, e in zip(pdf["head"], pdf["encoding"])]
+            found = [header_of(t, s, quote, skiprows) for t, s in zip(texts, pdf["separator"])]
+            yield pdf.drop(columns="head").assign(header=[h for h, _ in found], before=[b for _, b in found])
+
+    columns = ["path", "length", "encoding", "separator"]
+    schema = "path string, length bigint, encoding string, separator string, header array<string>, before int"
+    return files.select(*columns, "head").mapInPandas(headers, schema)
 
 
 # --- typing -----------------------------------------------------------------
@@ -199,17 +232,35 @@ def apply_kinds(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 # --- reading ----------------------------------------------------------------
 
 
-def _needs_whole_files(spark: SparkSession, files: list) -> bool:
-    """Whether cells may run over line ends, so that files cannot be split.
+def _needs_whole_files(spark: SparkSession, paths: list[str], quote: str) -> bool:
+    """Whether cells may run over line ends, so that files cannot be split:
+    whether some line has an odd number of quotes. All lines of files of any
+    size decide, so that the rows do not depend on how files are split."""
+    if not quote:
+        return False
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return bool(spark.read.text(paths).where(quotes % 2 == 1).take(1))
 
-    Files no larger than a split are read by one task anyway. Larger ones are
-    scanned for a physical line with an odd number of quotes.
-    """
-    split = size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if all(f["length"] <= split for f in files):
-        return True
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text([f["path"] for f in files]).where(quotes % 2 == 1).take(1))
+
+def _own_names(header: list[str]) -> list[str]:
+    """Column names of a header: a blank one is told by its place, a repeated
+    one gets its place as well."""
+    names = [n if n.strip() else f"_c{i}" for i, n in enumerate(header)]
+    low = [n.lower() for n in names]
+    return [n if low.count(n.lower()) == 1 else f"{n}{i}" for i, n in enumerate(names)]
+
+
+def _without_first(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of CSV files without the first ``n`` of each file. The part of a
+    file that begins it is read by one task, in order; the others hold none of
+    its first rows, unless these fill that part."""
+    columns = rows.columns
+    begins = F.col("_metadata.file_block_start") == 0
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), begins.alias("_begins"), F.monotonically_increasing_id().alias("_at"))
+    # One row per file.
+    first = placed.where("_begins").groupBy("_file").agg(F.min("_at").alias("_first"))
+    kept = placed.join(F.broadcast(first), "_file", "left").where(~F.col("_begins") | (F.col("_at") >= F.col("_first") + n))
+    return kept.select(*columns)
 
 
 def load_csv(
@@ -219,45 +270,47 @@ def load_csv(
     sep: str | None = None,
     encoding: str | None = None,
     nrows: int | None = None,
+    skiprows: int = 0,
     glob: str | None = None,
     options: dict[str, str] | None = None,
 ) -> SourceTable:
     """Read one or many CSV files of one table.
 
-    Encoding and separator are detected per file unless given; files that agree
-    are read together. Cells are typed by all their values, never by a sample;
-    dates stay text. A file is split between tasks unless a quoted cell of it
-    runs over a line end.
+    Encoding and separator are detected per file unless given. Every file is
+    read by its own header, the first line that is not blank after ``skiprows``
+    lines; files that agree in all that are read together, and the parts are
+    joined by column name. A column that a file lacks is missing in its rows,
+    and a warning (``column_sets``) tells how many sets of columns there are.
+    Cells are typed by all their values, never by a sample; dates stay text. A
+    file is split between tasks unless a quoted cell of some file runs over a
+    line end. ``options`` go to Spark's reader.
     """
-    files = sniff(spark, path, glob)
-    if encoding is not None:
-        files = files.withColumn("encoding", F.lit(encoding))
-    if sep is not None:
-        files = files.withColumn("separator", F.lit(sep))
-    found = files.collect()  # one row per file, as in Spark's own file listing
-    groups: dict[tuple[str, str], list] = {}
+    quote = (options or {}).get("quote", '"')
+    # One row per file, as in Spark's own file listing.
+    found = sniff(spark, path, glob, sep=sep, encoding=encoding, quote=quote, skiprows=skiprows).collect()
+    groups: dict[tuple, list] = {}
     for f in found:
-        groups.setdefault((f["encoding"], f["separator"]), []).append(f)
+        groups.setdefault((f["encoding"], f["separator"], tuple(f["header"]), f["before"]), []).append(f["path"])
 
     parts = []
-    for (enc, separator), members in sorted(groups.items()):
-        paths = sorted(f["path"] for f in members)
+    whole = _needs_whole_files(spark, [f["path"] for f in found], quote)
+    for (enc, separator, header, before), paths in sorted(groups.items()):
         fixed_options = {
-            "header": "true",
+            "header": str(not skiprows).lower(),
             "sep": separator,
             "encoding": {"latin-1": "iso-8859-1"}.get(enc, enc),
             "quote": '"',
             "escape": '"',
-            "multiLine": str(_needs_whole_files(spark, members)).lower(),
+            "multiLine": str(whole).lower(),
             "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": _CORRUPT,
             **(options or {}),
         }
-        names = spark.read.options(**fixed_options).csv(paths[0]).columns
+        paths = sorted(paths)
+        names = _own_names(list(header)) if skiprows else spark.read.options(**fixed_options).csv(paths[0]).columns
         schema = T.StructType([T.StructField(n.lstrip("\ufeff"), T.StringType()) for n in names])
-        parts.append(
-            spark.read.options(**fixed_options).schema(schema.add(_CORRUPT, T.StringType())).csv(paths)
-        )
+        rows = spark.read.options(**fixed_options).schema(schema.add(_CORRUPT, T.StringType())).csv(paths)
+        parts.append(_without_first(rows, before + 1) if skiprows else rows)
     raw = parts[0] if len(parts) == 1 else reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if nrows is not None:
         order = RowOrder(raw, None)
@@ -267,9 +320,10 @@ def load_csv(
     df = apply_kinds(raw.drop(_CORRUPT), kinds)
     info = facts_of(measured[0]["n_rows"], {r["name"]: r["present"] for r in measured})
     if measured[0]["n_corrupt"]:
-        info["warnings"].append(
-            f"{measured[0]['n_corrupt']} filas con un numero de celdas distinto del encabezado"
-        )
+        info["warnings"].append(f"misshaped_rows={measured[0]['n_corrupt']}")
+    sets = {frozenset(f["header"]) for f in found}
+    if len(sets) > 1:
+        info["warnings"].append(f"column_sets={len(sets)}")
     first = min(found, key=lambda f: f["path"])
     info.update(
         encoding=first["encoding"],

@@ -61,7 +61,7 @@ def test_quoted_line_end_and_ragged_rows(spark, folder):
     t = load_csv(spark, write(folder, "q.csv", 'a,b\n1,"x\ny"\n2,z\n'))
     assert t.df.orderBy("a").first()["b"] == "x\ny"
     t = load_csv(spark, write(folder, "r.csv", "a,b\n1,x\n2\n3,y,z\n"))
-    assert t.df.count() == 3 and "2 filas" in t.metadata["warnings"][0]
+    assert t.df.count() == 3 and t.metadata["warnings"][0] == "misshaped_rows=2"
 
 
 def test_files_of_one_table_with_different_formats(spark, folder):
@@ -127,3 +127,28 @@ def test_catalog(spark, folder):
     assert catalog.loaded() == []
     with pytest.raises(KeyError, match="available"):
         catalog.profile("no")
+
+
+def test_every_file_has_its_own_header(spark, folder):
+    write(folder, "1.csv", "a,b\n1,x\n2,y\n")
+    write(folder, "2.csv", "b,a\nz,3\n")
+    write(folder, "3.csv", "a\n4\n")
+    t = load_csv(spark, folder, glob="*.csv")
+    assert sorted((r["a"], r["b"]) for r in t.df.collect()) == [(1, "x"), (2, "y"), (3, "z"), (4, None)]
+    assert "column_sets=2" in t.metadata["warnings"]
+
+
+@pytest.mark.parametrize("split", ["128m", "200b"])
+def test_rows_do_not_depend_on_splits(spark, folder, split):
+    path = write(folder, "m.csv", "a;b\n" + "".join(f"{i};'x\ny{i}'\n" for i in range(300)))
+    skipped = write(folder, "s.csv", "nota\n\nmas; notas\n" + "a;b\n" + "".join(f"{i};y{i}\n" for i in range(300)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = load_csv(spark, path, sep=";", options={"quote": "'"}).df.collect()
+        assert sorted(r["a"] for r in rows) == list(range(300)) and all(r["b"] == f"x\ny{r['a']}" for r in rows)
+        rows = load_csv(spark, skipped, skiprows=3).df.collect()
+        assert sorted((r["a"], r["b"]) for r in rows) == [(i, f"y{i}") for i in range(300)]
+        assert load_csv(spark, [path, skipped], skiprows=0, sep=";").df.count() > 600
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
