@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>\n"
+#: Code points of the strings that a text is cut into before spans are read.
+STEP = 1024
 
 
 def escape(text: Column) -> Column:
@@ -85,17 +87,19 @@ def format_conversations(
     before = Window.partitionBy("c").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     placed = made.withColumn("at", F.coalesce(F.sum(F.length("block")).over(before), F.lit(0)) + F.length("head"))
     # Texts of a block follow each other with NEXT between; a second running
-    # sum over its texts would only repeat the one over blocks.
-    texts = placed.select(
-        "c", "k", "block", "loss", "at", F.posexplode_outer(F.when(F.col("loss"), F.col("texts"))).alias("j", "x")
+    # sum over its texts would only repeat the one over blocks. The block itself
+    # goes with its first text alone, not with each.
+    items = F.transform(
+        F.when(F.col("loss"), F.col("texts")).otherwise(F.array(F.lit(""))),
+        lambda x, j: F.struct(
+            j.alias("j"), F.length(x).cast("long").alias("n"), F.when(j == 0, F.col("block")).alias("block")
+        ),
     )
+    texts = placed.select("c", "k", "loss", "at", F.inline(items))
     inside = Window.partitionBy("c", "k").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    gap = len(NEXT)
-    start = F.col("at") + F.coalesce(F.sum(F.length("x") + gap).over(inside), F.lit(0))
-    spans = texts.withColumn(
-        "span", F.when(F.col("loss"), F.struct(start.alias("start"), F.length("x").cast("long").alias("length")))
-    )
-    piece = F.struct("k", F.coalesce("j", F.lit(0)).alias("j"), F.when(F.coalesce("j", F.lit(0)) == 0, F.col("block")).alias("block"), "span")
+    start = F.col("at") + F.coalesce(F.sum(F.col("n") + len(NEXT)).over(inside), F.lit(0))
+    spans = texts.withColumn("span", F.when(F.col("loss"), F.struct(start.alias("start"), F.col("n").alias("length"))))
+    piece = F.struct("k", "j", "block", "span")
     whole = spans.groupBy("c").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
     return whole.select(
         F.col("c").alias(conversation),
@@ -104,29 +108,51 @@ def format_conversations(
     )
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_blocks(formatted: Column) -> Column:
-    """Turns of a formatted conversation, in order: array of struct(role, text)."""
+    """Turns of a formatted conversation, in order: array of struct(role, text).
+    Every block is split once, so the time grows with the length of the text."""
     blocks = F.filter(_split(formatted, END), lambda b: b != "")
+    halves = F.transform(blocks, lambda b: _split(b, TEXT))
+    parts = F.transform(
+        halves,
+        lambda h: F.struct(
+            unescape(F.substr(F.get(h, F.lit(0)), F.lit(len(TURN) + 1))).alias("role"),
+            _split(F.get(h, F.lit(1)), NEXT).alias("texts"),
+        ),
+    )
     return F.flatten(
         F.transform(
-            blocks,
-            lambda b: F.transform(
-                _split(F.get(_split(b, TEXT), F.lit(1)), NEXT),
-                lambda x: F.struct(
-                    unescape(F.substr(F.get(_split(b, TEXT), F.lit(0)), F.lit(len(TURN) + 1))).alias("role"),
-                    unescape(x).alias("text"),
-                ),
+            parts,
+            lambda p: F.transform(
+                p["texts"], lambda x: F.struct(p["role"].alias("role"), unescape(x).alias("text"))
             ),
         )
     )
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, in order, as it was before escaping."""
-    parts = F.transform(
-        spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))
-    )
-    return F.array_join(parts, "")
+    """All text under the mask, in order, as it was before escaping.
+
+    A code point is found by counting from the start of a string, so the text
+    is first cut into strings of ``STEP`` code points: a span is then cut from
+    those it touches, and the time grows with the length of the text."""
+
+    def cut(both: Column) -> Column:
+        def one(s: Column) -> Column:
+            first = F.lit(STEP) * F.floor(s["start"] / STEP)
+            numbers = F.sequence(F.floor(s["start"] / STEP).cast("int"), F.floor((s["start"] + s["length"]) / STEP).cast("int"))
+            touched = F.array_join(F.transform(numbers, lambda i: F.get(both["pieces"], i)), "")
+            return unescape(F.substring(touched, (s["start"] - first + 1).cast("int"), s["length"].cast("int")))
+
+        return F.transform(both["spans"], one)
+
+    pieces = F.regexp_extract_all(formatted, F.lit("(?s).{1,%d}" % STEP), F.lit(0))
+    return F.array_join(_with(F.struct(pieces.alias("pieces"), spans.alias("spans")), cut), "")
 
 
 def conversation_digests(formatted: DataFrame, conversation: str = "conv_id") -> DataFrame:

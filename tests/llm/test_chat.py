@@ -46,3 +46,19 @@ def test_empty_table_and_clashing_columns(spark):
     assert chat.conversation_digests(chat.format_conversations(empty)).collect() == []
     odd = spark.createDataFrame([(1, 0, "user", "a", "z", 3, None)], SCHEMA + ", c string, k int, ts string")
     assert chat.format_conversations(odd).count() == 1
+
+
+def test_conversation_of_many_turns(spark):
+    """One role throughout, so one block, and roles in turn: 20,000 texts each."""
+    rows = [(c, j, "user" if c and j % 2 else "assistant", f"é😀 <|next|> \\ {j}" * (1 + j % 3)) for c in (0, 1) for j in range(20_000)]
+    got = read_back(spark, rows)
+    for i in (0, 1):
+        want = [(r, t) for c, _, r, t in rows if c == i]
+        assert [(t["role"], t["text"]) for t in got[i]["turns"]] == want
+        assert got[i]["loss"] == "".join(t for r, t in want if r == "assistant")
+
+
+def test_spans_across_the_strings_that_are_cut(spark):
+    long = ["x" * n + "é\\<|" for n in (0, 1, chat.STEP - 40, chat.STEP, 5 * chat.STEP + 3)] + [""]
+    rows = [(0, j, "assistant", t) for j, t in enumerate(long)]
+    assert read_back(spark, rows)[0]["loss"] == "".join(long)
