@@ -19,35 +19,51 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(docs: DataFrame, *parts: str) -> DataFrame:
+    """``row``, all columns of a document as one value, beside those that a
+    stage needs: what a stage adds can clash with no column of the documents."""
+    return docs.select(F.struct("*").alias("row"), *parts)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels, accepts."""
+    """Documents that the quality classifier, fitted on the labels, accepts.
+    Columns of any name keep their values."""
     machine = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, machine).where("predicted = 1").select(docs.columns)
+    return quality.score_quality(_whole(docs, "text"), machine).where("predicted = 1").select("row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents near enough to a language of the corpus."""
-    return langid.identify(docs, langid.fit_languages(docs)).where("NOT rejected").select(docs.columns)
+    """Documents near enough to a language of the corpus. Columns of any name
+    keep their values."""
+    languages = langid.fit_languages(docs.select("doc_id", "text", "lang"))
+    return langid.identify(_whole(docs, "text"), languages).where("NOT rejected").select("row.*")
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with 0.8 or more of their five-word shingles
-    in common, the one with the smallest id; of rows that repeat an id, one.
-    Rows without id are in no group and stay."""
+    in common, the one with the smallest id; of rows that repeat an id, the one
+    with the smallest text (nulls first), then the smallest row as JSON. Rows
+    without id are in no group and stay."""
     linked = neardup.link_documents(docs.select("doc_id", "text"), percent=80)
     kept = linked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = materialize(kept, "kept-documents")
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
-    first = repeated.dropDuplicates(["doc_id"])
-    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    repeated = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    order = F.struct("text", F.to_json(F.struct("*")))
+    first = repeated.groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
+    return once.unionByName(first).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    found = decontaminate.decontaminate(keyed.select("row_key", "text"), _table(spark, sf_dir, "benchmark"), document="row_key")
-    return keyed.join(found.where("contaminated").select("row_key"), "row_key", "left_anti").select(docs.columns)
+    """Documents without any passage of the benchmark. Rows are told apart by
+    their id and, if they share it, by a hash of the text. Columns of any name
+    keep their values."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row_key")
+    found = decontaminate.decontaminate(
+        docs.select(key, "text"), _table(spark, sf_dir, "benchmark"), document="row_key"
+    )
+    keyed = docs.select(F.struct("*").alias("row"), key)
+    return keyed.join(found.where("contaminated").select("row_key"), "row_key", "left_anti").select("row.*")
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
