@@ -515,6 +515,9 @@ ORACLE = {
         f"profile_{n}": profile_sql(n)
         for n in ("orders", "customer", "lineitem", "documents", "pages", "conversations", "dirty_events")
     },
+    "profile_incremental": f"""SELECT name, n_rows, null_count, null_pct, semantic_null_count, semantic_null_pct,
+  effective_null_pct, dtype_inferred, pii_flag, pii_type, TRUE AS unique_near, TRUE AS read_once
+FROM ({profile_sql("dirty_events", all_values=True)})""",
     "profile_dirty_events_all_values": profile_sql("dirty_events", all_values=True),
     "table_profiles": TABLE_PROFILES,
     "profile_digest": PROFILE_DIGEST,

@@ -311,6 +311,11 @@ def profile_columns(
         rows = rows.withColumn(
             "built_in_type", F.when(had_nulls, "numeric_float").otherwise(F.col("built_in_type"))
         )
+    return judged(rows, table_name)
+
+
+def judged(rows: DataFrame, table_name: str) -> DataFrame:
+    """Profile rows from counts, rates and samples, one row per column each."""
     n = F.col("n_rows")
     rows = rows.withColumns(
         {
