@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.llm import hashing as H
+from tamiz.llm.workers import frugal
 from tamiz.session import materialize
 
 BITS = 13
@@ -181,4 +182,4 @@ def identify(documents: DataFrame, languages: Languages, text: str = "text") ->
                 [*kept, *made],
             )
 
-    return documents.select(kept).mapInArrow(predicted, schema)
+    return documents.select(kept).mapInArrow(frugal(predicted), schema)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.llm import hashing as H
 from tamiz.llm.components import connected_components
+from tamiz.llm.workers import frugal
 from tamiz.session import materialize
 
 VALUES = 128
@@ -112,7 +113,7 @@ def _described(rows: DataFrame, size: int) -> DataFrame:
                 ["d", "n", "digest", "signature"],
             )
 
-    return rows.mapInArrow(describe, schema)
+    return rows.mapInArrow(frugal(describe), schema)
 
 
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,7 +223,7 @@ def _neighbours(
         return pa.table(found(group.select(columns), int((group.column("place").to_numpy() < 0).sum())), ["a", "b", "m"])
 
     ordered = placed.select(columns).repartitionByRange("o", "key", "node").sortWithinPartitions("o", "key", "node")
-    out = materialize(ordered.mapInArrow(scan, scanned), "neighbours")
+    out = materialize(ordered.mapInArrow(frugal(scan), scanned), "neighbours")
     facing = out.where("edge IS NOT NULL").groupBy("edge").applyInArrow(over_edge, pair)
     return out.where("edge IS NULL").select("a", "b", "m").unionByName(facing)
 
@@ -236,7 +237,7 @@ def _shingled(rows: DataFrame, size: int) -> DataFrame:
             made = [s.tobytes() for s in shingle_sets(b.column("t"), size)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(made, pa.binary())], [*(f.name for f in kept), "s"])
 
-    return rows.mapInArrow(shingled, T.StructType([*kept, T.StructField("s", T.BinaryType())]))
+    return rows.mapInArrow(frugal(shingled), T.StructType([*kept, T.StructField("s", T.BinaryType())]))
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -523,7 +524,7 @@ def link_documents(
                     signed.names,
                 )
 
-        fresh = materialize(_texts_of(rows, crowd).select("d", "t", "component").mapInArrow(sign, signed), "crowd-signatures")
+        fresh = materialize(_texts_of(rows, crowd).select("d", "t", "component").mapInArrow(frugal(sign), signed), "crowd-signatures")
         matches = least_matches(threshold, VALUES * BIT_SIGNATURES, 2)
         second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH, bits=True)
         components = _linked(second, components, rows, words, percent)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.llm.tokens import default_path, encoder
+from tamiz.llm.workers import frugal
 
 #: Ids held back while choosing cuts; the last sequences of a stretch are
 #: chosen again with the next one.
@@ -215,4 +216,4 @@ def pack(
         if rows:
             yield batch(rows)
 
-    return in_order(docs, document, text).select("doc", "text").mapInArrow(packed, schema)
+    return in_order(docs, document, text).select("doc", "text").mapInArrow(frugal(packed), schema)

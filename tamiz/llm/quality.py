@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tamiz.llm import hashing as H
+from tamiz.llm.workers import frugal
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -219,5 +220,5 @@ def score_quality(documents: DataFrame, machine: Machine, text: str = "text", th
             score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(score)], [*kept, "score"])
 
-    out = documents.select(kept).mapInArrow(scored, schema)
+    out = documents.select(kept).mapInArrow(frugal(scored), schema)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tamiz.llm import rangecoder
 from tamiz.llm.packing import in_order
 from tamiz.llm.tokens import default_path, encoder
+from tamiz.llm.workers import frugal
 from tamiz.session import new_folder
 
 MAGIC = b"TZK1"
@@ -169,7 +170,7 @@ def write_token_files(
             yield batch(rows)
 
     ordered = in_order(docs.withColumn(document, F.col(document).cast("long")), document, text)
-    ordered.select("doc", "text").mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(folder)
+    ordered.select("doc", "text").mapInArrow(frugal(blocks), BLOCK_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
 def read_token_files(spark: SparkSession, folder: str, document: str = "doc_id") -> DataFrame:
@@ -204,7 +205,7 @@ def read_token_files(spark: SparkSession, folder: str, document: str = "doc_id")
 
     def read(blocks: DataFrame) -> DataFrame:
         based = blocks.join(F.broadcast(bases), "part").select("base", "block")
-        return based.mapInArrow(documents, "doc long, start long, at long, ids binary")
+        return based.mapInArrow(frugal(documents), "doc long, start long, at long, ids binary")
 
     whole = read(files.where("whole")).select("doc", "start", "ids")
 

@@ -12,14 +12,15 @@ import json
 import os
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from tamiz.llm import hashing as H
 
-#: Pieces that a worker keeps (some 40 bytes each); beyond it starts anew.
-KEPT_PIECES = 3_000_000
+#: Bytes of pieces that a worker keeps; beyond it starts anew.
+KEPT_BYTES = 64 << 20
 #: Bytes of text looked up at a time.
 SLICE = 2 << 20
 
@@ -39,13 +40,22 @@ def default_path() -> str:
 
 
 class Pieces:
-    """Sorted hashes of known pieces with their ids in one pool."""
+    """Sorted hashes of known pieces with their ids in one pool, which grows by
+    half, so that what is added is not copied with all before it each time."""
 
     def __init__(self):
         self.hash = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.uint32)
+        self.n = np.zeros(0, np.uint32)
+        self.room = np.zeros(0, np.uint32)
+        self.size = 0
+
+    @property
+    def pool(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def nbytes(self) -> int:
+        return self.hash.nbytes + self.at.nbytes + self.n.nbytes + self.room.nbytes
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.hash, hashes)
@@ -55,9 +65,15 @@ class Pieces:
     def add(self, hashes: np.ndarray, at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
         where = np.searchsorted(self.hash, hashes)
         self.hash = np.insert(self.hash, where, hashes)
-        self.at = np.insert(self.at, where, at + len(self.pool))
+        self.at = np.insert(self.at, where, (at + self.size).astype(np.uint32))
         self.n = np.insert(self.n, where, n)
-        self.pool = np.concatenate([self.pool, ids])
+        end = self.size + len(ids)
+        if end > len(self.room):
+            grown = np.empty(max(end, len(self.room) * 3 // 2), np.uint32)
+            grown[: self.size] = self.pool
+            self.room = grown
+        self.room[self.size : end] = ids
+        self.size = end
 
 
 class TextEncoder:
@@ -94,17 +110,22 @@ class TextEncoder:
             n[some] = np.concatenate([cut, [len(got)]]) - start
             ids.append(got)
             total += len(got)
-        odd = np.flatnonzero(~simple).tolist()
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8") for i in odd], add_special_tokens=False)):
-            at[i], n[i] = total, len(e.ids)
-            ids.append(np.array(e.ids, np.uint32))
-            total += n[i]
+        odd = np.flatnonzero(~simple)
+        for lo in range(0, len(odd), 4096):
+            some = odd[lo : lo + 4096]
+            texts = [pieces[i].decode("utf-8") for i in some.tolist()]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            n[some] = np.fromiter(map(len, lists), np.int64, len(lists))
+            ends = np.cumsum(n[some])
+            at[some] = total + ends - n[some]
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(ends[-1])))
+            total += int(ends[-1])
         return at, n, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes, start, end = H.byte_runs(data, offsets, _SPACE, (_LETTER, _MARK))
         some, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known.hash) > KEPT_PIECES:
+        if self.known.nbytes() > KEPT_BYTES:
             self.known = Pieces()
         if len(self.recent.hash) > 1 << 16:
             r = self.recent
@@ -121,14 +142,14 @@ class TextEncoder:
         new, is_new = self.recent.find(some)
         at, n = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
         at[is_old], n[is_old] = self.known.at[old[is_old]], self.known.n[old[is_old]]
-        at[is_new], n[is_new] = self.recent.at[new[is_new]] + len(self.known.pool), self.recent.n[new[is_new]]
+        at[is_new], n[is_new] = self.recent.at[new[is_new]].astype(np.int64) + self.known.size, self.recent.n[new[is_new]]
         at, n = at[which], n[which]
         done = np.concatenate([[0], np.cumsum(n)])
         source = np.repeat(at - done[:-1], n) + np.arange(done[-1])
-        inside = source < len(self.known.pool)
+        inside = source < self.known.size
         ids = np.empty(len(source), np.uint32)
         ids[inside] = self.known.pool[source[inside]]
-        ids[~inside] = self.recent.pool[source[~inside] - len(self.known.pool)]
+        ids[~inside] = self.recent.pool[source[~inside] - self.known.size]
         return ids, done[np.searchsorted(start, offsets)]
 
     def encode(self, texts: pa.Array):

@@ -49,3 +49,20 @@ def test_no_documents(spark):
     for _, stage in P.STAGES:
         now = stage(spark, now, SF_DIR)
     assert now.collect() == []
+
+
+def test_columns_of_clashing_names_keep_their_values(spark):
+    own = ["score", "predicted", "lang_pred", "rejected", "row_key", "row", "rows", "d", "t", "text_hash"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in own], "map('k', doc_id) AS extra")
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.columns == docs.columns
+        rows = kept.selectExpr("doc_id", "extra['k'] AS k", *own).collect()
+        assert rows, name
+        assert all(r["k"] == r["doc_id"] and all(r[c] == f"{c}{r['doc_id']}" for c in own) for r in rows), name
+
+
+def test_one_row_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "b b b", "x", "s", 2), (1, "a a a", "y", "s", 1), (1, "a a a", "x", "s", 1)], DOCUMENTS)
+    assert [tuple(r) for r in P.keep_one_of_copies(spark, docs, SF_DIR).collect()] == [(1, "a a a", "x", "s", 1)]
