@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -55,6 +57,12 @@ PARTS = set(
     "item items panel inner content articles posts stories media bookmark prompt form signup dialog message policy top bottom".split()
 )
 OUTSIDE = EVERYWHERE | set("nav navbar navigation menu header footer masthead banner toolbar widget related login search".split())
+# Words beside these in the names of parts outside the content.
+PLACES = set("site main page global left right primary secondary mobile desktop sticky inner outer row col column root menu nav header footer top".split())
+# Those that may as well stand around a whole page, and the length that its text has then.
+WEAK = OUTSIDE - EVERYWHERE | set("sidebar overlay notice notices".split())
+PAGE_TEXT = 200
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -64,6 +72,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NUMBER = re.compile(r"(\d+(x\d+)?)?")
 _BREAK = None
 #: Different pages that always make a subtree template, however large the host.
 ENOUGH_PAGES = 50
@@ -73,9 +82,10 @@ REMEMBERED = 200_000
 
 class Page:
     """A parsed page: ``events`` are texts and block breaks in page order, and
-    each element covers a range of them."""
+    each element covers a range of them. ``loose`` are the places of texts
+    outside links and ``loose_until`` their length up to there."""
 
-    __slots__ = ("events", "nodes")
+    __slots__ = ("events", "nodes", "loose", "loose_until")
 
     def __init__(self, html: str):
         self.events: list[str | None] = []
@@ -83,6 +93,8 @@ class Page:
         # id, holds text outside links, holds an article, classes and ids, those of
         # them that may tell what it is inside the content)
         self.nodes: list[tuple] = []
+        self.loose: list[int] = []
+        self.loose_until = [0]
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -103,6 +115,8 @@ class Page:
                 top[4] = True
                 if not any(e[0] == "a" for e in stack[-4:]):
                     top[5] = True
+                    self.loose.append(len(events) - 1)
+                    self.loose_until.append(self.loose_until[-1] + len(words))
 
         def close() -> None:
             tag, first, attributes, digest, holds, loose, article = stack.pop()
@@ -188,11 +202,12 @@ class Page:
         main part. A main part with paragraphs of its own outside the articles
         is content as a whole. No range: all of the page."""
         beside = self.beside()
-        articles = [n for n in self.nodes if n[0] == "article" and not _inside_any(beside, n[1], n[2])]
+        apart = _Ranges(beside)
+        articles = [n for n in self.nodes if n[0] == "article" and not apart.around(n[1], n[2])]
         main = [n for n in self.nodes if n[0] == "main" or n[4] == "main"]
-        covered = [(n[1], n[2]) for n in articles] + beside
-        own = [n for n in self.nodes if n[0] == "p" and n[6] and not _inside_any(covered, n[1], n[2])]
-        whole = [m for m in main if any(m[1] <= n[1] and n[2] <= m[2] for n in own)]
+        covered = _Ranges([(n[1], n[2]) for n in articles] + beside)
+        own = _Ranges([(n[1], n[2]) for n in self.nodes if n[0] == "p" and n[6] and not covered.around(n[1], n[2])])
+        whole = [m for m in main if own.within(m[1], m[2])]
         return [(n[1], n[2]) for n in whole + articles or main]
 
     def beside(self) -> list[tuple[int, int]]:
@@ -207,7 +222,8 @@ class Page:
             and (n[4] in NOT_TEXT_ROLES or n[0] in ("aside", "nav", "footer") or any(_named(c, BESIDE) for c in n[8]))
         ]
         rest = (n for n in self.nodes if n[6] and n[0] in ("article", "p", "div", "section"))
-        if any(not _inside_any(found, n[1], n[2]) and not any(n[1] <= x and y <= n[2] for x, y in found) for n in rest):
+        ranges = _Ranges(found)
+        if any(not ranges.around(n[1], n[2]) and not ranges.within(n[1], n[2]) for n in rest):
             return found
         return []
 
@@ -215,52 +231,77 @@ class Page:
         """Subtrees that are template if they recur: all with text outside the
         content, and inside it those without prose of their own: lists of
         links, and labels outside paragraphs."""
-        content = self.content()
-        prose = [(n[1], n[2]) for n in self.nodes if n[0] in PROSE and n[6]]
-        starts = sorted(prose)
+        content = _Ranges(self.content())
+        prose = _Ranges([(n[1], n[2]) for n in self.nodes if n[0] in PROSE and n[6]])
         out = set()
         for tag, a, b, own, role, words, loose, article, whole, hints in self.nodes:
             if article or tag in ("article", "main", "body", "html") or role == "main":
                 continue
-            if any(x <= a and b <= y for x, y in content):
+            if content.around(a, b):
                 hinted = any(EVERYWHERE & set(re.split(r"[_-]+", h)) for h in hints)
                 if not hinted and (tag in PROSE or tag not in BLOCKS):
                     continue
-                if not hinted and loose and _any_inside(starts, a, b):
+                if not hinted and loose and prose.within(a, b):
                     continue
             out.add(own)
         return out
 
     def main_text(self, template: set[int]) -> str:
-        content = self.content()
-        gone = [False] * len(self.events)
-        beside = self.beside()
+        """Blocks of the content. On a page without articles and main parts a
+        name like sidebar-wrapper is no proof where nothing else is left."""
+        content, beside = self.content(), self.beside()
         candidates = self.template_hashes() & template if template else set()
+        text = self._text(content, beside, candidates, True)
+        if not text and not content and self.loose:
+            text = self._text(content, beside, candidates, False)
+        return text
+
+    def _text(self, content: list, beside: list, candidates: set[int], by_name: bool) -> str:
+        gone = bytearray(len(self.events))
+        headings = sorted((n[1], n[2]) for n in self.nodes if n[0] in HEADINGS and n[6])
+        own_parts, within_content, apart = set(content), _Ranges(content), set(beside)
+        paragraphs = _Ranges([(n[1], n[2]) for n in self.nodes if n[0] in PROSE and n[6]])
         for tag, a, b, own, role, words, loose, article, whole, hints in self.nodes:
-            inside = any(x <= a and b <= y for x, y in content)
+            inside = within_content.around(a, b)
             drop = own in candidates
             if not article and tag not in ("article", "main", "body", "html"):
-                drop = drop or tag in NOT_TEXT_TAGS or role in NOT_TEXT_ROLES
-                # In the content a word of a name is no proof: the whole name is,
-                # or that all text is links.
+                # A form around the page's paragraphs is the page.
+                page_form = tag == "form" and not content and paragraphs.within(a, b) and 2 * self._loose_in(a, b) > self.loose_until[-1]
+                drop = drop or tag in NOT_TEXT_TAGS and not page_form or role in NOT_TEXT_ROLES
+                # A word of a name is no proof: the whole name is, or that all
+                # text is links.
                 if inside:
                     drop = drop or any(_named(h, EVERYWHERE) for h in hints)
                     drop = drop or not loose and any(EVERYWHERE & set(re.split(r"[_-]+", h)) for h in hints)
+                    by_tag_only = tag == "header" and own not in candidates and role not in NOT_TEXT_ROLES and not any(_named(h, EVERYWHERE) for h in hints)
+                    if by_tag_only:
+                        # The titles in an article's own header are text.
+                        title = headings[bisect_left(headings, (a, a)) : bisect_left(headings, (b, b))]
+                        before = [(x, y, gone[x:y]) for x, y in title]
+                        gone[a:b] = b"\1" * (b - a)
+                        for x, y, state in before:
+                            gone[x:y] = state
+                        continue
                 else:
-                    drop = drop or bool(words & OUTSIDE)
+                    page = not by_name and paragraphs.within(a, b) and self._loose_in(a, b) >= PAGE_TEXT
+                    drop = drop or any(_named(c, OUTSIDE - WEAK if page else OUTSIDE, PLACES) for c in whole)
+                    drop = drop or not loose and bool(words & OUTSIDE)
             # A label around an article is no reason to lose it, unless the
             # article is one of several inside the content, as comments are.
-            if inside and article and (a, b) not in content:
+            if inside and article and (a, b) not in own_parts:
                 drop = drop or any(_named(h, EVERYWHERE) for h in hints)
-            drop = drop or (a, b) in beside
-            if drop:
-                gone[a:b] = [True] * (b - a)
-        if content:
-            kept = [False] * len(self.events)
-            for a, b in content:
-                kept[a:b] = [True] * (b - a)
-        else:
-            kept = [True] * len(self.events)
+            if drop or (a, b) in apart:
+                gone[a:b] = b"\1" * (b - a)
+        return self._blocks(content, gone)
+
+    def _loose_in(self, a: int, b: int) -> int:
+        """Length of the text outside links in a range of events."""
+        return self.loose_until[bisect_left(self.loose, b)] - self.loose_until[bisect_left(self.loose, a)]
+
+    def _blocks(self, content: list, gone: bytearray) -> str:
+        kept = bytearray(len(self.events)) if content else bytearray(b"\1") * len(self.events)
+        for a, b in content:
+            kept[a:b] = b"\1" * (b - a)
         blocks, now = [], []
         for i, e in enumerate(self.events):
             if e is _BREAK or gone[i] or not kept[i]:
@@ -273,19 +314,31 @@ class Page:
         return "\n".join(b for b in blocks if b)
 
 
-def _named(name: str, words: set[str]) -> bool:
-    """Whether a whole class or id is one of ``words``, alone or with words for
-    parts of pages: share-buttons, but not share-of-votes."""
-    parts = set(re.split(r"[_-]+", name))
-    return bool(parts & words) and parts <= words | EVERYWHERE | PARTS
+class _Ranges:
+    """Ranges of events, for two questions about another one."""
 
+    def __init__(self, ranges: list[tuple[int, int]]):
+        ranges = sorted(ranges)
+        self.starts = [a for a, _ in ranges]
+        self.last = list(accumulate((b for _, b in ranges), max))
+        self.first = list(accumulate((b for _, b in reversed(ranges)), min))[::-1]
 
-def _inside_any(ranges: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(x <= a and b <= y for x, y in ranges)
+    def around(self, a: int, b: int) -> bool:
+        """Whether one of them covers [a, b)."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.last[i - 1] >= b
 
+    def within(self, a: int, b: int) -> bool:
+        """Whether one of them lies in [a, b)."""
+        i = bisect_left(self.starts, a)
+        return i < len(self.first) and self.first[i] <= b
 
-def _any_inside(ranges: list[tuple[int, int]], a: int, b: int) -> bool:
-    return any(a <= x and y <= b for x, y in ranges)
+
+def _named(name: str, words: set[str], places: set[str] = frozenset()) -> bool:
+    """Whether a whole class or id is one of ``words``, alone or with words for
+    parts of pages, places and numbers: share-buttons, but not share-of-votes."""
+    parts = {p for p in re.split(r"[_-]+", name) if not _NUMBER.fullmatch(p)}
+    return bool(parts & words) and parts <= words | EVERYWHERE | PARTS | places
 
 
 def host_of(url):

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tamiz.llm.webpages import Page, extract_main_text
+from tamiz.llm.webpages import Page, _Ranges, extract_main_text
 
 
 def text(html):
@@ -63,6 +65,51 @@ def test_names_inside_articles(html, want):
     assert text(html) == want
 
 
+LONG = "A sentence of the page. " * 10
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<div class='container has-sidebar'><p>whole text</p></div>", "whole text"),
+        ("<div id='search-algorithms'><h2>Search</h2><p>text</p></div>", "Search\ntext"),
+        ("<div><p>a</p><section id='related-work'><p>b</p></section></div>", "a\nb"),
+        ("<form id=aspnetForm><div><p>The body</p></div><input></form>", "The body"),
+        ("<form id=aspnetForm><nav>n</nav><div><p>The body of it</p></div><div class=site-footer>f</div></form>", "The body of it"),
+        ("<p>The text</p><form><p>Mail</p><button>Send</button></form>", "The text"),
+        ("<p>The text</p><form class=newsletter><p>Longer than the text of the page</p></form>", "The text"),
+        ("<article><header><h1>Title</h1><p>By me</p></header><p>a</p></article>", "Title\na"),
+        ("<article><header class=banner-ad><h1>Buy</h1></header><p>a</p><aside><header><h2>x</h2></header></aside></article>", "a"),
+        (f"<div class=sidebar-wrapper><p>{LONG}</p><div class=cookie-notice>{LONG}</div></div>", LONG.strip()),
+        ("<div class=site-header>h</div><div id=main-nav-2>n</div><div class=ad_300x250>x</div><p>a</p><div class='left-sidebar'>s</div>", "a"),
+        ("<div class='search-tips'><a>one</a><a>two</a></div><p>a</p>", "a"),
+        ("<div class=ad>x</div><div class=footer><p>f</p></div>", ""),
+    ],
+)
+def test_names_outside_articles(html, want):
+    assert text(html) == want
+
+
+def test_many_paragraphs():
+    """Linear in the elements of a page: with each paragraph in a div of its own."""
+    n = 40_000
+    page = Page("<article>" + "<div><p>a</p></div>" * n + "</article>" + "<article><p>b</p></article>" * 2000)
+    page.template_hashes()
+    assert page.main_text({1}) == "\n".join(["a"] * n + ["b"] * 2000)
+
+
+def test_ranges():
+    rng = random.Random(4)
+    for _ in range(300):
+        some = [(a, a + rng.randint(0, 8)) for a in (rng.randint(0, 20) for _ in range(rng.randint(0, 6)))]
+        found = _Ranges(some)
+        for _ in range(20):
+            a = rng.randint(0, 20)
+            b = a + rng.randint(0, 8)
+            assert found.around(a, b) == any(x <= a and b <= y for x, y in some)
+            assert found.within(a, b) == any(a <= x and y <= b for x, y in some)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
