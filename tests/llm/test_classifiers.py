@@ -78,6 +78,46 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_junk_in_the_sample_leaves_rejection(spark):
+    """Rows of digits and signs under a language's name teach nothing, whatever
+    their number up to a few in a hundred, and long clean texts stay."""
+    rng = random.Random(6)
+    clean = [(i, sentence(rng, "xy"[i % 2], rng.randint(10, 80)), "xy"[i % 2]) for i in range(400)]
+    digits = lambda: "p " + " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    junk = [(500 + i, digits(), "x") for i in range(4)] + [(600, "12 34 56", "y"), (601, "!!", "y")]
+    asked = [(1000, digits(), None), (1001, "p q 77 88 $$ %% " * 30, None)]
+    asked += [(2000, sentence(rng, "x", 60_000), None), (2001, sentence(rng, "y", 12), None)]
+    schema = "doc_id long, text string, lang string"
+    for rows in (clean, clean + junk):
+        languages = langid.fit_languages(spark.createDataFrame(rows, schema).withColumn("m", F.create_map(F.lit("a"), F.lit(1))))
+        got = {r["doc_id"]: r["rejected"] for r in langid.identify(spark.createDataFrame(clean + asked, schema), languages).collect()}
+        assert got[1000] and got[1001]
+        assert not any(v for d, v in got.items() if d not in (1000, 1001))
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    """Predictions are those of a plain loop over sequences and centroids."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, sentence(rng, "xyz"[i % 3], rng.randint(3, 30)), "xyz"[i % 3]) for i in range(60)], "doc_id long, text string, lang string")
+    languages = langid.fit_languages(docs)
+    for r in langid.identify(docs, languages).collect():
+        # Signs that are no letters count as one.
+        signs = [0 if b < 128 and not chr(b).isalpha() else b for b in r["text"].lower().encode()]
+        counts: dict = {}
+        for n in (2, 3, 4):
+            for a in range(len(signs) - n + 1):
+                key = 0
+                for b in signs[a : a + n]:
+                    key = (key * 257 + b) % 2**64
+                key = (key * 0x9E3779B97F4A7C15 + n) % 2**64 * 0xBF58476D1CE4E5B9 % 2**64 >> (64 - langid.BITS)
+                counts[key] = counts.get(key, 0) + 1
+        weight = {k: np.log(1 + n) * languages.idf[k] for k, n in counts.items()}
+        norm = sum(w * w for w in weight.values()) ** 0.5
+        cosine = [sum(w * c[k] for k, w in weight.items()) / norm for c in languages.centroids]
+        assert r["lang_pred"] == languages.names[int(np.argmax(cosine))]
+        assert r["score"] == pytest.approx(max(cosine), abs=1e-4)
+
+
 def test_languages_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     languages = langid.fit_languages(docs)
