@@ -6,7 +6,7 @@
    number of sorted orders; each sorts the classes by the signature, begun at
    another value. Candidates are neighbours in an order with a long common
    prefix: where few classes share the least prefix (a sparse region), all of
-   them; in a crowded region only the nearest, which share longer prefixes.
+   them (where it is only one, it is not sorted in); in a crowded region only the nearest, which share longer prefixes.
 3. Candidates that the whole signature does not rule out are confirmed on the
    full sets: first each class's likeliest, then all between classes that are
    not yet in one component.
@@ -53,7 +53,7 @@ SENT_BYTES, BLOCK_ROWS, BLOCK_COLUMNS = 16 << 20, 1024, 2048
 #: A pair at the threshold is missed by all first orders with this chance at most.
 MISS = 2e-5
 #: Standard errors by which a signature may fall short of the threshold.
-SLACK = 3.5
+SLACK = 4.5
 
 
 def least_depth(threshold: float, orders: int = ORDERS, miss: float = MISS) -> int:
@@ -124,6 +124,27 @@ def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(nodes) if few else nodes, "d")
 
 
+def _places_with_company(classes: DataFrame, turned, depth: int) -> DataFrame:
+    """(node, ats) of the classes that share a least prefix with another one, and
+    the orders in which they do: most classes are alone in nearly all of them.
+    Prefixes are sorted by their hash; one at the edge of a batch is kept, as its
+    like may be in the next one."""
+    places = classes.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).withColumn("turned", turned)
+    places = places.select("node", "at", F.expr(f"xxhash64(at, substring(turned, 1, {depth}))").alias("place"))
+
+    def shared(batches):
+        for b in batches:
+            place = b.column("place").to_numpy()
+            if len(place):
+                like = place[1:] == place[:-1]
+                keep = np.concatenate([[True], like]) | np.concatenate([like, [True]])
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("at")], ["node", "at"]).filter(pa.array(keep))
+
+    ordered = places.repartitionByRange("place", "node").sortWithinPartitions("place")
+    found = ordered.mapInArrow(shared, T.StructType([classes.schema["node"], T.StructField("at", T.IntegerType())]))
+    return found.groupBy("node").agg(F.collect_set("at").alias("ats"))
+
+
 def _neighbours(
     placed: DataFrame, depth: int, matches: int, percent: int, width: int, crowded_width: int, bits: bool = False
 ) -> DataFrame:
@@ -311,15 +332,30 @@ def _linked(found: DataFrame, components: DataFrame | None, rows: DataFrame, siz
     return components
 
 
-def _mixed(found: DataFrame, components: DataFrame | None) -> DataFrame:
-    """(node, region, component) of the classes of crowded regions that are not
-    all in one component."""
+def _crowded(found: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(node, region, component) of the classes of crowded regions."""
     near = found.where("b IS NULL").select(F.col("a").alias("node"), F.col("m").alias("region")).distinct()
     if components is not None:
         near = near.join(components, "node", "left")
     else:
         near = near.withColumn("component", F.col("node"))
-    near = materialize(near.withColumn("component", F.coalesce("component", "node")), "crowded")
+    return materialize(near.withColumn("component", F.coalesce("component", "node")), "crowded")
+
+
+def _unsettled(found: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(node, component) of the classes of crowded regions whose component meets
+    another one in such a region. Regions are joined by component, not by class."""
+    near = _crowded(found, components)
+    parts = materialize(near.select("region", "component").distinct(), "parts")
+    mixed = parts.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    unsettled = parts.join(mixed, "region", "left_semi").select("component").distinct()
+    return near.select("node", "component").distinct().join(unsettled, "component", "left_semi").select("node", "component")
+
+
+def _mixed(found: DataFrame, components: DataFrame | None) -> DataFrame:
+    """(node, region, component) of the classes of crowded regions that are not
+    all in one component."""
+    near = _crowded(found, components)
     mixed = near.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return near.join(mixed.select("region"), "region", "left_semi")
 
@@ -480,18 +516,22 @@ def link_documents(
     depth, matches = least_depth(threshold), least_matches(threshold)
     step = VALUES // ORDERS
 
+    turned = F.concat(F.expr(f"substring(signature, at * {step} + 1)"), F.expr(f"substring(signature, 1, at * {step})"))
+
     def in_orders(signed: DataFrame) -> DataFrame:
-        """(o, key, ...): the signature begun at every ``step``-th value."""
-        turned = F.concat(F.expr(f"substring(signature, at * {step} + 1)"), F.expr(f"substring(signature, 1, at * {step})"))
+        """(o, key, ...): the signature begun at every ``step``-th value, in the
+        orders ``ats`` if given."""
         key = turned if "sketch" not in signed.columns else F.expr(f"substring(turned, 1, {CROWDED_KEY})")
-        at = signed.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))).withColumn("turned", turned)
+        ats = F.col("ats") if "ats" in signed.columns else F.sequence(F.lit(0), F.lit(ORDERS - 1))
+        at = signed.withColumn("at", F.explode(ats)).withColumn("turned", turned)
         sketch = F.col("sketch") if "sketch" in signed.columns else F.lit(None).cast("binary")
         order = (F.col("base") * ORDERS + F.col("at")).cast("int")
         return at.select(order.alias("o"), key.alias("key"), sketch.alias("sketch"), "node", "n", "component")
 
+    placed = classes.join(_places_with_company(classes, turned, depth), "node")
     first = materialize(
         _neighbours(
-            in_orders(classes.select("signature", "node", "n", F.col("node").alias("component"), F.lit(0).alias("base"))),
+            in_orders(placed.select("signature", "node", "n", F.col("node").alias("component"), F.lit(0).alias("base"), "ats")),
             depth, matches, percent, WIDTH, CROWDED_FIRST,
         ),
         "candidates",
@@ -499,7 +539,7 @@ def link_documents(
     components = _linked(first, None, rows, words, percent)
 
     # Regions that step 2 did not compare in full and that are not yet whole.
-    crowd = materialize(_mixed(first, components).select("node", "component").distinct(), "crowd")
+    crowd = materialize(_unsettled(first, components), "crowd")
     if not crowd.isEmpty():
         kind = rows.schema["d"].dataType
         signed = T.StructType(
