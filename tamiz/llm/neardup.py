@@ -354,10 +354,10 @@ def _unsettled(found: DataFrame, components: DataFrame | None) -> DataFrame:
 
 def _mixed(found: DataFrame, components: DataFrame | None) -> DataFrame:
     """(node, region, component) of the classes of crowded regions that are not
-    all in one component."""
+    all in one component. Written once: what compares them reads them several times."""
     near = _crowded(found, components)
     mixed = near.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    return near.join(mixed.select("region"), "region", "left_semi")
+    return materialize(near.join(mixed.select("region"), "region", "left_semi"), "mixed")
 
 
 class _Sets:

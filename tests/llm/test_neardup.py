@@ -91,6 +91,14 @@ def test_all_pairs_of_crowded_groups(spark, monkeypatch):
             assert got.get(d, d) == component
 
 
+def test_mixed_regions_are_joined_once(spark):
+    """What compares crowded regions reads them several times, from files."""
+    found = spark.createDataFrame([(1, None, 7), (2, None, 7), (1, None, 8)], "a long, b long, m long")
+    mixed = neardup._mixed(found, None)
+    assert sorted(r["node"] for r in mixed.where("region = 7").collect()) == [1, 2] and mixed.count() == 2
+    assert "Join" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_null_and_repeated_ids_and_no_rows(spark):
     t = "a b c d e f g"
     got = run(spark, [(None, t), (None, t), (4, t), (4, t), (9, t)])
