@@ -17,16 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..workers import frugal
+
 #: Query vectors that go to every task; more are searched in tiles.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: Query vectors of a tile.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Corpus rows of a tile, at most on average.
 TILE_ROWS = 4_000_000
-#: Tiles that are partitions of their own; beyond that a partition has several.
-MOST_PARTITIONS = 20_000
+#: Partitions; bytes of vectors and similarities of one, about. A partition has
+#: several tiles where they are small.
+MOST_PARTITIONS, PARTITION_BYTES, PARTITION_PAIRS = 20_000, 16 << 20, 1 << 30
 #: Similarities held at once by a task.
-MAX_CELLS = 4_000_000
+MAX_CELLS = 500_000
 #: Similarities that agree to this many decimals count as equal.
 TIE_DECIMALS = 12
 
@@ -67,8 +70,13 @@ class Best:
         """``units`` are the vectors of the ``rows`` of ``table``."""
         width = max(1, MAX_CELLS // max(1, len(rows)))
         for lo in range(0, len(self.unit), width):
-            sims = np.round(self.unit[lo : lo + width] @ units.T, TIE_DECIMALS)
-            q, r = np.nonzero(sims >= self.least[lo : lo + width, None])
+            sims = self.unit[lo : lo + width] @ units.T
+            np.round(sims, TIE_DECIMALS, out=sims)
+            some = sims >= self.least[lo : lo + width, None]
+            if self.k < len(rows) and np.count_nonzero(some) > 2 * self.k * len(sims):
+                # These rows alone tell what the k-th best reaches at least.
+                some &= sims >= np.partition(np.where(some, sims, -np.inf), -self.k, axis=1)[:, -self.k, None]
+            q, r = np.nonzero(some)
             if not len(q):
                 continue
             found = table.select(self.keys).take(pa.array(rows[r]))
@@ -146,7 +154,7 @@ def _scan_cells(corpus: DataFrame, queries: DataFrame, k: int, floor: float, key
         [(i, r["query_id"]) for i, r in enumerate(rows)],
         T.StructType([T.StructField("_q", T.IntegerType()), queries.schema["query_id"]]),
     )
-    return corpus.select("cell", *keys, "embedding").mapInArrow(scan, schema).join(F.broadcast(names), "_q").drop("_q")
+    return corpus.select("cell", *keys, "embedding").mapInArrow(frugal(scan), schema).join(F.broadcast(names), "_q").drop("_q")
 
 
 def _search_tiles(
@@ -159,12 +167,14 @@ def _search_tiles(
         corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
         .join(queries.groupBy("cell").agg(F.count(F.lit(1)).alias("wanted")), "cell")
     )
-    tiles, plan = 0, []
+    tiles, moved, pairs, plan = 0, 0, 0, []
     for r in sizes.collect():
         across = -(-r["wanted"] // block)
         down = max(-(-r["rows"] // TILE_ROWS), -(-2 * cores // across) if spread else 1)
         plan.append((r["cell"], tiles, down, across))
         tiles += down * across
+        moved += 8 * dim * (r["rows"] * across + r["wanted"] * down)
+        pairs += r["rows"] * r["wanted"]
     plan = F.broadcast(spark.createDataFrame(plan, "cell int, base long, down long, across long"))
     own = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType)])
     fields = [corpus.schema[c] for c in keys]
@@ -186,7 +196,8 @@ def _search_tiles(
     both = asked.withColumn("embedding", F.col("embedding").cast("array<double>")).unionByName(
         given.withColumn("embedding", F.col("embedding").cast("array<double>"))
     )
-    partitions = max(1, min(tiles, MOST_PARTITIONS))
+    partitions = max(2 * cores, moved // PARTITION_BYTES, pairs // PARTITION_PAIRS)
+    partitions = max(1, min(tiles, partitions, MOST_PARTITIONS))
     placed = both.repartitionById(partitions, F.pmod("_tile", F.lit(partitions)).cast("int")).sortWithinPartitions("_tile", "_kind")
     schema = T.StructType([*own.fields, T.StructField("similarity", T.DoubleType()), *fields])
 
@@ -228,7 +239,7 @@ def _search_tiles(
         if best is not None:
             yield from named(ids, best)
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(frugal(run), schema)
 
 
 def ranked_hits(found: DataFrame, k: int, keys: list[str]) -> DataFrame:

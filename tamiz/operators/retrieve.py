@@ -29,7 +29,7 @@ def top_k(
     compared before ("unrounded") or after ("rounded") rounding to 4 decimals.
     Rows without a vector or with a zero vector have no similarity.
 
-    Up to 64 MiB of query vectors go to every task; the corpus is scanned once
+    Up to 16 MiB of query vectors go to every task; the corpus is scanned once
     and never shuffled, and each task keeps k rows per query. More queries meet
     the corpus in tiles, in one job and without the driver (see ``nearest``).
     """

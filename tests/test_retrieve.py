@@ -91,3 +91,30 @@ def test_context_results_and_check(spark):
     expected = spark.createDataFrame([("q1", "dos"), ("q2", "uno")], "query_id string, expected_doc string")
     check = {r["query_id"]: (r["position"], r["passed"]) for r in rt.retrieval_check(hits, expected).collect()}
     assert check == {"q1": (2, True), "q2": (None, False)}
+
+
+def test_memory_of_the_first_rows_is_bounded(monkeypatch):
+    """No row is below the floor yet: all of them are candidates of each query."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10_000, 8))
+    x[7] = np.nan
+    units, _ = nearest.unit_rows(x[:8])
+    units = np.concatenate([units, np.full((1, 8), np.nan), nearest.unit_rows(x[8:])[0]])
+    sizes, sort = [], nearest.first_per_query
+    monkeypatch.setattr(nearest, "first_per_query", lambda t, k, keys: sizes.append(len(t)) or sort(t, k, keys))
+    unit = nearest.unit_rows(rng.normal(size=(300, 8)))[0]
+    best = nearest.Best(unit, 4, -1.0, ["id"])
+    rows = pa.table({"id": list(range(len(units)))})
+    tracemalloc.start()
+    best.add(rows, units, np.arange(len(units)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    found = best.result()
+    assert max(sizes) <= 10_000 and peak < 20 << 20
+    sims = np.round(unit @ np.nan_to_num(units).T, nearest.TIE_DECIMALS)
+    sims[:, np.isnan(units[:, 0])] = -2
+    assert found.column("id").to_numpy().reshape(300, 4).tolist() == np.argsort(-sims, axis=1, kind="stable")[:, :4].tolist()
