@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.predicates import similarity_score
 from ..session import materialize
-from .nearest import MAX_CELLS, matrix, ranked_hits, search, unit_rows
+from ..workers import frugal
+from .nearest import matrix, ranked_hits, search, unit_rows
 from .retrieve import top_k
 
 #: Rows of a cell, about. Small cells follow a query's surroundings closely.
@@ -29,6 +30,9 @@ SAMPLE_PER_CELL = 16
 ROUNDS = 8
 #: Centroids go to every task.
 CENTROID_BYTES = 64 << 20
+#: Scores of vectors and centroids held at once by a task, and sums of cells that
+#: it hands on at once.
+MAX_SCORES, SUMS = 2_000_000, 4096
 #: Stored vectors by which the number of cells to read is measured, and how
 #: many of their neighbours.
 MEASURED, NEIGHBOURS = 256, 10
@@ -37,15 +41,17 @@ MEASURED, NEIGHBOURS = 256, 10
 def nearest_centroids(units: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` nearest centroids of each unit vector, nearest first."""
     out = np.empty((len(units), n), np.int32)
-    width = max(1, MAX_CELLS // len(centroids))
+    width = max(1, MAX_SCORES // len(centroids))
     half = np.einsum("ij,ij->i", centroids, centroids) / 2
     for lo in range(0, len(units), width):
-        score = units[lo : lo + width] @ centroids.T - half
+        score = units[lo : lo + width] @ centroids.T
+        score -= half
         if n == 1:
             out[lo : lo + width, 0] = np.argmax(score, axis=1)
             continue
-        some = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        order = np.argsort(-np.take_along_axis(score, some, 1), axis=1, kind="stable")
+        np.negative(score, out=score)
+        some = np.argpartition(score, n - 1, axis=1)[:, :n]
+        order = np.argsort(np.take_along_axis(score, some, 1), axis=1, kind="stable")
         out[lo : lo + width] = np.take_along_axis(some, order, 1)
     return out
 
@@ -86,14 +92,16 @@ def fit_centroids(points: DataFrame, n_cells: int, dim: int, seed: int) -> np.nd
                 cell = nearest_centroids(units, centroids, 1)[:, 0] if len(units) else np.zeros(0, np.int32)
                 np.add.at(sums, cell, units)
                 counts += np.bincount(cell, minlength=len(centroids))
-            some = np.flatnonzero(counts)
-            rows = np.column_stack([counts[some], sums[some]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["cell", "s"]
-            )
-
-        parts = points.mapInArrow(own_sums, "cell int, s binary")
-        for r in parts.repartition("cell").mapInArrow(meet, "cell int, s binary").collect():
+            every = np.flatnonzero(counts)
+            for lo in range(0, len(every), SUMS):
+                some = every[lo : lo + SUMS]
+                rows = np.column_stack([counts[some], sums[some]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], ["cell", "s"]
+                )
+
+        parts = points.mapInArrow(frugal(own_sums), "cell int, s binary")
+        for r in parts.repartition("cell").mapInArrow(frugal(meet), "cell int, s binary").collect():
             s = np.frombuffer(r["s"])
             centroids[r["cell"]] = s[1:] / s[0]
     return centroids
@@ -162,7 +170,7 @@ class VectorIndex:
                     yield own.append_column("area", pa.array(areas[cell]))
 
         fields = [T.StructField("cell", T.IntegerType()), T.StructField("area", T.IntegerType())]
-        placed = rows.mapInArrow(assign, T.StructType([*rows.schema.fields, *fields]))
+        placed = rows.mapInArrow(frugal(assign), T.StructType([*rows.schema.fields, *fields]))
         # Rows of an area come together; an area of very many is split again.
         placed = placed.hint("rebalance", "area").sortWithinPartitions("area", "cell")
         placed.write.mode(mode).option("parquet.block.size", 4 << 20).partitionBy("area").parquet(f"{self.folder}/rows")
@@ -200,7 +208,7 @@ class VectorIndex:
                     yield rows.append_column("cells", pa.array(list(cells), pa.list_(pa.int32())))
 
         cells = T.StructField("cells", T.ArrayType(T.IntegerType()))
-        found = asked.mapInArrow(choose, T.StructType([*asked.schema.fields, cells]))
+        found = asked.mapInArrow(frugal(choose), T.StructType([*asked.schema.fields, cells]))
         return found.select(F.explode("cells").alias("cell"), "query_id", "embedding")
 
     def search(self, queries: DataFrame, *, k: int = 5, min_score: float = 0.3, nprobe: int | None = None) -> DataFrame:

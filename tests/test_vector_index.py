@@ -92,3 +92,17 @@ def test_small_and_empty(spark, folder):
     assert rows_of(one.search(query.limit(0))) == []
     with pytest.raises(ValueError):
         vi.VectorIndex(spark, f"{folder}/none").build(spark.createDataFrame([("a", 1, None)], SCHEMA))
+
+
+def test_memory_of_the_nearest_cells_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    units, centroids = rng.normal(size=(3000, 8)), rng.normal(size=(2000, 8))
+    tracemalloc.start()
+    found = vi.nearest_centroids(units, centroids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    far = ((units[:50, None] - centroids[None]) ** 2).sum(2)
+    assert (found[:50] == np.argsort(far, axis=1)[:, :5]).all()
+    assert peak < 50 << 20
