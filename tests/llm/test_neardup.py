@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tamiz.llm import neardup
+from tamiz.llm import components, neardup
 from tamiz.llm.components import connected_components
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,3 +121,19 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 131), 100), 49: 49, 50: 49}
     assert connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Each round is many jobs, whose plans and threads the driver holds."""
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, label, own=components.materialize: written.append(label) or own(df, label))
+    stars = spark.createDataFrame([(k, k % 3) for k in range(3, 30)], "u long, v long").repartition(3)
+    assert {(r["node"], r["component"]) for r in connected_components(stars).collect()} == {(k, k % 3) for k in range(30)}
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(100, 140)], "u string, v string").coalesce(1)
+    assert {r["component"] for r in connected_components(chain).collect()} == {"100"}
+    assert written == ["edges"] * 3
+
+
+def test_components_of_many_small_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "STAR_EDGES", 2)
+    test_components(spark)
