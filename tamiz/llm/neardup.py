@@ -14,8 +14,8 @@
    all in one component, they go, with fresh signatures, through many more
    orders; only pairs of different components count, and a pair is met where
    its common prefix, up to the length of the keys, is longer than that of
-   others.
-5. Regions that are crowded in these orders too, and still not whole, are
+   others. In regions crowded in these orders too, only the nearest are met.
+5. Such regions, where still not whole, are
    compared in full: regions with common classes are one group, and in a group
    the shared shingles of all pairs are counted.
 """
@@ -38,8 +38,8 @@ from tamiz.session import materialize
 VALUES = 128
 ORDERS = 16
 WIDTH = 8
-#: In crowded regions: neighbours in the first orders; signatures, width and
-#: length of the keys later.
+#: In crowded regions: neighbours in an order; signatures, width and length of
+#: the keys of the later orders.
 CROWDED_FIRST, CROWDED_SIGNATURES, CROWDED_WIDTH, CROWDED_KEY = 2, 4, 48, 12
 #: There a bit each of so many fresh signatures' values tells how similar two are.
 BIT_SIGNATURES = 16
@@ -218,6 +218,11 @@ def _neighbours(
             arrays.append(pa.concat_arrays([blank(own.type, m), own]))
         return pa.RecordBatch.from_arrays(arrays, scanned.names)
 
+    def run_of(t: pa.Table, step: int) -> int:
+        """Rows from the first (or last) one on that share its prefix."""
+        prefix = [(o, key[:depth]) for o, key in zip(t.column("o").to_pylist(), t.column("key").to_pylist())][::step]
+        return next((i for i, p in enumerate(prefix) if p != prefix[0]), len(prefix))
+
     def scan(batches):
         from pyspark import TaskContext
 
@@ -235,7 +240,8 @@ def _neighbours(
         if held is not None:
             none = held.column("node").combine_chunks().slice(0, 0)
             none = [none, none, pa.array([], pa.int64())]
-            # The first rows meet the last ones of the range before.
+            # The first rows meet the last ones of the range before, if their prefix goes on.
+            head, held = head.slice(0, run_of(head, 1)), held.slice(held.num_rows - run_of(held, -1))
             yield rows_of(none, head, part, range(head.num_rows))
             yield rows_of(none, held, part + 1, range(-held.num_rows, 0))
 
@@ -262,8 +268,9 @@ def _shingled(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets are similar enough."""
-    pairs = materialize(pairs, "to-confirm")
+    """Components (u, v) of the pairs (a, b, ca, cb) whose full shingle sets are
+    similar enough."""
+    pairs = materialize(pairs.select("a", "b", "ca", "cb"), "to-confirm")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = materialize(nodes, "to-confirm")
 
@@ -292,7 +299,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Da
     joined = (
         pairs.join(F.broadcast(x) if few else x, "a")
         .join(F.broadcast(y) if few else y, "b")
-        .select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y")
+        .select(F.col("ca").alias("u"), F.col("cb").alias("v"), "x", "y")
     )
     return joined.mapInArrow(compare, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
 
@@ -320,14 +327,12 @@ def _linked(found: DataFrame, components: DataFrame | None, rows: DataFrame, siz
             break
         chosen = left
         if step == "likeliest":
-            ways = left.select(F.col("a").alias("u"), "a", "b", "m").unionByName(left.select(F.col("b").alias("u"), "a", "b", "m"))
-            best = ways.groupBy("u").agg(F.max(F.struct("m", "a", "b")).alias("p"))
-            chosen = materialize(best.select("p.a", "p.b").distinct(), "chosen")
-            left, open_ = left.join(chosen, ["a", "b"], "left_anti"), left
-            chosen = open_.join(chosen, ["a", "b"], "left_semi")
-        links = _confirmed(chosen.select("a", "b"), rows, size, percent)
-        between = chosen.select(F.col("a").alias("u"), F.col("b").alias("v"), "ca", "cb").join(links, ["u", "v"], "left_semi")
-        merged = materialize(connected_components(between.select(F.col("ca").alias("u"), F.col("cb").alias("v"))), "components")
+            pair = ["a", "b", "m", "ca", "cb"]
+            ways = left.select(F.col("a").alias("u"), *pair).unionByName(left.select(F.col("b").alias("u"), *pair))
+            best = ways.groupBy("u").agg(F.max(F.struct("m", "a", "b", "ca", "cb")).alias("p"))
+            chosen = materialize(best.select("p.a", "p.b", "p.ca", "p.cb").distinct(), "chosen")
+            left = left.join(chosen, ["a", "b"], "left_anti")
+        merged = materialize(connected_components(_confirmed(chosen, rows, size, percent)), "components")
         components = _merged(components, merged)
     return components
 
@@ -566,7 +571,7 @@ def link_documents(
 
         fresh = materialize(_texts_of(rows, crowd).select("d", "t", "component").mapInArrow(frugal(sign), signed), "crowd-signatures")
         matches = least_matches(threshold, VALUES * BIT_SIGNATURES, 2)
-        second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_WIDTH, bits=True)
+        second = _neighbours(in_orders(fresh), depth, matches, percent, CROWDED_WIDTH, CROWDED_FIRST, bits=True)
         components = _linked(second, components, rows, words, percent)
         components = _compared(_mixed(second, components), components, rows, words, percent)
 

@@ -137,3 +137,36 @@ def test_components_of_stars_need_no_round(spark, monkeypatch):
 def test_components_of_many_small_stars(spark, monkeypatch):
     monkeypatch.setattr(components, "STAR_EDGES", 2)
     test_components(spark)
+
+
+def test_crowded_regions_are_met_by_the_nearest(spark, monkeypatch):
+    """Rows of the scan are a few for each row in a crowded region, at any width."""
+    scanned = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, label, own=neardup.materialize: scanned.append((label, own(df, label))) or scanned[-1][1])
+    monkeypatch.setattr(neardup, "CROWDED_WIDTH", 12)
+    monkeypatch.setattr(neardup, "WIDTH", 6)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        own[rng.randrange(120)] = own[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(own)))
+    # Nothing is confirmed, so all stay apart and all orders are scanned.
+    monkeypatch.setattr(neardup, "_linked", lambda found, components, *rest: components)
+    monkeypatch.setattr(neardup, "_compared", lambda crowded, components, *rest: components)
+    run(spark, rows, percent=80)
+    first, second = (df for label, df in scanned if label == "neighbours")
+    assert first.where("edge IS NULL").count() <= 300 * 16 * (1 + neardup.CROWDED_FIRST)
+    crowd = second.where("edge IS NULL AND b IS NULL").count()
+    assert crowd and second.where("b IS NOT NULL").count() < 300 * 64 * 6
+
+
+def test_ranges_meet_where_a_prefix_goes_on(spark, monkeypatch):
+    scanned = []
+    monkeypatch.setattr(neardup, "materialize", lambda df, label, own=neardup.materialize: scanned.append(own(df, label)) or scanned[-1])
+    rows = [(0, bytes([k // 250, k % 250]) * 4, None, k, 9, k) for k in range(2000)]
+    placed = spark.createDataFrame(rows, "o int, key binary, sketch binary, node long, n long, component long")
+    assert neardup._neighbours(placed, 2, 1, 80, 8, 2).count() == 0
+    edges = scanned[0].where("edge IS NOT NULL").groupBy("edge").count().collect()
+    assert edges and all(r["count"] <= 2 for r in edges)
