@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+#: Bytes worked on at a time: their 64-bit values stay in the processor's cache.
+PIECE = 1 << 17
 
 # Bytes that end a word, and the case fold of A-Z alone.
 SPACE = np.zeros(256, bool)
@@ -68,6 +69,11 @@ def _pieces(data: np.ndarray, lo: int, hi: int, breaks: np.ndarray):
         lo = end
 
 
+def _mapped(raw: bytes, table: np.ndarray) -> np.ndarray:
+    """``table[b]`` of each byte b; many times faster than indexing."""
+    return np.frombuffer(raw.translate(table.tobytes()), table.dtype)
+
+
 def word_hashes(column: pa.Array, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word (a run of bytes not in ``breaks``, A-Z folded)
     of each row, and offsets of the rows in the list of words."""
@@ -84,8 +90,9 @@ def byte_runs(
     hashes, starts_at, ends_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = offsets[:-1]
     for lo, hi in _pieces(data, int(offsets[0]), int(offsets[-1]), breaks):
-        b = FOLD[data[lo:hi]]
-        inside = ~breaks[b]
+        raw = data[lo:hi].tobytes().translate(FOLD.tobytes())
+        b = np.frombuffer(raw, np.uint8)
+        inside = _mapped(raw, ~breaks)
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         cut = rows[np.searchsorted(rows, lo) : np.searchsorted(rows, hi)] - lo
@@ -93,7 +100,7 @@ def byte_runs(
         last = inside.copy()
         last[:-1] &= ~inside[1:]
         if parts is not None:
-            one, other = parts[0][b], parts[1][b]
+            one, other = _mapped(raw, parts[0]), _mapped(raw, parts[1])
             between = (one[1:] & other[:-1]) | (other[1:] & one[:-1])
             first[1:] |= between
             last[:-1] |= between

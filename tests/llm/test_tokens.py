@@ -22,6 +22,55 @@ def ids_of(encode, text):
     return encode.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+class Watched:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def made_words(letters, n):
+    rng = random.Random(n)
+    return ["".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "letters, most",
+    [("abcdefGHIJßéÈÖÿ", 0), ("abcéÖ,'1-\u0301\u00a0İΣσ…", 20), ("\u0301\u0307\u212b\u037e\x00é", 20)],
+)
+def test_new_pieces_go_to_the_tokenizer_together(letters, most):
+    encode = tokens.TextEncoder(tokens.default_path())
+    watched = encode.tokenizer = Watched(encode.tokenizer)
+    text = " ".join(made_words(letters, 3000))
+    _, ids, _ = next(encode.encode(pa.array([text])))
+    # Words need none of the file's normal form and pre-tokenizer; others go many in a text.
+    assert len(watched.texts) <= most
+    assert ids.tolist() == watched.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_found_after_growth():
+    rng = np.random.default_rng(1)
+    pieces, want = tokens.Pieces(np.uint16, 2), {}
+    for size in (1, 2, 5, 300, 0, 4000):
+        # Crowded: hashes that differ in their low bits alone share a slot.
+        new = np.setdiff1d(rng.integers(1, 4000, size).astype(np.uint64) << np.uint64(50), np.array([*want, 0], np.uint64))
+        new = np.concatenate([new, new + np.uint64(1)])
+        n = rng.integers(0, 4, len(new))
+        ids = rng.integers(0, 1 << 16, int(n.sum()))
+        at = np.cumsum(n) - n
+        pieces.add(new, at, n, ids)
+        want |= {h: ids[a : a + k].tolist() for h, a, k in zip(new.tolist(), at.tolist(), n.tolist())}
+        asked = np.concatenate([rng.permutation(np.array([*want], np.uint64)), np.array([2, 3], np.uint64)])
+        slot, known = pieces.find(asked)
+        assert known.tolist() == [h in want for h in asked.tolist()]
+        got = zip(*pieces.get(slot[known]))
+        assert [pieces.pool[a : a + k].tolist() for a, k in got] == [want[h] for h in asked[known].tolist()]
+
+
 @pytest.mark.parametrize("size", [100, 1 << 21])
 def test_ids_are_the_librarys(encode, monkeypatch, size):
     monkeypatch.setattr(tokens, "SLICE", size)
