@@ -19,24 +19,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _whole(docs: DataFrame, *parts: str) -> DataFrame:
-    """``row``, all columns of a document as one value, beside those that a
-    stage needs: what a stage adds can clash with no column of the documents."""
-    return docs.select(F.struct("*").alias("row"), *parts)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents with columns ``c0``, ``c1`` and so on, and that of the text:
+    what a stage adds can clash with none, and each text goes to a worker once."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    called = "text" if "text" in docs.columns else next(c for c in docs.columns if c.lower() == "text")
+    return docs.toDF(*names), names[docs.columns.index(called)]
+
+
+def _named(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``_numbered`` documents with their own columns and names again."""
+    return found.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, accepts.
     Columns of any name keep their values."""
     machine = quality.fit_quality(docs, _table(spark, sf_dir, "labels"))
-    return quality.score_quality(_whole(docs, "text"), machine).where("predicted = 1").select("row.*")
+    rows, text = _numbered(docs)
+    return _named(quality.score_quality(rows, machine, text=text).where("predicted = 1"), docs)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents near enough to a language of the corpus. Columns of any name
     keep their values."""
     languages = langid.fit_languages(docs.select("doc_id", "text", "lang"))
-    return langid.identify(_whole(docs, "text"), languages).where("NOT rejected").select("row.*")
+    rows, text = _numbered(docs)
+    return _named(langid.identify(rows, languages, text=text).where("NOT rejected"), docs)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,24 +214,24 @@ def identify(documents: DataFrame, languages: Languages, text: str = "text") ->
     )
     names, centroids, idf, least = languages.names, languages.centroids.T.copy(), languages.idf, languages.least
 
+    def rows(b, lang, score, rejected):
+        arrays = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
+        return pa.RecordBatch.from_arrays([b.column(c) for c in kept] + arrays, [*kept, *made])
+
     def predicted(batches):
         for b in batches:
-            lang, score, rejected = [], [], []
+            if not names:
+                yield rows(b, [UNKNOWN] * b.num_rows, np.zeros(b.num_rows), np.ones(b.num_rows, bool))
+                continue
             letters = pc.fill_null(pc.match_substring_regex(b.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for lo, x, size in vectors(b.column(text), idf) if names else ():
+            # A batch for each range of rows: the JVM holds one of them at a time.
+            for lo, x, size in vectors(b.column(text), idf):
                 cosine = x.astype(np.float32) @ centroids
                 best = cosine.argmax(1)
                 near = np.clip(cosine[np.arange(len(best)), best].astype(float), 0, 1)
                 known = letters[lo : lo + len(best)]
-                lang += [names[i] if k else UNKNOWN for i, k in zip(best, known)]
-                score.append(np.where(known, near, 0.0))
-                rejected.append(~known | (near < least[best, _length_class(size)]))
-            if not names:
-                lang, score, rejected = [UNKNOWN] * b.num_rows, [np.zeros(b.num_rows)], [np.ones(b.num_rows, bool)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in kept]
-                + [pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0)), pa.array(np.concatenate(rejected) if rejected else np.zeros(0, bool))],
-                [*kept, *made],
-            )
+                lang = [names[i] if k else UNKNOWN for i, k in zip(best, known)]
+                rejected = ~known | (near < least[best, _length_class(size)])
+                yield rows(b.slice(lo, len(best)), lang, np.where(known, near, 0.0), rejected)
 
     return documents.select(kept).mapInArrow(frugal(predicted), schema)

@@ -200,7 +200,7 @@ def fit_quality(
 
     # Copies of one id would add rows beyond the sample: one of each is enough.
     bounded = rows.groupBy("d", "y").agg(F.min("t").alias("t")).repartition(1).sortWithinPartitions("d", "y")
-    found = bounded.select("t", "y").mapInArrow(train, "model binary").collect()
+    found = bounded.select("t", "y").mapInArrow(frugal(train), "model binary").collect()
     return Machine.from_bytes(found[0]["model"]) if found else Machine()
 
 
@@ -216,9 +216,11 @@ def score_quality(documents: DataFrame, machine: Machine, text: str = "text", th
     def scored(batches):
         model = Machine.from_bytes(raw)
         for b in batches:
-            found = [model.score(*f[1:]) for f in features(b.column(text))]
-            score = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(score)], [*kept, "score"])
+            # A batch for each range of rows: the JVM holds one of them at a time.
+            for lo, buckets, at, statistics in features(b.column(text)):
+                score = model.score(buckets, at, statistics)
+                own = b.slice(lo, len(score))
+                yield pa.RecordBatch.from_arrays([own.column(c) for c in kept] + [pa.array(score)], [*kept, "score"])
 
     out = documents.select(kept).mapInArrow(frugal(scored), schema)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

@@ -54,6 +54,37 @@ def test_quality_learns_and_keeps_columns(spark):
     assert np.mean([r["predicted"] == r["y"] for r in held]) > 0.95
 
 
+@pytest.fixture
+def workers(monkeypatch):
+    """What is sent to workers: (columns, function over batches) of each call."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    calls, sent = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *rest: calls.append((self.columns, f)) or sent(self, f, *rest))
+    return calls
+
+
+def test_workers_return_long_texts_in_small_batches(spark, workers):
+    rng = random.Random(7)
+    rows = [(i, sentence(rng, "x", 4000) if i % 5 else None) for i in range(300)] + [(300, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = spark.createDataFrame([(sentence(rng, lang, 20), lang) for lang in "xy" for _ in range(8)], "text string, lang string")
+    languages = langid.fit_languages(learned)
+    workers.clear()
+    quality.score_quality(docs, quality.Machine())
+    langid.identify(docs, languages)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["doc_id", "text"])
+    assert batch.nbytes > 4 << 20
+    for _, work in workers:
+        got = list(work(iter([batch])))
+        assert [tuple(r.values()) for b in got for r in b.select(["doc_id", "text"]).to_pylist()] == rows
+        most = max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in got)
+        assert most <= max(quality.SLICE, 64 * max(len(t or "") for _, t in rows)) < 4 << 20
+        whole = [r for b in got for r in b.to_pylist()]
+        alone = [r for i in range(0, len(rows), 50) for b in work(iter([batch.slice(i, 50)])) for r in b.to_pylist()]
+        assert [r["score"] for r in whole] == pytest.approx([r["score"] for r in alone])
+
+
 def test_quality_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

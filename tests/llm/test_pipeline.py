@@ -63,6 +63,18 @@ def test_columns_of_clashing_names_keep_their_values(spark):
         assert all(r["k"] == r["doc_id"] and all(r[c] == f"{c}{r['doc_id']}" for c in own) for r in rows), name
 
 
+def test_texts_go_to_a_worker_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, given = DataFrame.mapInArrow, []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *rest: given.append(self.schema.simpleString()) or sent(self, f, *rest))
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumnRenamed("text", "Text")
+    for stage in (P.keep_quality, P.keep_languages):
+        kept = stage(spark, docs, SF_DIR)
+        assert kept.schema == docs.schema
+        assert given[-1].count("string") == docs.schema.simpleString().count("string")
+
+
 def test_one_row_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(1, "b b b", "x", "s", 2), (1, "a a a", "y", "s", 1), (1, "a a a", "x", "s", 1)], DOCUMENTS)
     assert [tuple(r) for r in P.keep_one_of_copies(spark, docs, SF_DIR).collect()] == [(1, "a a a", "x", "s", 1)]
